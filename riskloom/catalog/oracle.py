@@ -74,6 +74,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         ORDER BY date) - 1 AS INTEGER) AS day_idx, date AS scen_date, factor, ret AS shock FROM
         (SELECT 'HistFull' AS scenarioset, date, factor, ret FROM panel UNION ALL {_events})
         UNION ALL {_hypos}"""),
+    "prox": (("flots",), """SELECT CASE WHEN factor IS NULL THEN 'MKT' WHEN factor = 'PROMO' THEN 'RATE' ELSE 'INDEX' END AS series,
+        day AS date, round(sum(price / qty) / count(*), 6) AS close FROM flots
+        GROUP BY GROUPING SETS ((day, factor), (day)) HAVING factor IS NULL OR factor IN ('PROMO', 'SMALL')"""),
+    # the daily P&L series of each book at the as-of date (HistFull)
+    "ser": (("pb",), "SELECT book, day_idx AS i, scen_date AS d, b AS r FROM pb WHERE date = DATE '2000-06-30' AND scenarioset = 'HistFull'"),
+    "serm": (("ser",), "SELECT book, last_day(d) AS month, sum(r) AS total, count(*) AS days FROM ser GROUP BY ALL"),
     # book exposures, book P&L days and the specific block
     "xb": (("pos", "expo"), """SELECT p.date, p.book, e.factor, sum(p.weight * e.loading) AS x
         FROM pos p JOIN expo e ON p.date = e.date AND p.position = e.position GROUP BY ALL"""),

@@ -200,6 +200,18 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
         "specific_returns": mat("specific_returns", lambda: specific_returns(spark, sf_dir, fr), ["Date"]),
         "filings": mat("filings", lambda: filing_lots(spark, sf_dir)),
     }
+    f["proxies"] = mat("proxies", lambda: proxies(spark, sf_dir))
     f["managers"] = mat("managers", lambda: managers(f["filings"]))
     f["scenarios"] = mat("scenarios", lambda: scenarios.scenario_sets(fr, EVENTS, HYPOS))
     return Frames(spark, f)
+
+
+def proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily proxy closes (Series, Date, Close): the market and two part-type indices."""
+    lots = factor_lots(spark, sf_dir)
+    by = lots.groupBy(F.col("Day").alias("Date"), "Factor").agg(
+        F.sum(F.col("price") / F.col("qty")).alias("s"), F.count(F.lit(1)).alias("n"))
+    mkt = by.groupBy("Date").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("Series", F.lit("MKT"))
+    other = by.filter(F.col("Factor").isin("PROMO", "SMALL")).select(
+        "Date", "s", "n", F.when(F.col("Factor") == "PROMO", "RATE").otherwise("INDEX").alias("Series"))
+    return mkt.unionByName(other).select("Series", "Date", F.round(F.col("s") / F.col("n"), 6).alias("Close"))
