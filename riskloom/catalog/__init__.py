@@ -6,7 +6,7 @@ import importlib
 
 from riskloom.catalog import registry
 
-MODULES = ("q_frames", "q_risk", "q_series")
+MODULES = ("q_frames", "q_risk", "q_series", "q_attr")
 
 
 def _load() -> None:

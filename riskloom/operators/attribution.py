@@ -41,3 +41,403 @@ def forward_pnl(frames: Mapping[str, DataFrame], pos: DataFrame, expo: DataFrame
         if d in FAC_DIMS:
             spec = spec.withColumn(d, F.lit(None).cast("string"))
     return fac, spec
+
+
+# ---- drifting-weight attribution ---------------------------------------------------------------
+def weight_regimes(positions: DataFrame) -> DataFrame:
+    """(Book, Date, anchor): the last month-end at which a book's weight map changed.
+
+    The map of a book is compared through an order-free fingerprint (count, xor and sum of row
+    hashes), so no book is ever gathered in one place."""
+    h = F.xxhash64("Position", F.round("Weight", 12))
+    fp = positions.groupBy("Book", "Date").agg(
+        F.count(F.lit(1)).alias("c"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
+    w = Window.partitionBy("Book").orderBy("Date")
+    f = F.struct("c", "x", "s")
+    changed = F.lag(f).over(w).isNull() | (f != F.lag(f).over(w))
+    d = fp.withColumn("_a", F.when(changed, F.col("Date")))
+    return d.select("Book", "Date", F.last("_a", ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)).alias("anchor"))
+
+
+def regime_days(positions: DataFrame, exposures: DataFrame, factor_returns: DataFrame) -> DataFrame:
+    """(Book, anchor, d0, Day): each trade day with its owning exposure month and weight regime.
+
+    A regime runs from the day after its anchor to the next anchor (the last one stays open)."""
+    anchors = weight_regimes(positions).select("Book", "anchor").distinct()
+    w = Window.partitionBy("Book").orderBy("anchor")
+    days = owner_month(factor_returns.select(F.col("Date").alias("Day")).distinct(),
+                       exposures.select("Date").distinct(), on="Day")
+    last = days.agg(F.last_day(F.max("Day"))).scalar()
+    a = anchors.withColumn("_nxt", F.lead("anchor").over(w))
+    # explode a regime into the calendar months its days fall in, then meet the days by equality
+    span = F.sequence(F.trunc("anchor", "month"), F.trunc(F.coalesce("_nxt", F.greatest(last, F.col("anchor"))), "month"),
+                      F.expr("interval 1 month"))
+    m = a.select("Book", "anchor", "_nxt", F.explode(span).alias("_m"))
+    d = days.withColumn("_m", F.trunc("Day", "month"))
+    return (m.join(d, "_m").filter((F.col("Day") > F.col("anchor"))
+                                   & (F.col("_nxt").isNull() | (F.col("Day") <= F.col("_nxt"))))
+            .select("Book", "anchor", "d0", "Day"))
+
+
+def name_returns(exposures: DataFrame, factor_returns: DataFrame, specific_returns: DataFrame) -> DataFrame:
+    """(Position, Day, d0) -> R, eps and the loading map: R = sum of L(d0) f(t) + eps(t).
+
+    A name without a residual or loadings that day has no row (no observation)."""
+    ends = exposures.select("Date").distinct()
+    loads = exposures.groupBy(F.col("Date").alias("d0"), "Position").agg(
+        F.map_from_entries(F.collect_list(F.struct("Factor", "Loading"))).alias("L"))
+    f = factor_returns.filter(F.col("Return").isNotNull()).groupBy(F.col("Date").alias("Day")).agg(
+        F.collect_list(F.struct("Factor", "Return")).alias("f"))
+    s = owner_month(specific_returns.filter(F.col("SpecificReturn").isNotNull()), ends)
+    j = s.withColumnRenamed("Date", "Day").join(loads, ["d0", "Position"]).join(F.broadcast(f), "Day")
+    fac = F.aggregate("f", F.lit(0.0), lambda a, e: a + e["Return"] * F.coalesce(
+        F.try_element_at("L", e["Factor"]), F.lit(0.0)))
+    return j.select("Position", "Day", "d0", "L", F.col("SpecificReturn").alias("eps"),
+                    (fac + F.col("SpecificReturn")).alias("R"))
+
+
+def drifting_weights(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """(Book, anchor, Position, Day) -> w0, R, eps, L and the start-of-day value ``val`` of the unit
+    book: the anchor weight compounded by the name's own earlier returns in the regime."""
+    pos, expo = frames["positions"], frames["exposures"]
+    days = regime_days(pos, expo, frames["factor_returns"])
+    r = name_returns(expo, frames["factor_returns"], frames["specific_returns"])
+    held = pos.groupBy("Book", F.col("Date").alias("anchor"), "Position").agg(F.sum("Weight").alias("w0"))
+    months = days.select("Book", "anchor", "d0").distinct()
+    h = held.join(F.broadcast(months), ["Book", "anchor"])
+    j = (h.join(r, ["Position", "d0"])
+         .join(F.broadcast(days.select("Book", "anchor", "Day")), ["Book", "anchor", "Day"], "left_semi"))
+    w = Window.partitionBy("Book", "anchor", "Position").orderBy("Day").rowsBetween(Window.unboundedPreceding, -1)
+    return j.withColumn("val", F.col("w0") * F.exp(F.coalesce(F.sum(F.log1p("R")).over(w), F.lit(0.0))))
+
+
+def compute_attribution(frames: Mapping[str, DataFrame]) -> DataFrame:
+    """The daily artifact ``(Book, Date, Kind, Source, Value)`` of every book.
+
+    Kinds: contribution (each factor, Specific, Realized), exposure, coverage, unpriced. The total
+    value of a book is its anchor value plus the running sum of daily gains, so names without a
+    return keep their weight without a dense name x day grid."""
+    pos, fr = frames["positions"], frames["factor_returns"]
+    days = regime_days(pos, frames["exposures"], fr)
+    v = drifting_weights(frames)
+    base = pos.groupBy("Book", F.col("Date").alias("anchor")).agg(F.sum("Weight").alias("W0"))
+    daily = v.groupBy("Book", "anchor", "Day").agg(
+        F.sum(F.col("val") * F.col("R")).alias("gain"), F.sum(F.col("val") * F.col("eps")).alias("spec"),
+        F.sum("val").alias("priced"))
+    w = Window.partitionBy("Book", "anchor").orderBy("Day").rowsBetween(Window.unboundedPreceding, -1)
+    z = F.lit(0.0)
+    d = (days.join(daily, ["Book", "anchor", "Day"], "left").join(base, ["Book", "anchor"])
+         .withColumn("total", F.col("W0") + F.coalesce(F.sum("gain").over(w), z)))
+    kinds = F.array(
+        F.struct(F.lit("contribution").alias("Kind"), F.lit("Specific").alias("Source"),
+                 (F.coalesce("spec", z) / F.col("total")).alias("Value")),
+        F.struct(F.lit("contribution").alias("Kind"), F.lit("Realized").alias("Source"),
+                 (F.coalesce("gain", z) / F.col("total")).alias("Value")),
+        F.struct(F.lit("coverage").alias("Kind"), F.lit("priced_share").alias("Source"),
+                 (F.coalesce("priced", z) / F.col("total")).alias("Value")))
+    book_rows = d.select("Book", F.col("Day").alias("Date"), F.explode(kinds).alias("k")).select("Book", "Date", "k.*")
+    xk = (v.select("Book", "anchor", "Day", "val", F.explode("L").alias("Factor", "Loading"))
+          .groupBy("Book", "anchor", "Day", "Factor").agg(F.sum(F.col("val") * F.col("Loading")).alias("vx")))
+    loaded = frames["exposures"].select(F.col("Date").alias("d0"), "Factor").distinct()
+    grid = (d.select("Book", "anchor", "d0", "Day", "total")
+            .join(fr.filter(F.col("Return").isNotNull()).withColumnRenamed("Date", "Day"), "Day")
+            .join(F.broadcast(loaded), ["d0", "Factor"], "left_semi"))
+    x = grid.join(xk, ["Book", "anchor", "Day", "Factor"], "left").withColumn(
+        "x", F.coalesce("vx", z) / F.col("total"))
+    both = F.array(F.struct(F.lit("contribution").alias("Kind"), (F.col("x") * F.col("Return")).alias("Value")),
+                   F.struct(F.lit("exposure").alias("Kind"), F.col("x").alias("Value")))
+    fac_rows = (x.select("Book", F.col("Day").alias("Date"), F.col("Factor").alias("Source"), F.explode(both).alias("k"))
+                .select("Book", "Date", "k.Kind", "Source", "k.Value"))
+    anchors = days.select("Book", "anchor").distinct()
+    held = pos.withColumnRenamed("Date", "anchor").join(F.broadcast(anchors), ["Book", "anchor"], "left_semi")
+    unp = (held.join(v.select("Book", "anchor", "Position"), ["Book", "anchor", "Position"], "left_anti")
+           .join(frames["securities"].select("Position", "Ticker"), "Position", "left")
+           .select("Book", F.col("anchor").alias("Date"), F.lit("unpriced").alias("Kind"),
+                   F.coalesce("Ticker", "Position").alias("Source"), F.col("Weight").alias("Value")))
+    return book_rows.unionByName(fac_rows).unionByName(unp)
+
+
+# ---- reading the artifact ----------------------------------------------------------------------
+def window_of(art: DataFrame, months: int = 12, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Artifact rows in [lo, hi] per book (default: the trailing year), with the bounds."""
+    c = art.filter(F.col("Kind") == "contribution")
+    b = c.groupBy("Book").agg(F.max("Date").alias("hi"))
+    if until is not None:
+        b = b.withColumn("hi", F.least("hi", F.lit(until).cast("date")))
+    b = b.withColumn("lo", F.lit(since).cast("date") if since else F.add_months("hi", -months))
+    return art.join(F.broadcast(b), "Book").filter(F.col("Date").between(F.col("lo"), F.col("hi")))
+
+
+def carino(art: DataFrame) -> DataFrame:
+    """(Book, Source) -> linked contribution; parts sum to the geometric return exactly."""
+    c = art.filter(F.col("Kind") == "contribution")
+    r = c.filter(F.col("Source") == "Realized").select("Book", "Date", F.col("Value").alias("r"))
+    k_t = F.when(F.abs("r") > 1e-12, F.try_divide(F.log1p("r"), F.col("r"))).otherwise(1.0)
+    rk = r.withColumn("k", k_t)
+    tot = rk.groupBy("Book").agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("rg"))
+    tot = tot.withColumn("K", F.when(F.abs("rg") > 1e-12, F.try_divide(F.log1p("rg"), F.col("rg"))).otherwise(1.0))
+    parts = c.filter(F.col("Source") != "Realized").join(rk, ["Book", "Date"]).groupBy("Book", "Source").agg(
+        F.sum(F.col("Value") * F.col("k")).alias("s"))
+    return parts.join(F.broadcast(tot), "Book").select("Book", "Source", (F.col("s") / F.col("K")).alias("linked"), "rg")
+
+
+def headline(art: DataFrame) -> DataFrame:
+    """Per book: geometric return, factor and specific parts, specific share, coverage."""
+    lk = carino(art)
+    a = lk.groupBy("Book").agg(
+        F.max("rg").alias("realized_geometric"),
+        F.sum(F.when(F.col("Source") != "Specific", F.col("linked"))).alias("factor"),
+        F.sum(F.when(F.col("Source") == "Specific", F.col("linked"))).alias("specific"))
+    cov = art.filter(F.col("Kind") == "coverage").groupBy("Book").agg(
+        F.count(F.lit(1)).alias("n_days"), F.avg("Value").alias("mean_priced_share"), F.min("Value").alias("min_priced_share"))
+    return a.withColumn("specific_share", F.when(F.abs("realized_geometric") > 1e-12, F.try_divide(
+        F.col("specific"), F.col("realized_geometric")))).join(cov, "Book")
+
+
+def by_factor(art: DataFrame, factor_returns: DataFrame) -> DataFrame:
+    """Per book and factor: average exposure, cumulative factor return, linked part, share, t."""
+    lk = carino(art).filter(F.col("Source") != "Specific")
+    c = art.filter((F.col("Kind") == "contribution") & ~F.col("Source").isin("Specific", "Realized"))
+    t = c.groupBy("Book", "Source").agg(F.count("Value").alias("n"), F.avg("Value").alias("m"), F.stddev_samp("Value").alias("s"))
+    x = art.filter(F.col("Kind") == "exposure").groupBy("Book", "Source").agg(F.avg("Value").alias("avg_exposure"))
+    bounds = art.groupBy("Book").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    cal = bounds.select("Book", F.explode(F.sequence("lo", "hi")).alias("Date"))
+    cum = (cal.join(factor_returns, "Date").groupBy("Book", F.col("Factor").alias("Source"))
+           .agg(F.sum("Return").alias("cum_factor_return")))
+    j = lk.join(t, ["Book", "Source"]).join(x, ["Book", "Source"], "left").join(cum, ["Book", "Source"], "left")
+    return j.select("Book", F.col("Source").alias("Factor"), "avg_exposure",
+                    F.coalesce("cum_factor_return", F.lit(0.0)).alias("cum_factor_return"), F.col("linked").alias("contribution"),
+                    F.when(F.abs("rg") > 1e-12, F.try_divide(F.col("linked"), F.col("rg"))).alias("pct_of_total"),
+                    F.when((F.col("n") > 2) & (F.col("s") > 0), F.try_divide(F.col("m") * F.sqrt("n"), F.col("s"))).alias("t_stat"))
+
+
+def cumulative_series(art: DataFrame) -> DataFrame:
+    """Running arithmetic contributions: market, style, specific, realized."""
+    c = art.filter(F.col("Kind") == "contribution")
+    s, v = F.col("Source"), F.col("Value")
+    d = c.groupBy("Book", "Date").agg(
+        F.sum(F.when(s == "Market", v).otherwise(0.0)).alias("market"),
+        F.sum(F.when(~s.isin("Market", "Specific", "Realized"), v).otherwise(0.0)).alias("style"),
+        F.sum(F.when(s == "Specific", v).otherwise(0.0)).alias("specific"),
+        F.sum(F.when(s == "Realized", v).otherwise(0.0)).alias("realized"))
+    w = Window.partitionBy("Book").orderBy("Date").rowsBetween(Window.unboundedPreceding, 0)
+    return d.select("Book", "Date", *[F.sum(n).over(w).alias(n) for n in ("market", "style", "specific", "realized")])
+
+
+def name_attribution(frames: Mapping[str, DataFrame], lo, hi, monthly: bool = False) -> DataFrame:
+    """Per book and name: factor, specific and realized P&L over months lo <= d0 < hi, on the as-of
+    monthly weights."""
+    pos = frames["positions"].filter((F.col("Date") >= F.lit(lo)) & (F.col("Date") < F.lit(hi)))
+    ff = forward_factor_returns(frames)
+    e = frames["exposures"].join(F.broadcast(ff), ["Date", "Factor"])
+    fac = e.groupBy("Date", "Position").agg(F.sum(F.col("Loading") * F.col("fwd")).alias("fac"))
+    j = (pos.join(fac, ["Date", "Position"], "left")
+         .join(forward_specific_returns(frames), ["Date", "Position"], "left"))
+    z = F.lit(0.0)
+    keys = ["Book", "Position", *(["Date"] if monthly else [])]
+    g = j.groupBy(*keys).agg(F.sum(F.col("Weight") * F.coalesce("fac", z)).alias("factor_pnl"),
+                             F.sum(F.col("Weight") * F.coalesce("fwd", z)).alias("specific_pnl"))
+    return g.withColumn("realized", F.col("factor_pnl") + F.col("specific_pnl"))
+
+
+def concentration(df: DataFrame, by: list[str], value: str, k: int = 5) -> DataFrame:
+    """HHI of |value| shares, top-k share and count per group; NULL when nothing moved."""
+    from riskloom.functions.quantiles import top_k
+
+    d = df.filter(F.col(value).isNotNull()).select(*by, F.abs(value).alias("_a"))
+    tot = d.groupBy(*by).agg(F.sum("_a").alias("t"), F.sum(F.col("_a") ** 2).alias("q"), F.count(F.lit(1)).alias("n"))
+    top = top_k(d, by, [F.col("_a").desc()], k).groupBy(*by).agg(F.sum("_a").alias("_top"))
+    ok = F.col("t") > 0
+    return tot.join(top, by, "left").select(
+        *by, F.when(ok, F.try_divide(F.col("q"), F.col("t") ** 2)).alias("hhi"),
+        F.when(ok, F.try_divide(F.col("_top"), F.col("t"))).alias("top5_share"), "n")
+
+
+# ---- predicted volatility as of each month ------------------------------------------------------
+def pit_covariance(panel: DataFrame, min_obs: int = 60) -> DataFrame:
+    """(Date, Factor, Factor2) -> cov of all complete days on or before each month-end.
+
+    Running sums over the calendar per factor pair replace one truncated history per month."""
+    a = panel.select("Date", "Factor", F.col("Return").alias("s1"))
+    b = panel.select("Date", F.col("Factor").alias("Factor2"), F.col("Return").alias("s2"))
+    by = ["Factor", "Factor2"]
+    m = a.join(b, "Date").groupBy(*by, F.last_day("Date").alias("_m")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("s1").alias("a"), F.sum("s2").alias("b"),
+        F.sum(F.col("s1") * F.col("s2")).alias("ab"))
+    w = Window.partitionBy(*by).orderBy("_m")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    c = m.select(*by, "_m", F.lead("_m").over(w).alias("_nx"), *[F.sum(x).over(run).alias(x) for x in ("n", "a", "b", "ab")])
+    c = c.filter(F.col("n") >= min_obs)
+    months = F.sequence(F.trunc("_m", "month"), F.trunc(F.add_months(F.coalesce("_nx", F.add_months("_m", 1)), -1), "month"),
+                        F.expr("interval 1 month"))
+    return c.select(F.explode(months).alias("_x"), *by, "n",
+                    ((F.col("ab") - F.col("a") * F.col("b") / F.col("n")) / (F.col("n") - 1)).alias("cov")).select(
+        F.last_day("_x").alias("Date"), *by, "n", "cov")
+
+
+def book_factor_exposure(frames: Mapping[str, DataFrame]) -> DataFrame:
+    j = frames["positions"].join(frames["exposures"], ["Date", "Position"])
+    return j.groupBy("Date", "Book", "Factor").agg(F.sum(F.col("Weight") * F.col("Loading")).alias("x"))
+
+
+def specific_block(frames: Mapping[str, DataFrame]) -> DataFrame:
+    j = frames["positions"].join(frames["specific_var"], ["Date", "Position"], "left")
+    return j.groupBy("Date", "Book").agg(
+        F.sum(F.col("Weight") ** 2 * F.coalesce("SpecificVar", F.lit(0.0))).alias("svar"))
+
+
+def predicted_vols(frames: Mapping[str, DataFrame], panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Point-in-time daily vols: (Date, Book) -> book, specific; and (Date, Book, Factor) -> |x| sigma."""
+    x, c = book_factor_exposure(frames), F.broadcast(pit_covariance(panel))
+    fx = x.join(c, ["Date", "Factor"]).groupBy("Date", "Book", F.col("Factor2").alias("Factor")).agg(
+        F.sum(F.col("x") * F.col("cov")).alias("fx"),
+        F.max(F.when(F.col("Factor") == F.col("Factor2"), F.sqrt("cov"))).alias("sigma"))
+    j = fx.join(x, ["Date", "Book", "Factor"])
+    fac = j.select("Date", "Book", "Factor", "x", "sigma", (F.abs("x") * F.col("sigma")).alias("factor_vol"))
+    bk = (j.groupBy("Date", "Book").agg(F.sum(F.col("x") * F.col("fx")).alias("fv"), F.sum(F.col("x") * F.col("sigma")).alias("sxs"))
+          .join(specific_block(frames), ["Date", "Book"])
+          .select("Date", "Book", F.sqrt(F.greatest(F.col("fv") + F.col("svar"), F.lit(0.0))).alias("book_vol"),
+                  F.sqrt("svar").alias("specific_vol"), "fv", "sxs", "svar"))
+    return bk, fac
+
+
+def calibration(art: DataFrame, bk: DataFrame) -> DataFrame:
+    """(Book, block, month) -> realized, predicted, z: month returns against the vol predicted at the
+    prior month-end, scaled by the square root of the month's days."""
+    c = art.filter((F.col("Kind") == "contribution") & F.col("Source").isin("Realized", "Specific"))
+    m = c.groupBy("Book", F.last_day("Date").alias("month"), "Source").agg(F.sum("Value").alias("realized"))
+    n = c.filter(F.col("Source") == "Realized").groupBy("Book", F.last_day("Date").alias("month")).agg(F.count(F.lit(1)).alias("days"))
+    p = bk.select("Book", F.last_day(F.add_months("Date", 1)).alias("month"), F.explode(F.create_map(
+        F.lit("Realized"), F.col("book_vol"), F.lit("Specific"), F.col("specific_vol"))).alias("Source", "vol"))
+    j = m.join(n, ["Book", "month"]).join(p, ["Book", "month", "Source"])
+    pred = F.col("vol") * F.sqrt("days")
+    return j.select("Book", F.when(F.col("Source") == "Realized", "book").otherwise("specific").alias("block"), "month",
+                    "realized", pred.alias("predicted"), F.when(F.col("vol") > 0, F.try_divide(F.col("realized"), pred)).alias("z"))
+
+
+# ---- risk against realized P&L ------------------------------------------------------------------
+def verdict(r: Column, base: Column, stressed: Column) -> Column:
+    return (F.when((base > 0) & (F.abs(r) <= 2 * base), "within")
+            .when((stressed > 0) & (F.abs(r) <= 2 * stressed), "stress").otherwise("investigate"))
+
+
+def linkage_window(art: DataFrame, exposures: DataFrame, t: str | None, horizon: int) -> DataFrame:
+    """(Book, t0, t1): the exposure month at or before T and the horizon end, per book."""
+    c = art.filter(F.col("Kind") == "contribution")
+    b = c.groupBy("Book").agg(F.max("Date").alias("mx"))
+    tgt = F.lit(t).cast("date") if t else F.add_months("mx", -horizon)
+    b = b.withColumn("tgt", F.least(tgt, F.col("mx")))
+    ends = exposures.select(F.col("Date").alias("e")).distinct().agg(F.array_sort(F.collect_set("e"))).scalar()
+    b = b.withColumn("_ends", ends)
+    b = b.withColumn("t0", F.array_max(F.filter("_ends", lambda e: e <= F.col("tgt")))).filter(F.col("t0").isNotNull())
+    return b.select("Book", "t0", F.least(F.add_months("t0", horizon), F.col("mx")).alias("t1"))
+
+
+def linkage_rows(frames: Mapping[str, DataFrame], art: DataFrame, panel: DataFrame, t: str | None = None,
+                 horizon: int = 3, vol_mult: float = 1.25, rho: float = 0.75) -> DataFrame:
+    """Per book: factor rows, Specific and the book total with base and stressed bands at T, the
+    realized P&L to T + horizon, z, verdict and the driver of a breach."""
+    win = linkage_window(art, frames["exposures"], t, horizon)
+    bk, fac = predicted_vols(frames, panel)
+    inw = art.join(F.broadcast(win), "Book").filter((F.col("Date") > F.col("t0")) & (F.col("Date") <= F.col("t1")))
+    real = inw.filter(F.col("Kind") == "contribution").groupBy("Book", "Source").agg(F.sum("Value").alias("realized"))
+    h = (inw.filter((F.col("Kind") == "contribution") & (F.col("Source") == "Realized"))
+         .groupBy("Book").agg(F.count(F.lit(1)).alias("h")))
+    xw = inw.filter(F.col("Kind") == "exposure").groupBy("Book", "Source").agg(F.avg("Value").alias("x_win"))
+    cal = win.select("Book", F.explode(F.sequence(F.date_add("t0", 1), F.col("t1"))).alias("Date"))
+    cum = cal.join(panel, "Date").groupBy("Book", F.col("Factor").alias("Source")).agg(F.sum("Return").alias("cum_f"))
+    at = win.withColumnRenamed("t0", "Date")
+    fx = fac.join(F.broadcast(at), ["Book", "Date"]).withColumnRenamed("Factor", "Source")
+    b = bk.join(F.broadcast(at), ["Book", "Date"]).join(h, "Book")
+    z = F.lit(0.0)
+    sa = fx.groupBy("Book").agg(F.sum("factor_vol").alias("sa"))
+    f = (fx.join(real, ["Book", "Source"]).join(h, "Book").join(xw, ["Book", "Source"], "left")
+         .join(cum, ["Book", "Source"], "left").join(sa, "Book").join(b.select("Book", "svar"), "Book"))
+    rt = F.sqrt("h")
+    f = f.select("Book", F.col("Source").alias("name"), F.lit("factor").alias("kind"), F.col("x").alias("exposure"), "x_win",
+                 F.try_divide(F.col("factor_vol"), F.col("sa") + F.sqrt("svar")).alias("risk_share"), "realized",
+                 (F.col("factor_vol") * rt).alias("sd_base"), (F.col("factor_vol") * rt * vol_mult).alias("sd_stressed"),
+                 F.try_divide(F.col("cum_f"), F.col("sigma") * rt).alias("factor_sigma"),
+                 F.try_divide(F.col("realized"), F.abs("x_win") * F.col("sigma") * rt).alias("z_window"),
+                 F.try_divide(F.abs("x_win"), F.greatest(F.abs("x"), F.lit(1e-9))).alias("ratio"))
+    stressed2 = vol_mult**2 * ((1 - rho) * F.col("fv") + rho * F.col("sxs") ** 2 + F.col("svar"))
+    agg = F.array(
+        F.struct(F.lit("Specific").alias("src"), F.lit("Specific").alias("name"), F.lit("specific").alias("kind"),
+                 (F.sqrt("svar") * rt).alias("sd_base"), (F.sqrt("svar") * rt * vol_mult).alias("sd_stressed")),
+        F.struct(F.lit("Realized").alias("src"), F.lit("Book total").alias("name"), F.lit("book").alias("kind"),
+                 (F.col("book_vol") * rt).alias("sd_base"), (F.sqrt(F.greatest(stressed2, z)) * rt).alias("sd_stressed")))
+    g = b.join(sa, "Book").select("Book", "sa", "svar", F.explode(agg).alias("k")).select("Book", "sa", "svar", "k.*")
+    n = F.lit(None).cast("double")
+    g = g.join(real.withColumnRenamed("Source", "src"), ["Book", "src"]).select(
+        "Book", "name", "kind", n.alias("exposure"), n.alias("x_win"),
+        F.when(F.col("kind") == "book", 1.0).otherwise(F.try_divide(F.sqrt("svar"), F.col("sa") + F.sqrt("svar"))).alias("risk_share"),
+        "realized", "sd_base", "sd_stressed", n.alias("factor_sigma"), n.alias("z_window"), n.alias("ratio"))
+    r = f.unionByName(g)
+    v = verdict(F.col("realized"), F.col("sd_base"), F.col("sd_stressed"))
+    mig = F.col("ratio") >= 3.0
+    drv = (F.when((v == "within") | (F.col("kind") != "factor") | F.col("ratio").isNull(), F.lit(None))
+           .when(mig & (F.abs("z_window") <= 2.0), "exposure_migration")
+           .when(~mig & (F.abs("factor_sigma") >= 1.5), "factor_move").otherwise("mixed"))
+    return r.withColumns({"z": F.try_divide(F.col("realized"), F.col("sd_base")), "verdict": v, "driver": drv})
+
+
+def position_surprises(frames: Mapping[str, DataFrame], art: DataFrame, panel: DataFrame, t: str, t_end: str,
+                       h_days: DataFrame, vol_mult: float = 1.25, min_weight: float = 0.001) -> DataFrame:
+    """Per book and name at T: realized P&L against its own band, verdict, driver, dust flag.
+
+    Name variance is L'FL + specific variance, a quadratic form over the name's factors only."""
+    pos = frames["positions"].filter(F.col("Date") == F.lit(t).cast("date"))
+    c = F.broadcast(pit_covariance(panel).filter(F.col("Date") == F.lit(t).cast("date")).select("Factor", "Factor2", "cov"))
+    e = frames["exposures"].filter(F.col("Date") == F.lit(t).cast("date")).select("Position", "Factor", "Loading")
+    half = e.join(c, "Factor").groupBy("Position", F.col("Factor2").alias("Factor")).agg(F.sum(F.col("Loading") * F.col("cov")).alias("fl"))
+    nv = half.join(e, ["Position", "Factor"]).groupBy("Position").agg(F.sum(F.col("fl") * F.col("Loading")).alias("lfl"))
+    sv = frames["specific_var"].filter(F.col("Date") == F.lit(t).cast("date")).select("Position", "SpecificVar")
+    months = frames["exposures"].filter((F.col("Date") >= F.lit(t).cast("date")) & (F.col("Date") < F.lit(t_end).cast("date"))).agg(
+        F.count_distinct("Date")).scalar()
+    ww = (frames["positions"].filter((F.col("Date") >= F.lit(t).cast("date")) & (F.col("Date") < F.lit(t_end).cast("date")))
+          .groupBy("Book", "Position").agg((F.sum("Weight") / months).alias("w_win")))
+    import datetime as dt
+
+    na = name_attribution(frames, dt.date.fromisoformat(t), dt.date.fromisoformat(t_end))
+    z = F.lit(0.0)
+    j = (pos.select("Book", "Position", "Weight").join(nv, "Position", "left").join(sv, "Position", "left")
+         .join(F.broadcast(h_days), "Book").join(na, ["Book", "Position"]).join(ww, ["Book", "Position"], "left"))
+    sd = F.abs("Weight") * F.sqrt(F.greatest(F.coalesce("lfl", z) + F.coalesce("SpecificVar", z), z)) * F.sqrt("h")
+    j = j.withColumn("sd_base", sd).filter(F.col("sd_base") > 0)
+    v = verdict(F.col("realized"), F.col("sd_base"), F.col("sd_base") * vol_mult)
+    ratio = F.abs(F.coalesce("w_win", z)) / F.greatest(F.abs("Weight"), F.lit(1e-9))
+    zw = F.try_divide(F.col("realized"), F.col("sd_base") * F.col("ratio"))
+    share = F.try_divide(F.abs("specific_pnl"), F.abs("factor_pnl") + F.abs("specific_pnl"))
+    mig = (F.col("ratio") >= 3.0) | (F.col("ratio") <= 1.0 / 3.0)
+    drv = (F.when(F.col("verdict") == "within", F.lit(None))
+           .when(mig & (F.abs("z_window") <= 2.0), "weight_migration")
+           .when(F.col("specific_share") >= 0.65, "specific_move")
+           .when(F.col("specific_share") <= 0.35, "factor_move").otherwise("mixed"))
+    j = j.withColumns({"verdict": v, "ratio": ratio, "specific_share": share, "z": F.col("realized") / F.col("sd_base")})
+    j = j.withColumn("z_window", zw).withColumn("driver", drv)
+    return j.select("Book", "Position", "Weight", "w_win", "realized", "factor_pnl", "specific_pnl", "sd_base", "z",
+                    "verdict", "driver", (F.col("Weight") < min_weight).alias("dust"))
+
+
+def comovement(specific_returns: DataFrame, names: DataFrame, lo, hi, min_obs: int = 20) -> DataFrame:
+    """Mean pairwise residual correlation of each book's breach names over (lo, hi], without pairs:
+    each name is standardised, and the mean correlation follows from the sum across names per day.
+
+    Exact when every name has every day; names are standardised over the days all have in common."""
+    s = specific_returns.filter((F.col("Date") > F.lit(lo)) & (F.col("Date") <= F.lit(hi)))
+    j = s.join(names.select("Book", "Position"), "Position")
+    full = j.groupBy("Book", "Position").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_obs)
+    j = j.join(full.select("Book", "Position"), ["Book", "Position"])
+    k = full.groupBy("Book").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2")
+    common = (j.groupBy("Book", "Date").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(k), "Book")
+              .filter(F.col("c") == F.col("k")).select("Book", "Date"))
+    j = j.join(common, ["Book", "Date"], "left_semi")
+    st = j.groupBy("Book", "Position").agg(F.avg("SpecificReturn").alias("m"), F.stddev_pop("SpecificReturn").alias("s"),
+                                           F.count(F.lit(1)).alias("t")).filter("s > 0")
+    zs = j.join(st, ["Book", "Position"]).withColumn("zz", (F.col("SpecificReturn") - F.col("m")) / F.col("s"))
+    d = zs.groupBy("Book", "Date").agg(F.sum("zz").alias("sz"), F.count(F.lit(1)).alias("k"))
+    a = d.groupBy("Book").agg(F.avg(F.col("sz") ** 2).alias("q"), F.max("k").alias("n_names"), F.count(F.lit(1)).alias("n_obs"))
+    mean = F.try_divide(F.col("q") - F.col("n_names"), (F.col("n_names") * (F.col("n_names") - 1)).cast("double"))
+    return a.select("Book", "n_names", (F.col("n_names") * (F.col("n_names") - 1) / 2).cast("long").alias("n_pairs"), "n_obs",
+                    mean.alias("mean_corr"), F.when(mean >= 0.25, "common_thread").otherwise("independent").alias("verdict"))
