@@ -6,7 +6,7 @@ import importlib
 
 from riskloom.catalog import registry
 
-MODULES = ("q_frames", "q_risk", "q_series", "q_attr")
+MODULES = ("q_frames", "q_risk", "q_series", "q_attr", "q_build")
 
 
 def _load() -> None:

@@ -29,7 +29,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "blots": (("lots",), """SELECT lots.*, c_mktsegment AS book FROM lots
         JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""),
     "flots": (("lots",), "SELECT lots.*, p_type AS factor FROM lots JOIN part ON l_partkey = p_partkey"),
-    "px": (("lots",), """SELECT position, day AS date, round(avg(price / qty), 6) AS close, sum(qty) AS volume
+    "px": (("lots",), """SELECT position, day AS date, round(avg(price / qty), 8) AS close, sum(qty) AS volume
         FROM lots GROUP BY ALL"""),
     "adv": (("px",), """SELECT last_day(date) AS date, position, round(arg_max_null(a, date), 4) AS adv FROM (
         SELECT position, date, CASE WHEN count(*) OVER w >= 20 THEN avg(close * volume) OVER w END AS a FROM px
@@ -75,8 +75,17 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         (SELECT 'HistFull' AS scenarioset, date, factor, ret FROM panel UNION ALL {_events})
         UNION ALL {_hypos}"""),
     "prox": (("flots",), """SELECT CASE WHEN factor IS NULL THEN 'MKT' WHEN factor = 'PROMO' THEN 'RATE' ELSE 'INDEX' END AS series,
-        day AS date, round(sum(price / qty) / count(*), 6) AS close FROM flots
+        day AS date, round(sum(price / qty) / count(*), 8) AS close FROM flots
         GROUP BY GROUPING SETS ((day, factor), (day)) HAVING factor IS NULL OR factor IN ('PROMO', 'SMALL')"""),
+    "funda": (("lots",), """SELECT position, filed, round(assets * 0.6, 4) AS equity, assets, CASE WHEN n % 7 <> 0 THEN round(d * 8, 4) END AS liabilities,
+        round(assets * 0.06 - d, 4) AS netincome, CASE WHEN n % 11 <> 0 THEN qty * 1000 END AS shares FROM
+        (SELECT position, CAST(substring(position, 2) AS BIGINT) AS n, last_day(CAST(date_trunc('quarter', day) + INTERVAL 2 MONTH AS DATE)) + 45 AS filed,
+         sum(qty) AS qty, round(sum(price), 4) AS assets, round(sum(price * disc), 4) AS d FROM lots GROUP BY ALL)"""),
+    "half": (("lots",), """SELECT make_date(year(day), CASE WHEN month(day) <= 6 THEN 1 ELSE 7 END, 1) AS effective_date, position,
+        round(sum(mv), 4) AS rev FROM lots GROUP BY ALL"""),
+    "idx": (("half",), """SELECT effective_date, position FROM (SELECT *, median(rev) OVER (PARTITION BY effective_date) AS med FROM half) WHERE rev >= med"""),
+    "univ": (("sec", "idx"), """SELECT s.position, coalesce(h.n, 0) >= 5 AND s.cik % 11 <> 0 AS est FROM sec s
+        LEFT JOIN (SELECT position, count(*) AS n FROM idx GROUP BY position) h ON h.position = s.position"""),
     # the daily P&L series of each book at the as-of date (HistFull)
     "ser": (("pb",), "SELECT book, day_idx AS i, scen_date AS d, b AS r FROM pb WHERE date = DATE '2000-06-30' AND scenarioset = 'HistFull'"),
     "serm": (("ser",), "SELECT book, last_day(d) AS month, sum(r) AS total, count(*) AS days FROM ser GROUP BY ALL"),

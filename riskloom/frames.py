@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import threading
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,7 +94,7 @@ def shared_folder(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-_lock = threading.Lock()
+_lock = threading.RLock()
 
 
 def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame],
@@ -109,3 +110,12 @@ def materialized(spark: SparkSession, key: str, build: Callable[[], DataFrame],
         if not _exists(spark, f"{path}/_SUCCESS"):
             save_frame(build(), path, cluster_by)
     return spark.read.parquet(path)
+
+
+def staged(df: DataFrame, cluster_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back: cuts a plan that several later steps
+    would otherwise each recompute."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/riskloom/{spark.sparkContext.applicationId}/stage-{uuid.uuid4().hex}.parquet"
+    save_frame(df, path, cluster_by)
+    return spark.read.parquet(path)

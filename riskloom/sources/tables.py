@@ -66,7 +66,7 @@ def factor_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (line_lots(spark, sf_dir)
             .groupBy("Position", F.col("Day").alias("Date"))
-            .agg(F.round(F.avg(F.col("price") / F.col("qty")), 6).alias("Close"),
+            .agg(F.round(F.avg(F.col("price") / F.col("qty")), 8).alias("Close"),
                  F.sum("qty").alias("Volume")))
 
 
@@ -200,6 +200,9 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
         "specific_returns": mat("specific_returns", lambda: specific_returns(spark, sf_dir, fr), ["Date"]),
         "filings": mat("filings", lambda: filing_lots(spark, sf_dir)),
     }
+    f["fundamentals"] = mat("fundamentals", lambda: fundamentals(spark, sf_dir))
+    f["index"] = mat("index", lambda: index_snapshots(spark, sf_dir))
+    f["universe"] = mat("universe", lambda: universe(spark, sf_dir))
     f["proxies"] = mat("proxies", lambda: proxies(spark, sf_dir))
     f["managers"] = mat("managers", lambda: managers(f["filings"]))
     f["scenarios"] = mat("scenarios", lambda: scenarios.scenario_sets(fr, EVENTS, HYPOS))
@@ -214,4 +217,43 @@ def proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
     mkt = by.groupBy("Date").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).withColumn("Series", F.lit("MKT"))
     other = by.filter(F.col("Factor").isin("PROMO", "SMALL")).select(
         "Date", "s", "n", F.when(F.col("Factor") == "PROMO", "RATE").otherwise("INDEX").alias("Series"))
-    return mkt.unionByName(other).select("Series", "Date", F.round(F.col("s") / F.col("n"), 6).alias("Close"))
+    return mkt.unionByName(other).select("Series", "Date", F.round(F.col("s") / F.col("n"), 8).alias("Close"))
+
+
+def _number(col: str = "Position") -> Column:
+    return F.substring(F.col(col), 2, 18).cast("long")
+
+
+def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarterly facts per position, filed 45 days after the quarter; some names lack a tag."""
+    q = F.last_day(F.add_months(F.trunc("Day", "quarter"), 2))
+    a = (line_lots(spark, sf_dir).groupBy("Position", F.date_add(q, 45).alias("filed"))
+         .agg(F.sum("qty").alias("qty"), F.round(F.sum("price"), 4).alias("Assets"),
+              F.round(F.sum(F.col("price") * F.col("disc")), 4).alias("d")))
+    n = _number()
+    return a.select(
+        "Position", "filed", F.round(F.col("Assets") * 0.6, 4).alias("Equity"), "Assets",
+        F.when(n % 7 != 0, F.round(F.col("d") * 8, 4)).alias("Liabilities"),
+        F.round(F.col("Assets") * 0.06 - F.col("d"), 4).alias("NetIncome"),
+        F.when(n % 11 != 0, F.col("qty") * 1000).alias("Shares"))
+
+
+def index_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(effective_date, Position): members of the index from each half-year start, the names at or
+    above that half-year's median revenue."""
+    from riskloom.functions.quantiles import exact_quantiles
+
+    m = F.month("Day")
+    half = F.make_date(F.year("Day"), F.when(m <= 6, 1).otherwise(7), F.lit(1))
+    r = (line_lots(spark, sf_dir).groupBy(half.alias("effective_date"), "Position")
+         .agg(F.round(F.sum("mv"), 4).alias("rev")))
+    med = exact_quantiles(r, ["effective_date"], "rev", {"med": 0.5})
+    return r.join(med, "effective_date").filter(F.col("rev") >= F.col("med")).select("effective_date", "Position")
+
+
+def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(Position, is_estimation): coverage names; the estimation seed is the index of any half-year
+    among names that report shares."""
+    seed = index_snapshots(spark, sf_dir).groupBy("Position").agg(F.count(F.lit(1)).alias("halves"))
+    return (securities(spark, sf_dir).select("Position").join(seed, "Position", "left")
+            .select("Position", ((F.coalesce("halves", F.lit(0)) >= 5) & (_number() % 11 != 0)).alias("is_estimation")))
