@@ -17,14 +17,18 @@ from riskloom import schema
 
 
 class Frames(Mapping[str, DataFrame]):
-    """Named DataFrames honouring :mod:`riskloom.schema`; also reachable as attributes."""
+    """Named DataFrames honouring :mod:`riskloom.schema`; also reachable as attributes. A value may
+    be a function, called on first use."""
 
-    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame]):
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame | Callable[[], DataFrame]]):
         self.spark = spark
         self._f = frames
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self._f[name]
+        v = self._f[name]
+        if not isinstance(v, DataFrame):
+            v = self._f[name] = v()
+        return v
 
     def __iter__(self) -> Iterator[str]:
         return iter(self._f)
@@ -33,10 +37,9 @@ class Frames(Mapping[str, DataFrame]):
         return len(self._f)
 
     def __getattr__(self, name: str) -> DataFrame:
-        try:
-            return self.__dict__["_f"][name]
-        except KeyError:
-            raise AttributeError(name) from None
+        if name.startswith("_") or name not in self.__dict__["_f"]:
+            raise AttributeError(name)
+        return self[name]
 
     def replace(self, **frames: DataFrame) -> "Frames":
         return Frames(self.spark, {**self._f, **frames})

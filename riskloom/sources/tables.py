@@ -187,26 +187,28 @@ def frames(spark: SparkSession, sf_dir: str) -> Frames:
     def mat(name, build, cluster=None):
         return materialized(spark, f"{tag}/{name}", build, cluster)
 
-    fr = mat("factor_returns", lambda: factor_returns(spark, sf_dir))
-    px = mat("prices", lambda: prices(spark, sf_dir), ["Position"])
-    f = {
-        "factor_returns": fr,
-        "prices": px,
-        "factor_meta": mat("factor_meta", lambda: factor_meta(fr)),
-        "exposures": mat("exposures", lambda: exposures(spark, sf_dir), ["Date"]),
-        "positions": mat("positions", lambda: positions(spark, sf_dir), ["Date"]),
-        "securities": mat("securities", lambda: securities(spark, sf_dir)),
-        "specific_var": mat("specific_var", lambda: specific_var(spark, sf_dir), ["Date"]),
-        "specific_returns": mat("specific_returns", lambda: specific_returns(spark, sf_dir, fr), ["Date"]),
-        "filings": mat("filings", lambda: filing_lots(spark, sf_dir)),
-    }
-    f["fundamentals"] = mat("fundamentals", lambda: fundamentals(spark, sf_dir))
-    f["index"] = mat("index", lambda: index_snapshots(spark, sf_dir))
-    f["universe"] = mat("universe", lambda: universe(spark, sf_dir))
-    f["proxies"] = mat("proxies", lambda: proxies(spark, sf_dir))
-    f["managers"] = mat("managers", lambda: managers(f["filings"]))
-    f["scenarios"] = mat("scenarios", lambda: scenarios.scenario_sets(fr, EVENTS, HYPOS))
-    return Frames(spark, f)
+    f: dict = {}
+    out = Frames(spark, f)
+
+    def lazy(name, build, cluster=None):
+        f[name] = lambda: mat(name, build, cluster)
+
+    lazy("factor_returns", lambda: factor_returns(spark, sf_dir))
+    lazy("prices", lambda: prices(spark, sf_dir), ["Position"])
+    lazy("factor_meta", lambda: factor_meta(out.factor_returns))
+    lazy("exposures", lambda: exposures(spark, sf_dir), ["Date"])
+    lazy("positions", lambda: positions(spark, sf_dir), ["Date"])
+    lazy("securities", lambda: securities(spark, sf_dir))
+    lazy("specific_var", lambda: specific_var(spark, sf_dir), ["Date"])
+    lazy("specific_returns", lambda: specific_returns(spark, sf_dir, out.factor_returns), ["Date"])
+    lazy("filings", lambda: filing_lots(spark, sf_dir))
+    lazy("fundamentals", lambda: fundamentals(spark, sf_dir))
+    lazy("index", lambda: index_snapshots(spark, sf_dir))
+    lazy("universe", lambda: universe(spark, sf_dir))
+    lazy("proxies", lambda: proxies(spark, sf_dir))
+    lazy("managers", lambda: managers(out.filings))
+    lazy("scenarios", lambda: scenarios.scenario_sets(out.factor_returns, EVENTS, HYPOS))
+    return out
 
 
 def proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
