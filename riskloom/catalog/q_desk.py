@@ -260,7 +260,7 @@ _MEAS = f"""SELECT book, metric, value, detail FROM (
     SELECT book, 'single_name_weight', max(weight), replace(arg_max(position, weight), 'P', 't') FROM pos WHERE date = {AS} GROUP BY book UNION ALL
     SELECT book, 'sector_weight', max(w), arg_max(sector, w) FROM (SELECT book, sector, sum(weight) AS w FROM pos p JOIN sec s ON s.position = p.position WHERE date = {AS} GROUP BY ALL) GROUP BY book)"""
 _LIMV = ", ".join(f"('{b}', '{m}', {w}::DOUBLE, {l}::DOUBLE)" for b, m, w, l in LIMS)
-_CHK = f"""SELECT m.book, m.metric, m.value, l.warn, l.lim AS limit, CASE WHEN m.value >= l.lim THEN 'breach' WHEN m.value >= l.warn THEN 'amber' ELSE 'green' END AS status, l.lim - m.value AS headroom, m.detail,
+_CHK = f"""SELECT m.book, m.metric, m.value, l.warn, l.lim AS "limit", CASE WHEN m.value >= l.lim THEN 'breach' WHEN m.value >= l.warn THEN 'amber' ELSE 'green' END AS status, l.lim - m.value AS headroom, m.detail,
     l.b = '*' AND m.book <> 'BUILDING' AS cross_book FROM ({_MEAS}) m JOIN (VALUES {_LIMV}) l(b, metric, warn, lim) ON l.metric = m.metric AND (l.b = m.book OR (l.b = '*' AND NOT (m.book = 'BUILDING' AND m.metric = 'Scenario VaR 99')))"""
 
 
@@ -275,7 +275,8 @@ def _(s, d):
     return desk.overall_status(desk.check_limits(measured(s, d), limits_df(s), "BUILDING"))
 
 
-@query("src13_limit_table", f"SELECT b AS book, metric, round(warn, 6) + 0.0 AS warn, round(lim, 6) + 0.0 AS limit, c.n AS names FROM (VALUES {_LIMV}) l(b, metric, warn, lim) JOIN (SELECT count(*) AS n FROM supplier) c ON true")
+@query("src13_limit_table", f'''SELECT b AS book, metric, round(warn, 6) + 0.0 AS warn, round(lim, 6) + 0.0 AS "limit", c.n AS names
+    FROM (VALUES {_LIMV}) l(b, metric, warn, lim) JOIN (SELECT count(*) AS n FROM supplier) c ON true''')
 def _(s, d):
     n = fr(s, d).securities.agg(F.count(F.lit(1))).scalar()
     return limits_df(s).withColumn("names", n)

@@ -53,7 +53,7 @@ _SFX = ", ".join(f"'{x}'" for x in un.NAME_SUFFIXES)
 
 
 def _norm_sql(c: str) -> str:
-    return f"array_to_string(list_filter(string_split_regex(trim(regexp_replace(upper({c}), '[^A-Z0-9 ]', ' ', 'g')), ' +'), x -> x <> '' AND x NOT IN ({_SFX})), ' ')"
+    return f"array_to_string(list_filter(string_split_regex(trim(regexp_replace(upper({c}), '[^A-Z0-9 ]', ' ', 'g')), ' +'), lambda x: x <> '' AND x NOT IN ({_SFX})), ' ')"
 
 
 @query("prj09_normalised_name", f"SELECT p_partkey, {_norm_sql('''p_name || ', Inc. Holdings The ' || p_brand''')} AS name FROM part")
@@ -185,10 +185,10 @@ def funnel(s, d):
     return un.funnel(metrics(s, d), held, CFG)
 
 
-@query("win06_liquidity_metrics", fsql("SELECT date, position, hist_days, close, adv, trade_freq, mcap FROM nm", "adv trade_freq mcap", "nm", digits=3), 3)
+@query("win06_liquidity_metrics", fsql("SELECT date, position, hist_days, adv, trade_freq, mcap FROM nm", "adv trade_freq mcap", "nm", digits=5), 5)
 def _(s, d):
     f = fr(s, d)
-    return un.name_metrics(f.prices, f.fundamentals, until(f)).withColumn("Close", F.col("Close"))
+    return un.name_metrics(f.prices, f.fundamentals, until(f)).drop("Close")
 
 
 @query("prj12_failing_stage", fsql("SELECT date, position, stage FROM fst", "", "fst"))
@@ -196,7 +196,7 @@ def _(s, d):
     return metrics(s, d).select("Date", "Position", un.first_failing_stage(CFG).alias("stage"))
 
 
-@query("mod24_funnel", fsql("SELECT date, position, mcap, hist_days, trade_freq, adv, n_descriptors, stage_dropped, stage_dropped IS NULL AS survived, held FROM fd2", "mcap trade_freq adv", "fd2", digits=3), 3)
+@query("mod24_funnel", fsql("SELECT date, position, mcap, hist_days, trade_freq, adv, n_descriptors, stage_dropped, stage_dropped IS NULL AS survived, held FROM fd2", "mcap trade_freq adv", "fd2", digits=5), 5)
 def _(s, d):
     return funnel(s, d).select("Date", "Position", "mcap", "hist_days", "trade_freq", "adv", "n_descriptors", "stage_dropped", "survived", "held")
 

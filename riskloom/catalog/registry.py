@@ -35,7 +35,7 @@ def tidy_sql(body: str, doubles: str = "", digits: int = 6) -> str:
     cols = doubles.split()
     if not cols:
         return body
-    rep = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c in cols)
+    rep = ", ".join(f'round("{c}", {digits}) + 0.0 AS "{c}"' for c in cols)
     return f"SELECT * REPLACE ({rep}) FROM ({body})"
 
 
