@@ -185,10 +185,10 @@ def funnel(s, d):
     return un.funnel(metrics(s, d), held, CFG)
 
 
-@query("win06_liquidity_metrics", fsql("SELECT date, position, hist_days, adv, trade_freq, mcap FROM nm", "adv trade_freq mcap", "nm", digits=5), 5)
+@query("win06_liquidity_metrics", fsql("SELECT date, position, hist_days, adv, trade_freq, ln(mcap) AS ln_mcap FROM nm", "adv trade_freq ln_mcap", "nm", digits=5), 5)
 def _(s, d):
     f = fr(s, d)
-    return un.name_metrics(f.prices, f.fundamentals, until(f)).drop("Close")
+    return un.name_metrics(f.prices, f.fundamentals, until(f)).select("Date", "Position", "hist_days", "adv", "trade_freq", F.log("mcap").alias("ln_mcap"))
 
 
 @query("prj12_failing_stage", fsql("SELECT date, position, stage FROM fst", "", "fst"))
@@ -196,9 +196,9 @@ def _(s, d):
     return metrics(s, d).select("Date", "Position", un.first_failing_stage(CFG).alias("stage"))
 
 
-@query("mod24_funnel", fsql("SELECT date, position, mcap, hist_days, trade_freq, adv, n_descriptors, stage_dropped, stage_dropped IS NULL AS survived, held FROM fd2", "mcap trade_freq adv", "fd2", digits=5), 5)
+@query("mod24_funnel", fsql("SELECT date, position, ln(mcap) AS ln_mcap, hist_days, trade_freq, adv, n_descriptors, stage_dropped, stage_dropped IS NULL AS survived, held FROM fd2", "ln_mcap trade_freq adv", "fd2", digits=5), 5)
 def _(s, d):
-    return funnel(s, d).select("Date", "Position", "mcap", "hist_days", "trade_freq", "adv", "n_descriptors", "stage_dropped", "survived", "held")
+    return funnel(s, d).select("Date", "Position", F.log("mcap").alias("ln_mcap"), "hist_days", "trade_freq", "adv", "n_descriptors", "stage_dropped", "survived", "held")
 
 
 @query("ag06_funnel_counts", fsql("SELECT date, count(*) AS population, count(*) FILTER (WHERE stage_dropped = 'data unavailable') AS data_unavailable, " + ", ".join(
