@@ -49,7 +49,7 @@ def _(s, d):
                      F.when(F.col("l_returnflag") == "R", "Put").alias("putCall"))
     path = landing(s, "xml")
     rows.write.format("xml").option("rowTag", "infoTable").option("rootTag", "informationTable").save(path)
-    t = landed.information_table(s, path)
+    t = landed.information_table(s, path, documents=False)
     return t.groupBy("issuer", "cusip").agg(F.sum("value").alias("value"), F.sum("shares").alias("shares"), F.count(F.lit(1)).alias("n"))
 
 

@@ -44,12 +44,22 @@ def filing_index(spark: SparkSession, submissions: str, pages: str | None = None
     return rows.filter(F.col("form") == form).dropDuplicates(["accessionNumber"])
 
 
-def information_table(spark: SparkSession, path: str) -> DataFrame:
-    """Holding rows of information-table XML (any namespace prefix): cash equities only, missing
-    amounts read 0. Column ``accession`` is the file's name, to join the filing index."""
-    schema = ("nameOfIssuer string, cusip string, value double, shrsOrPrnAmt struct<sshPrnamt:double, sshPrnamtType:string>, putCall string")
-    d = spark.read.format("xml").option("rowTag", "infoTable").schema(schema).load(path)
-    d = d.withColumn("accession", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.xml$", 1))
+_HOLDING = "nameOfIssuer string, cusip string, value double, shrsOrPrnAmt struct<sshPrnamt:double, sshPrnamtType:string>, putCall string"
+
+
+def information_table(spark: SparkSession, path: str, documents: bool = True) -> DataFrame:
+    """Holding rows of information-table XML: cash equities only, missing amounts read 0. Column
+    ``accession`` is the file's name, to join the filing index.
+
+    ``documents``: one filing per file with any namespace prefix, which is stripped before parsing.
+    Otherwise large unprefixed files are split by the XML reader itself."""
+    acc = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.xml$", 1).alias("accession")
+    if documents:
+        t = spark.read.text(path, wholetext=True).select(acc, F.regexp_replace("value", r"(</?)[A-Za-z0-9_]+:", "$1").alias("t"))
+        blocks = F.regexp_extract_all("t", F.lit(r"(?s)<infoTable[ >].*?</infoTable>"), F.lit(0))
+        d = t.select("accession", F.explode(blocks).alias("x")).select("accession", F.from_xml("x", _HOLDING).alias("r")).select("accession", "r.*")
+    else:
+        d = spark.read.format("xml").option("rowTag", "infoTable").schema(_HOLDING).load(path).select("*", acc)
     z = F.lit(0.0)
     rows = d.select("accession", F.col("nameOfIssuer").alias("issuer"), F.upper(F.trim("cusip")).alias("cusip"),
                     F.coalesce("value", z).alias("value"), F.coalesce("shrsOrPrnAmt.sshPrnamt", z).alias("shares"),
