@@ -122,7 +122,7 @@ def domicile(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 def price_csv(spark: SparkSession, path: str) -> DataFrame:
     """Daily price CSV per symbol file (<symbol>.csv): Date, Close, Volume; a body that is no CSV (an
     error page) drops out with its malformed rows, and so do null closes."""
-    d = spark.read.schema("Date string, Close string, Volume string").option("header", True).option("mode", "DROPMALFORMED").option("enforceSchema", False).csv(path)
+    d = spark.read.schema("Date string, Close string, Volume string").option("header", True).option("mode", "DROPMALFORMED").csv(path)
     # <symbol>.csv, or a file inside a symbol=<symbol> folder
     part = F.regexp_extract(F.col("_metadata.file_path"), r"symbol=([^/]+)/", 1)
     sym = F.coalesce(F.nullif(part, F.lit("")), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1))
