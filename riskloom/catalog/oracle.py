@@ -11,8 +11,8 @@ _case = ", ".join(f"sum(CASE WHEN factor = '{s}' THEN mv END) AS v_{s}" for s in
 _shares = ", ".join(f"coalesce(v_{s}, 0) / v_all AS {s}" for s in STYLES)
 _zs = " UNION ALL ".join(
     f"SELECT date, position, '{s}' AS factor, "
-    f"CASE WHEN stddev_samp({s}) OVER (PARTITION BY date) > 0 THEN round(({s} - avg({s}) OVER (PARTITION BY date))"
-    f" / stddev_samp({s}) OVER (PARTITION BY date), 10) END AS loading FROM shares" for s in STYLES)
+    f"CASE WHEN stddev_samp({s}) OVER (PARTITION BY date) > 0 THEN ({s} - avg({s}) OVER (PARTITION BY date))"
+    f" / stddev_samp({s}) OVER (PARTITION BY date) END AS loading FROM shares" for s in STYLES)
 _events = " UNION ALL ".join(
     f"SELECT '{n}' AS scenarioset, date, factor, ret FROM panel WHERE date BETWEEN DATE '{a}' AND DATE '{b}'"
     for n, (a, b) in EVENTS.items())
@@ -25,7 +25,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "lots": ((), """SELECT l_orderkey, l_partkey, 'P' || CAST(l_suppkey AS VARCHAR) AS position,
         CAST(l_shipdate AS DATE) AS day, last_day(CAST(l_shipdate AS DATE)) AS date,
         l_extendedprice * (1 - l_discount) AS mv, l_quantity AS qty, l_extendedprice AS price,
-        l_discount AS disc FROM lineitem"""),
+        l_discount AS disc, CAST(round(l_discount * 100) AS BIGINT) AS cents FROM lineitem"""),
     "blots": (("lots",), """SELECT lots.*, c_mktsegment AS book FROM lots
         JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""),
     "flots": (("lots",), "SELECT lots.*, p_type AS factor FROM lots JOIN part ON l_partkey = p_partkey"),
@@ -37,19 +37,19 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         GROUP BY ALL"""),
     "mvs": (("blots",), "SELECT date, book, position, round(sum(mv), 4) AS mv FROM blots GROUP BY ALL"),
     "pos": (("mvs", "adv"), """SELECT m.date, m.book, m.position,
-        round(m.mv / sum(m.mv) OVER (PARTITION BY m.date, m.book), 12) AS weight, m.mv, a.adv
+        m.mv / sum(m.mv) OVER (PARTITION BY m.date, m.book) AS weight, m.mv, a.adv
         FROM mvs m LEFT JOIN adv a ON m.date = a.date AND m.position = a.position"""),
     "rev": (("flots",), f"SELECT date, position, sum(mv) AS v_all, {_case} FROM flots GROUP BY ALL"),
     "shares": (("rev",), f"SELECT date, position, {_shares} FROM rev"),
     "expo": (("shares",), f"""SELECT * FROM (SELECT date, position, 'Market' AS factor, 1.0::DOUBLE AS loading
         FROM shares UNION ALL {_zs}) WHERE loading IS NOT NULL"""),
     "fr": (("flots",), """SELECT day AS date, coalesce(factor, 'Market') AS factor,
-        round(sum(disc) / count(disc) - 0.05, 12) AS ret FROM flots
+        CAST(sum(cents) AS DOUBLE) / (100::DOUBLE * count(cents)) - 0.05::DOUBLE AS ret FROM flots
         GROUP BY GROUPING SETS ((day, factor), (day))"""),
-    "sr": (("lots", "fr"), """SELECT l.day AS date, l.position, round(l.d - 0.05 - f.ret, 12) AS sret FROM
-        (SELECT day, position, avg(disc) AS d FROM lots GROUP BY ALL) l
+    "sr": (("lots", "fr"), """SELECT l.day AS date, l.position, l.d - 0.05::DOUBLE - f.ret AS sret FROM
+        (SELECT day, position, CAST(sum(cents) AS DOUBLE) / (100::DOUBLE * count(cents)) AS d FROM lots GROUP BY ALL) l
         JOIN fr f ON f.date = l.day AND f.factor = 'Market'"""),
-    "sv": (("lots",), """SELECT * FROM (SELECT date, position, round(var_samp(disc), 12) AS sv FROM lots GROUP BY ALL)
+    "sv": (("lots",), """SELECT * FROM (SELECT date, position, var_samp(disc) AS sv FROM lots GROUP BY ALL)
         WHERE sv IS NOT NULL"""),
     "sec": ((), """SELECT 'P' || CAST(s_suppkey AS VARCHAR) AS position, 't' || CAST(s_suppkey AS VARCHAR) AS ticker,
         s_suppkey AS cik, lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS cusip, s_name AS issuer, n_name AS sector,

@@ -5,17 +5,17 @@ from riskloom.catalog.registry import query, tidy_sql
 from riskloom.sources import tables
 
 
-@query("frame_positions", sql(tidy_sql("SELECT * FROM pos", "weight", 12), "pos"), 12)
+@query("frame_positions", sql(tidy_sql("SELECT * FROM pos", "weight", 9), "pos"), 9)
 def _(spark, sf):
     return tables.frames(spark, sf).positions
 
 
-@query("frame_exposures", sql(tidy_sql("SELECT * FROM expo", "loading", 12), "expo"), 12)
+@query("frame_exposures", sql(tidy_sql("SELECT * FROM expo", "loading"), "expo"))
 def _(spark, sf):
     return tables.frames(spark, sf).exposures
 
 
-@query("frame_specific_var", sql(tidy_sql("SELECT date, position, sv AS specificvar FROM sv", "specificvar", 12), "sv"), 12)
+@query("frame_specific_var", sql(tidy_sql("SELECT date, position, sv AS specificvar FROM sv", "specificvar", 9), "sv"), 9)
 def _(spark, sf):
     return tables.frames(spark, sf).specific_var
 

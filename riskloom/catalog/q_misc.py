@@ -89,14 +89,14 @@ def _(s, d):
 
 
 # ---- joins -----------------------------------------------------------------------------------------
-@query("jn01_star_join", sql(tidy_sql("""SELECT e.date, p.book, e.position, e.factor, f.factorgroup, s.sector, s.country, e.loading, p.weight, v.sv AS specificvar FROM expo e JOIN pos p ON p.date = e.date AND p.position = e.position
-    LEFT JOIN sec s ON s.position = e.position LEFT JOIN fm f ON f.factor = e.factor LEFT JOIN sv v ON v.date = e.date AND v.position = e.position WHERE e.date >= DATE '2001-01-01'""", "loading weight specificvar", 12), "expo", "pos", "sec", "fm", "sv"), 12)
+@query("jn01_star_join", sql(tidy_sql("""SELECT e.date, p.book, e.position, e.factor, f.factorgroup, s.sector, s.country, e.loading, p.weight, sqrt(v.sv) AS specific_vol FROM expo e JOIN pos p ON p.date = e.date AND p.position = e.position
+    LEFT JOIN sec s ON s.position = e.position LEFT JOIN fm f ON f.factor = e.factor LEFT JOIN sv v ON v.date = e.date AND v.position = e.position WHERE e.date >= DATE '2001-01-01'""", "loading weight specific_vol"), "expo", "pos", "sec", "fm", "sv"))
 def _(s, d):
     f = fr(s, d)
     e = f.exposures.filter(F.col("Date") >= F.lit(dt.date(2001, 1, 1)))
     j = e.join(f.positions.select("Date", "Book", "Position", "Weight"), ["Date", "Position"])
     j = j.join(f.securities.select("Position", "Sector", "Country"), "Position", "left").join(F.broadcast(f.factor_meta), "Factor", "left")
-    return j.join(f.specific_var, ["Date", "Position"], "left")
+    return j.join(f.specific_var, ["Date", "Position"], "left").withColumn("specific_vol", F.sqrt("SpecificVar")).drop("SpecificVar")
 
 
 @query("jn02_fan_out", sql(tidy_sql(f"SELECT x.book, s.scenarioset, x.factor, x.x, count(*) AS days FROM xb x JOIN scn s ON s.factor = x.factor WHERE x.date = {AS} GROUP BY ALL", "x"), "xb", "scn"))
@@ -127,7 +127,7 @@ def _(s, d):
     return build.filing_weights(fr(s, d).filings.select("Book", "filing_date", "Position", "MV"))
 
 
-@query("jn07_latest_row", sql(tidy_sql(f"SELECT position, arg_max(sv, date) AS specificvar, max(date) AS date FROM sv WHERE date <= {AS} GROUP BY position", "specificvar", 12), "sv"), 12)
+@query("jn07_latest_row", sql(tidy_sql(f"SELECT position, arg_max(sv, date) AS specificvar, max(date) AS date FROM sv WHERE date <= {AS} GROUP BY position", "specificvar", 9), "sv"), 9)
 def _(s, d):
     v = fr(s, d).specific_var.filter(F.col("Date") <= F.lit(ASOF))
     return v.groupBy("Position").agg(F.max_by("SpecificVar", F.col("Date")).alias("SpecificVar"), F.max("Date").alias("Date"))

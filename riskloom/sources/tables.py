@@ -44,7 +44,7 @@ def line_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.last_day(day).alias("Date"),
         (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("mv"),
         F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"),
-        F.col("l_discount").alias("disc"))
+        F.col("l_discount").alias("disc"), F.round(F.col("l_discount") * 100).cast("long").alias("cents"))
 
 
 def book_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +90,7 @@ def with_weights(mv: DataFrame, keys: list[str]) -> DataFrame:
     book of any breadth stays spread over tasks."""
     tot = mv.groupBy(*keys).agg(F.sum("MV").alias("_tot"))
     return (mv.join(tot, keys)
-            .withColumn("Weight", F.round(F.col("MV") / F.col("_tot"), 12)).drop("_tot"))
+            .withColumn("Weight", F.col("MV") / F.col("_tot")).drop("_tot"))
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,31 +110,32 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
     st = sh.groupBy("Date").agg(
         *[F.avg(s).alias(f"m_{s}") for s in STYLES], *[F.stddev_samp(s).alias(f"s_{s}") for s in STYLES])
     z = sh.join(st, "Date").select("Date", "Position", F.lit(1.0).alias("Market"), *[
-        F.when(F.col(f"s_{s}") > 0, F.round((F.col(s) - F.col(f"m_{s}")) / F.col(f"s_{s}"), 10)).alias(s)
+        F.when(F.col(f"s_{s}") > 0, F.try_divide(F.col(s) - F.col(f"m_{s}"), F.col(f"s_{s}"))).alias(s)
         for s in STYLES])
     return (z.unpivot(["Date", "Position"], ["Market", *STYLES], "Factor", "Loading")
             .filter(F.col("Loading").isNotNull()))
 
 
 def factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean discount over the neutral rate per day; summed in whole cents, so equal means tie exactly."""
     by = (factor_lots(spark, sf_dir).groupBy(F.col("Day").alias("Date"), "Factor")
-          .agg(F.sum("disc").alias("s"), F.count("disc").alias("n")))
+          .agg(F.sum("cents").alias("s"), F.count("cents").alias("n")))
     mkt = by.groupBy("Date").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     both = by.unionByName(mkt.select("Date", F.lit("Market").alias("Factor"), "s", "n"))
-    return both.select("Date", "Factor", F.round(F.col("s") / F.col("n") - 0.05, 12).alias("Return"))
+    return both.select("Date", "Factor", (F.col("s").cast("double") / (100.0 * F.col("n")) - 0.05).alias("Return"))
 
 
 def specific_returns(spark: SparkSession, sf_dir: str, fr: DataFrame) -> DataFrame:
     by = (line_lots(spark, sf_dir).groupBy(F.col("Day").alias("Date"), "Position")
-          .agg(F.avg("disc").alias("d")))
+          .agg((F.sum("cents").cast("double") / (100.0 * F.count("cents"))).alias("d")))
     mkt = fr.filter(F.col("Factor") == "Market").select("Date", F.col("Return").alias("m"))
     return by.join(mkt, "Date").select(
-        "Date", "Position", F.round(F.col("d") - 0.05 - F.col("m"), 12).alias("SpecificReturn"))
+        "Date", "Position", (F.col("d") - 0.05 - F.col("m")).alias("SpecificReturn"))
 
 
 def specific_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (line_lots(spark, sf_dir).groupBy("Date", "Position")
-            .agg(F.round(F.var_samp("disc"), 12).alias("SpecificVar"))
+            .agg(F.var_samp("disc").alias("SpecificVar"))
             .filter(F.col("SpecificVar").isNotNull()))
 
 
