@@ -366,3 +366,16 @@ def _(s, d):
 def _(s, d):
     return pivot(fr(s, d), ["Date", "Book", "Sector"], ["Custom stress PnL"], filters=HF,
                  shocks={"Market": -2.0, "SMALL": 1.5})
+
+
+@query("vec01_pit_sets", sql(tidy_sql("""SELECT 'PIT:' || strftime(e, '%Y-%m-%d') AS scenarioset, row_number() OVER (PARTITION BY e, factor ORDER BY date) - 1 AS day_idx, date AS scen_date, factor, ret AS shock
+    FROM panel JOIN (VALUES (DATE '1999-12-31'), (DATE '2000-06-30')) v(e) ON date <= e""", "shock", 12), "panel"), 12)
+def _(s, d):
+    return sc.pit_sets(fr(s, d).factor_returns, ["1999-12-31", "2000-06-30"])
+
+
+@query("mod22_pit_model_vol", psql("""SELECT x.book, sqrt(v.vol * v.vol + x.svar) AS model_vol FROM spec x JOIN (SELECT b.book, stddev_samp(b) AS vol FROM (SELECT x.book, p.date, sum(x.x * p.ret) AS b
+    FROM xb x JOIN panel p ON p.factor = x.factor WHERE x.date = DATE '2000-06-30' AND p.date <= DATE '2000-06-30' GROUP BY ALL) b GROUP BY b.book) v ON v.book = x.book WHERE x.date = DATE '2000-06-30'""", "model_vol", {}, "spec", "xb", "panel"))
+def _(s, d):
+    f = fr(s, d)
+    return pivot(f, ["Book"], ["Model vol"], filters={"Date": [ASOF], "ScenarioSet": ["PIT:2000-06-30"]}, scenarios=sc.pit_sets(f.factor_returns, ["2000-06-30"]))

@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and as-of joins by validity interval."""
+"""Join helpers: size-checked broadcast, as-of joins and owner months."""
 
 from __future__ import annotations
 
@@ -23,12 +23,6 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
     return F.broadcast(df) if size is not None and size <= limit else df
 
 
-def validity(df: DataFrame, by: list[str], on: str, until: str = "_until") -> DataFrame:
-    """Add the next value of ``on`` within ``by``: a row is in force while on <= t < until."""
-    w = Window.partitionBy(*by).orderBy(on)
-    return df.withColumn(until, F.lead(on).over(w))
-
-
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str,
               strict: bool = False, how: str = "left") -> DataFrame:
     """Backward as-of join: each left row meets the latest right row with right_on <= left_on
@@ -57,14 +51,6 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
                         if c not in left.columns])
 
 
-def month_intervals(month_ends: DataFrame, col: str = "Date") -> DataFrame:
-    """(d0, d1] windows of a month-end calendar: d1 is the next month-end, NULL for the last.
-
-    The calendar is one row per month, so the single-partition window is bounded by its length."""
-    d = month_ends.select(F.col(col).alias("d0")).distinct()
-    return d.withColumn("d1", F.lead("d0").over(Window.partitionBy(F.lit(0)).orderBy("d0")))
-
-
 def owner_month(df: DataFrame, month_ends: DataFrame, on: str = "Date") -> DataFrame:
     """Stamp each row with the largest month-end strictly before its day (column ``d0``).
 

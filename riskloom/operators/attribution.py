@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.functions.joins import owner_month
+from riskloom.functions.quantiles import top_k
 from riskloom.operators.exposure import FAC_DIMS, KEYS, SEC_DIMS, with_security
 
 
@@ -105,9 +107,9 @@ def drifting_weights(frames: Mapping[str, DataFrame]) -> DataFrame:
     r = name_returns(expo, frames["factor_returns"], frames["specific_returns"])
     held = pos.groupBy("Book", F.col("Date").alias("anchor"), "Position").agg(F.sum("Weight").alias("w0"))
     months = days.select("Book", "anchor", "d0").distinct()
-    h = held.join(F.broadcast(months), ["Book", "anchor"])
+    h = held.join(months, ["Book", "anchor"])
     j = (h.join(r, ["Position", "d0"])
-         .join(F.broadcast(days.select("Book", "anchor", "Day")), ["Book", "anchor", "Day"], "left_semi"))
+         .join(days.select("Book", "anchor", "Day"), ["Book", "anchor", "Day"], "left_semi"))
     w = Window.partitionBy("Book", "anchor", "Position").orderBy("Day").rowsBetween(Window.unboundedPreceding, -1)
     return j.withColumn("val", F.col("w0") * F.exp(F.coalesce(F.sum(F.log1p("R")).over(w), F.lit(0.0))))
 
@@ -150,7 +152,7 @@ def compute_attribution(frames: Mapping[str, DataFrame]) -> DataFrame:
     fac_rows = (x.select("Book", F.col("Day").alias("Date"), F.col("Factor").alias("Source"), F.explode(both).alias("k"))
                 .select("Book", "Date", "k.Kind", "Source", "k.Value"))
     anchors = days.select("Book", "anchor").distinct()
-    held = pos.withColumnRenamed("Date", "anchor").join(F.broadcast(anchors), ["Book", "anchor"], "left_semi")
+    held = pos.withColumnRenamed("Date", "anchor").join(anchors, ["Book", "anchor"], "left_semi")
     unp = (held.join(v.select("Book", "anchor", "Position"), ["Book", "anchor", "Position"], "left_anti")
            .join(frames["securities"].select("Position", "Ticker"), "Position", "left")
            .select("Book", F.col("anchor").alias("Date"), F.lit("unpriced").alias("Kind"),
@@ -243,8 +245,6 @@ def name_attribution(frames: Mapping[str, DataFrame], lo, hi, monthly: bool = Fa
 
 def concentration(df: DataFrame, by: list[str], value: str, k: int = 5) -> DataFrame:
     """HHI of |value| shares, top-k share and count per group; NULL when nothing moved."""
-    from riskloom.functions.quantiles import top_k
-
     d = df.filter(F.col(value).isNotNull()).select(*by, F.abs(value).alias("_a"))
     tot = d.groupBy(*by).agg(F.sum("_a").alias("t"), F.sum(F.col("_a") ** 2).alias("q"), F.count(F.lit(1)).alias("n"))
     top = top_k(d, by, [F.col("_a").desc()], k).groupBy(*by).agg(F.sum("_a").alias("_top"))
@@ -397,8 +397,6 @@ def position_surprises(frames: Mapping[str, DataFrame], art: DataFrame, panel: D
         F.count_distinct("Date")).scalar()
     ww = (frames["positions"].filter((F.col("Date") >= F.lit(t).cast("date")) & (F.col("Date") < F.lit(t_end).cast("date")))
           .groupBy("Book", "Position").agg((F.sum("Weight") / months).alias("w_win")))
-    import datetime as dt
-
     na = name_attribution(frames, dt.date.fromisoformat(t), dt.date.fromisoformat(t_end))
     z = F.lit(0.0)
     j = (pos.select("Book", "Position", "Weight").join(nv, "Position", "left").join(sv, "Position", "left")
@@ -422,9 +420,8 @@ def position_surprises(frames: Mapping[str, DataFrame], art: DataFrame, panel: D
 
 def comovement(specific_returns: DataFrame, names: DataFrame, lo, hi, min_obs: int = 20) -> DataFrame:
     """Mean pairwise residual correlation of each book's breach names over (lo, hi], without pairs:
-    each name is standardised, and the mean correlation follows from the sum across names per day.
-
-    Exact when every name has every day; names are standardised over the days all have in common."""
+    each name is standardised over the days all of them share, and the mean correlation follows from
+    the variance of the sum across names."""
     s = specific_returns.filter((F.col("Date") > F.lit(lo)) & (F.col("Date") <= F.lit(hi)))
     j = s.join(names.select("Book", "Position"), "Position")
     full = j.groupBy("Book", "Position").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_obs)

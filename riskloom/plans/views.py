@@ -7,8 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskloom.functions.quantiles import top_k
-from riskloom.operators import measures as ms
-from riskloom.operators.exposure import KEYS, TOTAL
 from riskloom.plans.pivot import PivotError, pivot
 
 
@@ -83,7 +81,7 @@ def top_and_rest(df: DataFrame, by: list[str], name: str, value: str, k: int = 8
     so the tail is summed where it lies."""
     d = df.select(*by, F.col(name).alias("_n"), F.col(value).alias("_v"))
     top = top_k(d, by, [F.abs("_v").desc(), "_n"], k).select(*by, "_n", F.lit(True).alias("_t"))
-    j = d.join(F.broadcast(top), [*by, "_n"], "left")
+    j = d.join(top, [*by, "_n"], "left")
     return j.groupBy(*by, F.when(F.col("_t"), F.col("_n")).otherwise("rest").alias("name")).agg(
         F.sum("_v").alias("value"), F.count(F.lit(1)).alias("n"))
 
@@ -135,5 +133,3 @@ def artifact_guard(artifact: DataFrame, books: DataFrame) -> DataFrame:
     return books.join(n, "Book", "left").select("Book", F.when(F.col("rows").isNull(), "mismatch").otherwise("ok").alias("status"),
                                                 F.coalesce("rows", F.lit(0)).alias("rows"))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("ms", "KEYS", "TOTAL")]
