@@ -86,12 +86,22 @@ def save_frames(frames: Mapping[str, DataFrame], folder: str) -> None:
         save_frame(schema.conform(df, n), f"{folder}/{n}.parquet", _CLUSTER.get(n))
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process on one machine."""
+    m = spark.sparkContext.master
+    return m == "local" or m.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder for written intermediates: the session's checkpoint directory. Only when
-    the cluster names none (tests on one machine) is a temporary folder made and set."""
+    """The shared folder for written intermediates: the session's ``spark.checkpoint.dir``.
+
+    On a cluster it must be set, and not to a path of one machine; a local session (one machine, so
+    any folder is shared) that names none gets a temporary folder of its own."""
     conf = spark.sparkContext.getConf()
     d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="riskloom-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
