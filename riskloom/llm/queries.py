@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from riskloom.llm.mixing import OP10_SQL, op10_mixing
+from riskloom.llm.simhash import op6_simhash
 from riskloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing}
+QUERIES = {"op6_simhash": op6_simhash, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing}
 ORACLES = {"op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
