@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from riskloom.llm.mixing import OP10_SQL, op10_mixing
+from riskloom.llm.packing import op4_packing
+from riskloom.llm.quality import op8_quality
 from riskloom.llm.simhash import op6_simhash
 from riskloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op6_simhash": op6_simhash, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing}
+QUERIES = {"op4_packing": op4_packing, "op6_simhash": op6_simhash, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing}
 ORACLES = {"op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
