@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from riskloom.llm.ann import op7_ann
+from riskloom.llm.embed_dedup import op2_embedding_dedup
 from riskloom.llm.mixing import OP10_SQL, op10_mixing
 from riskloom.llm.packing import op4_packing
 from riskloom.llm.quality import op8_quality
 from riskloom.llm.simhash import op6_simhash
 from riskloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op4_packing": op4_packing, "op6_simhash": op6_simhash, "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing}
+QUERIES = {"op2_embedding_dedup": op2_embedding_dedup, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op7_ann": op7_ann,
+           "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing}
 ORACLES = {"op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
