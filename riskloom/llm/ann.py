@@ -29,7 +29,7 @@ from riskloom.llm.vectors import cosines, groups, matrix, packed, unit
 
 CENTROIDS = 32
 SAMPLE = 20_000
-REACH = 0.5
+REACH = 0.55
 CHUNK = 2048
 
 
