@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from riskloom.llm.ann import op7_ann
+from riskloom.llm.chat_format import OP5_SQL, op5_chat_format
 from riskloom.llm.embed_dedup import op2_embedding_dedup
 from riskloom.llm.line_dedup import OP1_SQL, op1_line_dedup
 from riskloom.llm.mixing import OP10_SQL, op10_mixing
@@ -11,6 +12,7 @@ from riskloom.llm.quality import op8_quality
 from riskloom.llm.simhash import op6_simhash
 from riskloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op7_ann": op7_ann,
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op4_packing": op4_packing, "op5_chat_format": op5_chat_format,
+           "op6_simhash": op6_simhash, "op7_ann": op7_ann,
            "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing}
-ORACLES = {"op1_line_dedup": OP1_SQL, "op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
+ORACLES = {"op1_line_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
