@@ -12,6 +12,9 @@ that lose no link. The word is cut into radius + 2 blocks; a linked pair agrees
 least, hence has coordinate difference zero to every reference that lives in them, and every pair of
 blocks is one partitioning. Partitions beyond ``CHUNK`` fingerprints are split into chunk pairs, each
 a task of its own; a task reports a spanning forest of its links, not the links.
+
+Wider radii leave no useful blocks. ``sampled_masks`` partitions by fixed random sets of bits instead:
+a pair at distance d meets in one of t sets of b bits with probability 1 - (1 - (1 - b/64)^d)^t.
 """
 
 from __future__ import annotations
@@ -58,12 +61,12 @@ def simhash(text: bytes, n: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > k, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) with the fingerprint as a signed long; null texts are empty texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.fromiter((simhash(t) for t in b["t"]), np.uint64, len(b))
+            fp = np.fromiter((simhash(t, shingle) for t in b["t"]), np.uint64, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
 
     kind = docs.schema[key].dataType.simpleString()
@@ -78,6 +81,11 @@ def masks(radius: int) -> list[int]:
     return [x | y for x, y in combinations(block, 2)]
 
 
+def sampled_masks(bits: int, sets: int, seed: int = 23) -> list[int]:
+    r = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in r.choice(64, bits, replace=False)) for _ in range(sets)]
+
+
 def survivors(i: np.ndarray, j: np.ndarray, fp: np.ndarray, dist: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs (i, j) no coordinate discards and whose distance is at most ``radius``."""
     for c in range(dist.shape[1]):
@@ -101,10 +109,10 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(stages: Stages, table: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+def links(stages: Stages, table: DataFrame, radius: int, chunk: int = CHUNK, parts: list[int] | None = None) -> DataFrame:
     """(a, b): links that connect every component of ``table`` (node, fp, dist), found partition by
-    partition."""
-    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")) for m in masks(radius)]))
+    partition; ``parts`` are the masks to partition by, by default those that lose no link."""
+    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")) for m in parts or masks(radius)]))
     keyed = table.select("node", "fp", "dist", keys.alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     keyed = (keyed.join(sizes, ["t", "key"]).withColumn("k", F.ceil(F.col("n") / chunk).cast("int"))
@@ -175,13 +183,13 @@ def link_groups(b: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": node[own], "b": node[label[own]]}).drop_duplicates()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, shingle: int = SHINGLE, parts: list[int] | None = None) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest key reachable
     by links; a row with a null key gets its class's smallest key, null if it has none. Null and empty texts and texts of white space have fingerprint zero
     and are linked like any other; a text of any length is one pass in bounded memory; rows that repeat
     a key keep a row each; an empty table gives an empty result; other columns are not read."""
     st = Stages(docs.sparkSession)
-    fps = st.write("fingerprints", fingerprints(docs, text, key))
+    fps = st.write("fingerprints", fingerprints(docs, text, key, shingle))
     reps = st.write("nodes", fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
     ref = references()
 
@@ -192,7 +200,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 
     kind = docs.schema[key].dataType.simpleString()
     table = st.write("pivot_table", reps.select("node", "fp").mapInPandas(distances, f"node {kind}, fp long, dist binary"))
-    comp = components(st, links(st, table, radius))
+    comp = components(st, links(st, table, radius, parts=parts))
     reps = reps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(broadcast_if_small(reps), "fp").select("doc_id", "fp", "component_id")
 
