@@ -188,12 +188,10 @@ _NAW = "FROM na WHERE date >= DATE '2000-06-30' AND date < DATE '2001-06-30'"
 
 
 @query("mod18_by_name", asql(f"""SELECT book, position, factor_pnl, specific_pnl, realized, rank FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY abs(realized) DESC, position) AS rank FROM
-    (SELECT book, position, sum(factor_pnl) AS factor_pnl, sum(specific_pnl) AS specific_pnl, sum(factor_pnl) + sum(specific_pnl) AS realized {_NAW} GROUP BY ALL)) WHERE rank <= 40""",
+    (SELECT book, position, sum(factor_pnl) AS factor_pnl, sum(specific_pnl) AS specific_pnl, sum(factor_pnl) + sum(specific_pnl) AS realized {_NAW} GROUP BY ALL))""",
     "factor_pnl specific_pnl realized", "na"))
 def _(s, d):
-    from riskloom.functions.quantiles import top_k
-
-    return top_k(at.name_attribution(fr(s, d), LO, HI), ["Book"], [F.abs("realized").desc(), "Position"], 40)
+    return at.ranked_names(at.name_attribution(fr(s, d), LO, HI))
 
 
 @query("ag17_concentration", asql(f"""SELECT book, sum(a * a) / power(sum(a), 2) AS hhi, sum(a) FILTER (WHERE rk <= 5) / sum(a) AS top5_share, count(*) AS n FROM
@@ -310,12 +308,12 @@ def _(s, d):
 
 
 @query("mod21_comovement", asql(
-    """SELECT book, count(DISTINCT a) + 1 AS n_names, count(*) AS n_pairs, any_value(n) AS n_obs, avg(c) AS mean_corr,
-       CASE WHEN avg(c) >= 0.25 THEN 'common_thread' ELSE 'independent' END AS verdict FROM (SELECT x.book, x.source AS a, y.source AS b, corr(x.value, y.value) AS c, count(*) AS n
-       FROM aw x JOIN aw y ON x.book = y.book AND x.date = y.date AND x.kind = 'contribution' AND y.kind = 'contribution' AND x.source < y.source
-       AND x.source NOT IN ('Realized') AND y.source NOT IN ('Realized')
-       SEMI JOIN (SELECT book, date FROM aw WHERE kind = 'contribution' AND source <> 'Realized' GROUP BY ALL HAVING count(*) = 8) k
-       ON k.book = x.book AND k.date = x.date GROUP BY ALL) GROUP BY book""", "mean_corr", "aw"))
+    """SELECT book, any_value(nn) AS n_names, any_value(nn * (nn - 1) // 2) AS n_pairs, count(*) AS n_obs, sum(sz * sz - zz) / sum(k * (k - 1)) AS mean_corr,
+       CASE WHEN sum(sz * sz - zz) / sum(k * (k - 1)) >= 0.25 THEN 'common_thread' ELSE 'independent' END AS verdict FROM
+       (SELECT book, date, sum(z) AS sz, sum(z * z) AS zz, count(*) AS k, any_value(nn) AS nn FROM (SELECT *, count(DISTINCT source) OVER (PARTITION BY book) AS nn FROM
+         (SELECT a.book, a.date, a.source, (a.value - t.m) / t.s AS z FROM aw a JOIN (SELECT book, source, avg(value) AS m, stddev_pop(value) AS s FROM aw
+          WHERE kind = 'contribution' AND source <> 'Realized' GROUP BY ALL HAVING count(value) >= 20) t ON t.book = a.book AND t.source = a.source
+          WHERE a.kind = 'contribution' AND a.source <> 'Realized' AND t.s > 0 AND a.value IS NOT NULL)) GROUP BY book, date) WHERE k > 1 GROUP BY book""", "mean_corr", "aw"))
 def _(s, d):
     w = at.window_of(artifact(s, d)).filter((F.col("Kind") == "contribution") & (F.col("Source") != "Realized"))
     sr = w.select("Book", "Date", F.concat_ws("|", "Book", "Source").alias("Position"), F.col("Value").alias("SpecificReturn"))

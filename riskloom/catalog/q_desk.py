@@ -114,11 +114,15 @@ def _(s, d):
     return views.drill(fr(s, d), ["Country", "Sector", "Issuer", "Position"], ["ASIA"], ["Net exposure"], {"Date": [ASOF], "Book": ["BUILDING"]})
 
 
-@query("qry10_capped_slice", psql("""SELECT position, factor, net_exposure, (SELECT count(*) FROM cx) > 250 AS truncated FROM (SELECT position, factor, x AS net_exposure FROM cx
-    ORDER BY abs(x) DESC, book, position, factor LIMIT 250)""", "net_exposure", cells("position factor", date=True), "cx"))
-def _(s, d):
-    p = pivot(fr(s, d), ["Book", "Position", "Factor"], ["Net exposure"], filters={"Date": [ASOF]})
-    return views.capped(p, [F.abs("Net exposure").desc(), "Book", "Position", "Factor"], 250).drop("Book")
+@query("qry10_page", psql("""SELECT book, position, factor, x AS net_exposure, abs(x) AS size FROM cx
+    QUALIFY row_number() OVER (ORDER BY abs(x) DESC, book, position, factor) BETWEEN 251 AND 500""", "net_exposure size", cells("position factor", date=True), "cx"))
+def _(s, d):
+    """The second page of the leaf slice, opened by the key of the first page's last row."""
+    p = pivot(fr(s, d), ["Book", "Position", "Factor"], ["Net exposure"], filters={"Date": [ASOF]}).withColumn("size", F.abs("Net exposure"))
+    order = [("size", True), ("Book", False), ("Position", False), ("Factor", False)]
+    first = views.page(p, order, 250)
+    last = first.orderBy("size", F.desc("Book"), F.desc("Position"), F.desc("Factor")).first()
+    return views.page(p, order, 250, (last["size"], last["Book"], last["Position"], last["Factor"])).select("Book", "Position", "Factor", "Net exposure", "size")
 
 
 @query("qry11_contribution_view", psql("SELECT factor, m_var AS marginal_scenario_var_99, m_var / bread AS pct_of_scenario_var_99 FROM mg WHERE book = 'FURNITURE'",

@@ -13,13 +13,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
-def cross_products(rows: DataFrame, key: str, x: str, y: str, w: str, salts: int, id_col: str) -> DataFrame:
+def cross_products(rows: DataFrame, key: str, x: str, y: str, w: str, id_col: str, salts: int | None = None) -> DataFrame:
     """Per (key, task) partial sums of weighted cross-products: ``a`` (K x K flat), ``b``, scalars.
 
     ``x`` is an array column whose length is constant per key. Rows are hashed by key and salt, so a
-    key has at most ``salts`` partial rows and a hot one is shared by as many tasks; a task keeps one
-    running K x K sum per key it meets."""
-    schema = f"{key} date, k int, a array<double>, b array<double>, sw double, swy double, swyy double, n long"
+    key has at most ``salts`` partial rows and a hot one is shared by as many tasks (by default all of the
+    session's shuffle partitions); a task keeps one running K x K sum per key it meets."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = salts or n
+    schema = f"{key} {rows.schema[key].dataType.simpleString()}, k int, a array<double>, b array<double>, sw double, swy double, swyy double, n long"
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         acc: dict = {}
@@ -42,7 +44,6 @@ def cross_products(rows: DataFrame, key: str, x: str, y: str, w: str, salts: int
                                columns=[key, "k", "a", "b", "sw", "swy", "swyy", "n"])
 
     d = rows.select(key, x, y, w, F.pmod(F.xxhash64(id_col), F.lit(salts)).alias("_salt"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return d.repartition(n, key, "_salt").drop("_salt").mapInPandas(part, schema)
 
 

@@ -15,8 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from riskloom.functions.joins import broadcast_if_small
+
 BUCKETS = 256
-SMALL_GROUP = 50_000
 
 
 def _bucketed(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
@@ -24,11 +25,9 @@ def _bucketed(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFra
     d = (df.filter(F.col(value).isNotNull())
          .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = d.groupBy(*by).agg(F.percentile_approx("_v", probs, 1000).alias("_q"), F.count(F.lit(1)).alias("_d"))
-    # a group that fits one task needs no cuts
-    cuts = cuts.select(*by, F.when(F.col("_d") > SMALL_GROUP, F.array_distinct("_q")).alias("_cuts"))
-    b = d.join(cuts, by).withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(
-        F.size(F.filter("_cuts", lambda c: c < F.col("_v"))))).drop("_cuts")
+    cuts = d.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", probs, 1000)).alias("_cuts"))
+    # one row per group: broadcast while small, so that the values are not shuffled on few keys
+    b = d.join(broadcast_if_small(cuts), by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     per = b.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
     w = Window.partitionBy(*by).orderBy("_b")
     per = per.withColumn(

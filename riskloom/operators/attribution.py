@@ -7,7 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskloom.functions.joins import owner_month
+from riskloom.functions.joins import broadcast_if_small, owner_month
 from riskloom.functions.quantiles import top_k
 from riskloom.operators.exposure import FAC_DIMS, KEYS, SEC_DIMS, with_security
 
@@ -418,23 +418,34 @@ def position_surprises(frames: Mapping[str, DataFrame], art: DataFrame, panel: D
                     "verdict", "driver", (F.col("Weight") < min_weight).alias("dust"))
 
 
+def ranked_names(names: DataFrame) -> DataFrame:
+    """All names of each book with their rank by absolute realized P&L. The rank is a count of larger
+    buckets plus a rank inside one, so a book of any size stays spread."""
+    d = names.withColumn("_m", F.abs("realized"))
+    cuts = d.groupBy("Book").agg(F.array_distinct(F.percentile_approx("_m", [i / 64 for i in range(1, 64)], 1000)).alias("_q"))
+    d = d.join(broadcast_if_small(cuts), "Book").withColumn("_b", F.size(F.filter("_q", lambda c: c >= F.coalesce("_m", F.lit(0.0)))))
+    n = d.groupBy("Book", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("Book").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    n = n.select("Book", "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy("Book", "_b").orderBy(F.desc("_m"), "Position")
+    return (d.join(broadcast_if_small(n), ["Book", "_b"]).withColumn("rank", (F.col("_off") + F.row_number().over(inside)).cast("long"))
+            .drop("_m", "_q", "_b", "_off"))
+
+
 def comovement(specific_returns: DataFrame, names: DataFrame, lo, hi, min_obs: int = 20) -> DataFrame:
-    """Mean pairwise residual correlation of each book's breach names over (lo, hi], without pairs:
-    each name is standardised over the days all of them share, and the mean correlation follows from
-    the variance of the sum across names."""
-    s = specific_returns.filter((F.col("Date") > F.lit(lo)) & (F.col("Date") <= F.lit(hi)))
-    j = s.join(names.select("Book", "Position"), "Position")
-    full = j.groupBy("Book", "Position").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_obs)
-    j = j.join(full.select("Book", "Position"), ["Book", "Position"])
-    k = full.groupBy("Book").agg(F.count(F.lit(1)).alias("k")).filter("k >= 2")
-    common = (j.groupBy("Book", "Date").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(k), "Book")
-              .filter(F.col("c") == F.col("k")).select("Book", "Date"))
-    j = j.join(common, ["Book", "Date"], "left_semi")
-    st = j.groupBy("Book", "Position").agg(F.avg("SpecificReturn").alias("m"), F.stddev_pop("SpecificReturn").alias("s"),
-                                           F.count(F.lit(1)).alias("t")).filter("s > 0")
-    zs = j.join(st, ["Book", "Position"]).withColumn("zz", (F.col("SpecificReturn") - F.col("m")) / F.col("s"))
-    d = zs.groupBy("Book", "Date").agg(F.sum("zz").alias("sz"), F.count(F.lit(1)).alias("k"))
-    a = d.groupBy("Book").agg(F.avg(F.col("sz") ** 2).alias("q"), F.max("k").alias("n_names"), F.count(F.lit(1)).alias("n_obs"))
-    mean = F.try_divide(F.col("q") - F.col("n_names"), (F.col("n_names") * (F.col("n_names") - 1)).cast("double"))
-    return a.select("Book", "n_names", (F.col("n_names") * (F.col("n_names") - 1) / 2).cast("long").alias("n_pairs"), "n_obs",
-                    mean.alias("mean_corr"), F.when(mean >= 0.25, "common_thread").otherwise("independent").alias("verdict"))
+    """Mean residual correlation of each book's breach names over (lo, hi], without pairs of names: names
+    are standardised over their own days, and a day with k of them adds (sum z)^2 - sum z^2 over its
+    k (k - 1) ordered pairs. Days that a name misses cost only that name's pairs. On a full panel this
+    is the mean of all pairwise correlations. n_obs counts the days with a pair."""
+    s = specific_returns.filter((F.col("Date") > F.lit(lo)) & (F.col("Date") <= F.lit(hi)) & F.col("SpecificReturn").isNotNull())
+    j = s.join(broadcast_if_small(names.select("Book", "Position").distinct()), "Position")
+    st = (j.groupBy("Book", "Position").agg(F.count(F.lit(1)).alias("n"), F.avg("SpecificReturn").alias("m"), F.stddev_pop("SpecificReturn").alias("s"))
+          .filter((F.col("n") >= min_obs) & (F.col("s") > 0)))
+    z = j.join(broadcast_if_small(st), ["Book", "Position"]).withColumn("z", (F.col("SpecificReturn") - F.col("m")) / F.col("s"))
+    d = z.groupBy("Book", "Date").agg(F.sum("z").alias("sz"), F.sum(F.col("z") ** 2).alias("zz"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    k = st.groupBy("Book").agg(F.count(F.lit(1)).alias("n_names"))
+    a = d.groupBy("Book").agg(F.sum(F.col("sz") ** 2 - F.col("zz")).alias("q"), F.sum((F.col("k") * (F.col("k") - 1)).cast("double")).alias("p"),
+                              F.count(F.lit(1)).alias("n_obs"))
+    mean = F.try_divide("q", "p")
+    return a.join(k, "Book").select("Book", "n_names", (F.col("n_names") * (F.col("n_names") - 1) / 2).cast("long").alias("n_pairs"), "n_obs",
+                                    mean.alias("mean_corr"), F.when(mean >= 0.25, "common_thread").otherwise("independent").alias("verdict"))

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from riskloom.functions.joins import broadcast_if_small
+from riskloom.functions.linalg import solve_by_key
 from riskloom.operators import measures as ms
 
 # fixed values: default desk limits (metric, scope, warn, limit)
@@ -74,29 +76,31 @@ def factor_stress(x: DataFrame, vols: DataFrame, shocks: DataFrame) -> DataFrame
 
 
 def conditional_shocks(cov: DataFrame, shocks: DataFrame) -> DataFrame:
-    """E[f | shock] = F[:,S] F[S,S]^-1 s per ShockId: (ShockId, Factor, implied_return, implied_sigma).
-
-    ``cov(Factor, Factor2, cov)`` is factors squared; each ShockId is one small solve."""
-    c = cov.agg(F.collect_list(F.struct("Factor", "Factor2", "cov"))).scalar()
-    j = shocks.groupBy("ShockId").agg(F.collect_list(F.struct("Factor", "sigma")).alias("s")).withColumn("c", c)
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for _, r in pdf.iterrows():
-                names = sorted({e["Factor"] for e in r["c"]})
-                ix = {n: i for i, n in enumerate(names)}
-                M = np.zeros((len(names), len(names)))
-                for e in r["c"]:
-                    M[ix[e["Factor"]], ix[e["Factor2"]]] = e["cov"]
-                vol = np.sqrt(np.clip(np.diag(M), 0, None))
-                S = [ix[e["Factor"]] for e in r["s"]]
-                v = np.array([e["sigma"] * vol[ix[e["Factor"]]] for e in r["s"]])
-                f = M[:, S] @ np.linalg.solve(M[np.ix_(S, S)], v)
-                out += [[r["ShockId"], n, float(f[i]), float(f[i] / vol[i]) if vol[i] > 0 else None, i in S] for n, i in ix.items()]
-            yield pd.DataFrame(out, columns=["ShockId", "Factor", "implied_return", "implied_sigma", "shocked"])
-
-    return j.mapInPandas(solve, "ShockId string, Factor string, implied_return double, implied_sigma double, shocked boolean")
+    """Expected move of every factor given the shocked ones, per ShockId: (ShockId, Factor,
+    implied_return, implied_sigma, shocked).
+
+    ``cov(Factor, Factor2, cov)`` is factors squared. Only the block of the shocked factors is solved;
+    its solution meets the covariance rows in a join."""
+    vol = cov.filter(F.col("Factor") == F.col("Factor2")).select("Factor", F.sqrt(F.greatest("cov", F.lit(0.0))).alias("vol"))
+    s = shocks.join(broadcast_if_small(vol), "Factor").select("ShockId", "Factor", (F.col("sigma") * F.col("vol")).alias("move"))
+    block = (s.join(s.select("ShockId", F.col("Factor").alias("Factor2")), "ShockId").join(broadcast_if_small(cov), ["Factor", "Factor2"])
+             .groupBy("ShockId").agg(F.sort_array(F.collect_list(F.struct("Factor", "Factor2", "cov"))).alias("e")))
+    moves = s.groupBy("ShockId").agg(F.sort_array(F.collect_list(F.struct("Factor", "move"))).alias("m"))
+    one = F.lit(1.0)
+    systems = block.join(moves, "ShockId").select(
+        "ShockId", F.size("m").alias("k"), F.col("e.cov").alias("a"), F.col("m.move").alias("b"), one.alias("sw"), one.alias("swy"), one.alias("swyy"),
+        F.lit(1).cast("long").alias("n"), F.col("m.Factor").alias("names"))
+
+    def solve(t: dict) -> pd.DataFrame:
+        return pd.DataFrame({"ShockId": t["key"], "Factor2": list(t["names"]), "load": np.linalg.solve(t["A"], t["b"])})
+
+    load = solve_by_key(systems, "ShockId", solve, "ShockId string, Factor2 string, load double", ["names"])
+    implied = (cov.join(broadcast_if_small(load), "Factor2").groupBy("ShockId", "Factor").agg(F.sum(F.col("cov") * F.col("load")).alias("implied_return"))
+               .join(broadcast_if_small(vol), "Factor"))
+    hit = s.select("ShockId", "Factor", F.lit(True).alias("shocked"))
+    return implied.join(hit, ["ShockId", "Factor"], "left").select(
+        "ShockId", "Factor", "implied_return", F.when(F.col("vol") > 0, F.col("implied_return") / F.col("vol")).alias("implied_sigma"),
+        F.coalesce("shocked", F.lit(False)).alias("shocked"))
 
 
 def reverse_stress(x: DataFrame, vols: DataFrame, loss: float = 0.05) -> DataFrame:

@@ -98,13 +98,32 @@ def month_snapshots(df: DataFrame, by: list[str], on: str, until: Column, max_mo
             .select(F.last_day("_x").alias("Date"), *by, *[F.col(f"_r.{c}").alias("as_of" if c == on else c) for c in pay]))
 
 
+BLOCK = 512  # rows whose decay factors are multiplied out; beyond, blocks hand their state on
+
+
+def decayed_sum(df: DataFrame, by: list[str], idx: str, value: Column, lam: float, out: str) -> DataFrame:
+    """Adds ``out`` = sum over i <= t of lam^(t - i) value_i, where ``idx`` counts 0, 1, ... per series.
+
+    Powers stay inside blocks of ``BLOCK`` rows, so a series of any length neither overflows nor
+    vanishes; the state at each block's start is a fold over one number per block."""
+    d = df.withColumns({"_b": F.floor(F.col(idx) / BLOCK), "_j": (F.col(idx) % BLOCK).cast("double"), "_v": value})
+    end = d.groupBy(*by, "_b").agg(F.sum(F.col("_v") * F.pow(F.lit(lam), BLOCK - 1 - F.col("_j"))).alias("_e"))
+    blocks = F.sort_array(F.collect_list(F.struct("_b", "_e")))  # one per block of the calendar
+    fold = F.aggregate(blocks, F.struct(F.lit(0.0).alias("c"), F.array().cast("array<struct<b:bigint,c:double>>").alias("s")),
+                       lambda a, e: F.struct((a["c"] * lam**BLOCK + e["_e"]).alias("c"),
+                                             F.concat(a["s"], F.array(F.struct(e["_b"].alias("b"), a["c"].alias("c")))).alias("s")))
+    start = end.groupBy(*by).agg(fold["s"].alias("_s")).select(*by, F.explode("_s").alias("_x")).select(*by, F.col("_x.b").alias("_b"), F.col("_x.c").alias("_c"))
+    w = Window.partitionBy(*by, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.sum(F.col("_v") * F.pow(F.lit(lam), -F.col("_j"))).over(w)
+    return d.join(start, [*by, "_b"]).withColumn(out, F.pow(F.lit(lam), F.col("_j")) * (lam * F.col("_c") + inside)).drop("_b", "_j", "_v", "_c")
+
+
 def ewma_variance(df: DataFrame, by: list[str], on: str, value: str, halflife: float = 63, out: str = "ewma") -> DataFrame:
-    """Exponentially weighted mean of squares per row (bias-adjusted weights), as a ratio of running
-    sums of 2^(i/halflife); safe while a series stays below ~1000 half-lives."""
-    w = _w(by, on)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.filter(F.col(value).isNotNull()).withColumn("_k", F.pow(F.lit(2.0), (F.row_number().over(w) - 1) / float(halflife)))
-    return d.withColumn(out, F.sum(F.col(value) ** 2 * F.col("_k")).over(run) / F.sum("_k").over(run)).drop("_k")
+    """Exponentially weighted mean of squares per row, weights adjusted for the short start."""
+    lam = 0.5 ** (1.0 / halflife)
+    d = df.filter(F.col(value).isNotNull()).withColumn("_t", F.row_number().over(_w(by, on)) - 1)
+    d = decayed_sum(d, by, "_t", F.col(value) ** 2, lam, out)
+    return d.withColumn(out, F.col(out) * (1 - lam) / (1 - F.pow(F.lit(lam), F.col("_t") + 1.0))).drop("_t")
 
 
 def specific_variance(sr: DataFrame, halflife: float = 63) -> DataFrame:
@@ -130,14 +149,10 @@ def hysteresis(df: DataFrame, by: list[str], month_idx: str, pct: str, enter: fl
 def ewma_sigma(s: DataFrame, by: list[str], idx: str, value: str, window: int, lam: float) -> DataFrame:
     """Predictive EWMA volatility: sigma2_t = lam sigma2_{t-1} + (1 - lam) r_{t-1}^2, seeded with the
     population variance of the first ``window`` rows. ``idx`` counts 0, 1, ... per series."""
-    w = _w(by, idx)
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*by)
-    seed = F.var_pop(F.when(F.col(idx) < window, F.col(value))).over(whole)
-    acc = F.sum(F.col(value) ** 2 * F.pow(F.lit(lam), -F.col(idx).cast("double"))).over(prior)
-    s2 = (F.pow(F.lit(lam), F.col(idx).cast("double")) * seed
-          + (1 - lam) * F.coalesce(acc, F.lit(0.0)) * F.pow(F.lit(lam), F.col(idx) - 1.0))
-    return s.withColumn("sigma", F.sqrt(s2))
+    seed = s.filter(F.col(idx) < window).groupBy(*by).agg(F.var_pop(value).alias("_seed"))
+    d = decayed_sum(s, by, idx, F.coalesce(F.col(value) ** 2, F.lit(0.0)), lam, "_d").join(seed, by)
+    past = F.coalesce(F.lag("_d").over(_w(by, idx)), F.lit(0.0))
+    return d.withColumn("sigma", F.sqrt(F.pow(F.lit(lam), F.col(idx).cast("double")) * F.col("_seed") + (1 - lam) * past)).drop("_d", "_seed")
 
 
 def var_thresholds(s: DataFrame, by: list[str], idx: str, value: str, window: int = 250, alpha: float = 0.99,
@@ -161,15 +176,12 @@ def var_thresholds(s: DataFrame, by: list[str], idx: str, value: str, window: in
 
 
 def kupiec_lr(n_exc: Column, n_obs: Column, p: float) -> Column:
-    """Proportion-of-failures likelihood ratio; both edges (0 and n) are finite."""
-    x, n = n_exc.cast("double"), n_obs.cast("double")
-
-    def ll(rate: Column) -> Column:
-        a = F.when(x == n, F.lit(0.0)).otherwise((n - x) * F.log(1 - rate))
-        b = F.when(x == 0, F.lit(0.0)).otherwise(x * F.log(rate))
-        return a + b
-
-    return F.when(n == 0, F.lit(0.0)).otherwise(-2.0 * (ll(F.lit(p)) - ll(x / n)))
+    """Proportion-of-failures likelihood ratio: twice the sum, over failures and passes, of the count
+    times the log of its ratio to the expected count; a count of zero adds nothing."""
+    n = n_obs.cast("double")
+    part = lambda k, rate: F.when(k > 0, k * F.log(k / (n * rate))).otherwise(0.0)
+    failures = n_exc.cast("double")
+    return F.when(n > 0, 2.0 * (part(failures, p) + part(n - failures, 1.0 - p))).otherwise(0.0)
 
 
 def binomial_cdf(n_exc: Column, n_obs: Column, p: float) -> Column:
@@ -214,23 +226,27 @@ def backtest(s: DataFrame, by: list[str], idx: str, value: str, window: int = 25
 
 # ---- drawdown --------------------------------------------------------------------------------
 def drawdown_path(s: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Equity curve, running peak and drawdown per row."""
+    """Equity curve, running peak and drawdown per row; ``wiped`` from the first return of -1 or less on,
+    where equity is zero for good."""
     w = _w(by, order)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = s.withColumn("equity", F.exp(F.sum(F.log1p(value)).over(run)))
-    d = d.withColumn("peak", F.max("equity").over(run)).withColumn("dd", F.col("equity") / F.col("peak") - 1)
+    d = s.withColumn("wiped", F.max(F.coalesce(F.col(value) <= -1, F.lit(False))).over(run))
+    growth = F.exp(F.coalesce(F.sum(F.when(F.col(value) > -1, F.log1p(value))).over(run), F.lit(0.0)))
+    d = d.withColumn("equity", F.when(F.col("wiped"), 0.0).otherwise(growth))
+    d = d.withColumn("peak", F.max("equity").over(run)).withColumn("dd", F.coalesce(F.try_divide("equity", "peak"), F.lit(0.0)) - 1)
     return d.withColumn("i", F.row_number().over(w) - 1)
 
 
 def drawdown(s: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """Maximum drawdown with peak, trough and recovery rows and the longest underwater run."""
+    """Maximum drawdown with peak, trough and recovery rows and the longest underwater run; the status is
+    ``wiped_out`` if a return of -1 or less ended the series' equity."""
     p = drawdown_path(s, by, order, value)
-    tr = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("dd", "i")).alias("t"),
+    tr = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("wiped").alias("ruined"), F.min(F.struct("dd", "i")).alias("t"),
                             F.min_by(order, F.struct("dd", "i")).alias("trough"),
                             F.min_by("peak", F.struct("dd", "i")).alias("pk"))
     j = p.join(tr, by)
     a = j.groupBy(*by).agg(
-        F.first("n").alias("n"), F.first("t.dd").alias("max_drawdown"), F.first("trough").alias("trough_date"),
+        F.first("n").alias("n"), F.first("ruined").alias("ruined"), F.first("t.dd").alias("max_drawdown"), F.first("trough").alias("trough_date"),
         F.first("t.i").alias("trough_i"),
         F.min(F.when((F.col("i") <= F.col("t.i")) & (F.col("equity") >= F.col("pk")), F.col("i"))).alias("peak_i"),
         F.min(F.when((F.col("i") <= F.col("t.i")) & (F.col("equity") >= F.col("pk")), F.col(order))).alias("peak_date"),
@@ -242,7 +258,7 @@ def drawdown(s: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     run = u.filter("_u").groupBy(*by, "_g").agg(F.count(F.lit(1)).alias("r")).groupBy(*by).agg(F.max("r").alias("longest"))
     out = a.join(run, by, "left")
     ok = F.col("n") >= 2
-    return out.select(*by, "n", F.when(ok, "ok").otherwise("insufficient").alias("status"),
+    return out.select(*by, "n", F.when(ok & F.col("ruined"), "wiped_out").when(ok, "ok").otherwise("insufficient").alias("status"),
                       *[F.when(ok, F.col(c)).alias(c) for c in ("max_drawdown", "peak_date", "trough_date", "recovery_date")],
                       F.when(ok, F.col("trough_i") - F.col("peak_i")).alias("drawdown_obs"),
                       F.when(ok, F.col("recovery_date").isNotNull()).alias("recovered"),

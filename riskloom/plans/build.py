@@ -29,12 +29,11 @@ def positions_on_calendar(weights: DataFrame, until: Column) -> DataFrame:
     return weights.join(F.broadcast(m.select("Book", "filing_date", "Date")), ["Book", "filing_date"])
 
 
-def coverage_universe(held: DataFrame, seed: DataFrame, cap: int | None = None) -> DataFrame:
-    """Seed names and held names once each; only seed names are estimated on. ``cap`` is a safety bound."""
+def coverage_universe(held: DataFrame, seed: DataFrame) -> DataFrame:
+    """Seed names and held names once each; only seed names are estimated on."""
     s = seed.select("Position", F.lit(True).alias("is_estimation"))
     u = s.unionByName(held.select("Position").distinct().join(s, "Position", "left_anti").withColumn("is_estimation", F.lit(False)))
-    u = u.dropDuplicates(["Position"])
-    return u if cap is None else u.orderBy("Position").limit(cap)
+    return u.dropDuplicates(["Position"])
 
 
 def build_frames(holdings: DataFrame, prices: DataFrame, market: DataFrame, proxies: dict[str, DataFrame], funda: DataFrame,

@@ -58,12 +58,17 @@ def drill(frames, path_dims: list[str], path: list[str], measures: list[str], fi
     return pivot(frames, [path_dims[len(path)]], measures, filters=f)
 
 
-def capped(df: DataFrame, order: list, n: int = 250) -> DataFrame:
-    """The first ``n`` rows and whether more existed."""
-    head = df.orderBy(*order).limit(n + 1)
-    w = Window.partitionBy(F.lit(0))
-    rn = F.row_number().over(w.orderBy(*order))
-    return head.withColumns({"_r": rn, "truncated": F.count(F.lit(1)).over(w) > n}).filter(F.col("_r") <= n).drop("_r")
+def page(df: DataFrame, order: list[tuple[str, bool]], size: int = 250, after: tuple | None = None) -> DataFrame:
+    """One page of ``df`` in the order of (column, descending) pairs that make a unique key: the first
+    ``size`` rows beyond the key ``after``. The key of a page's last row opens the next page, so all
+    pages together are all rows. Null keys are not paged."""
+    if after is not None:
+        beyond = F.lit(False)
+        for (c, down), v in reversed(list(zip(order, after))):
+            ahead = F.col(c) < F.lit(v) if down else F.col(c) > F.lit(v)
+            beyond = ahead | ((F.col(c) == F.lit(v)) & beyond)
+        df = df.filter(beyond)
+    return df.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order]).limit(size)
 
 
 def contributions(frames, date, scenario_set: str, book: str, by: str = "Factor") -> DataFrame:

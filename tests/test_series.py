@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.joins import asof_join, owner_month
 from riskloom.functions.quantiles import average_rank_pct, exact_quantiles
-from riskloom.functions import quantiles as qn
 from riskloom.operators import attribution as at, timeseries as ts
 from toys import attribution_frames
 
@@ -97,10 +96,8 @@ def test_betas_match_numpy(spark):
     assert r[118].Beta is None and r[119].Beta is not None
 
 
-@pytest.mark.parametrize("small", [50_000, 10])
-def test_exact_quantiles_with_hot_value(spark, small, monkeypatch):
+def test_exact_quantiles_with_hot_value(spark):
     """A third of all rows share one group and value; results stay exact through the bucketed path."""
-    monkeypatch.setattr(qn, "SMALL_GROUP", small)
     rng = np.random.default_rng(4)
     v = {"hot": np.concatenate([np.full(2000, 1.5), rng.normal(size=3000)]), "b": rng.normal(size=777), "c": np.array([2.0])}
     df = spark.createDataFrame([(g, float(x)) for g, a in v.items() for x in a], "g string, v double")
@@ -123,3 +120,56 @@ def test_asof_and_owner_month(spark):
     days = spark.createDataFrame([(D(2024, 1, 31),), (D(2024, 2, 1),), (D(2024, 2, 29),), (D(2024, 3, 1),)], "Date date")
     own = {r.Date: r.d0 for r in owner_month(days, ends).collect()}
     assert own == {D(2024, 2, 1): D(2024, 1, 31), D(2024, 2, 29): D(2024, 1, 31), D(2024, 3, 1): D(2024, 2, 29)}
+
+
+@pytest.mark.parametrize("n", [13_000, 100_000])
+def test_ewma_of_long_series(spark, n):
+    r = np.random.default_rng(8).normal(scale=0.01, size=n)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "i": np.arange(n), "r": r}), "k string, i long, r double")
+    got = ts.ewma_sigma(df, ["k"], "i", "r", 250, 0.94).orderBy("i").toPandas().sigma.values
+    s2 = np.empty(n)
+    s2[0] = r[:250].var()
+    for t in range(1, n):
+        s2[t] = 0.94 * s2[t - 1] + 0.06 * r[t - 1] ** 2
+    assert np.isfinite(got).all() and np.allclose(got, np.sqrt(s2), rtol=1e-9)
+    got = ts.ewma_variance(df, ["k"], "i", "r", 63).orderBy("i").toPandas().ewma.values
+    lam, num, den = 0.5 ** (1 / 63), 0.0, 0.0
+    want = np.empty(n)
+    for t in range(n):
+        num, den = lam * num + r[t] ** 2, lam * den + 1
+        want[t] = num / den
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_drawdown_of_a_wiped_out_series(spark):
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate([0.1, -1.0, 0.1])] + [("b", i, v) for i, v in enumerate([-1.5, 0.2])], "k string, i int, r double")
+    got = {x.k: x for x in ts.drawdown(df, ["k"], "i", "r").collect()}
+    assert got["a"].status == "wiped_out" and got["a"].max_drawdown == -1.0 and got["a"].trough_date == 1 and not got["a"].recovered
+    assert got["b"].status == "wiped_out"
+
+
+def test_comovement_with_staggered_gaps(spark):
+    from riskloom.operators.attribution import comovement
+
+    rng = np.random.default_rng(3)
+    days = [D(2024, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    common = rng.normal(size=60)
+    rows = [(d, f"P{k}", float(common[i] + 0.5 * rng.normal())) for k in range(30) for i, d in enumerate(days) if i not in (2 * k, 2 * k + 1)]
+    sr = spark.createDataFrame(rows, "Date date, Position string, SpecificReturn double")
+    names = spark.createDataFrame([("B", f"P{k}") for k in range(30)], "Book string, Position string")
+    got = comovement(sr, names, D(2023, 1, 1), D(2025, 1, 1)).collect()[0]
+    wide = pd.DataFrame(rows, columns=["d", "p", "r"]).pivot(index="d", columns="p", values="r")
+    c = wide.corr().values
+    assert got.n_names == 30 and got.n_pairs == 435 and got.n_obs == 60 and got.verdict == "common_thread"
+    assert got.mean_corr == pytest.approx(c[np.triu_indices(30, 1)].mean(), abs=0.02)
+
+
+def test_pages_are_complete(spark):
+    from riskloom.plans.views import page
+
+    df = spark.createDataFrame([(i % 7, f"n{i:03d}") for i in range(100)], "v int, k string")
+    seen, after = [], None
+    while rows := page(df, [("v", True), ("k", False)], 13, after).collect():
+        seen += [(r.v, r.k) for r in rows]
+        after = seen[-1]
+    assert seen == sorted(((i % 7, f"n{i:03d}") for i in range(100)), key=lambda x: (-x[0], x[1]))
