@@ -16,7 +16,7 @@ positions in one join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.functions.joins import broadcast_if_small
 from riskloom.llm.common import Stages
@@ -31,7 +31,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def normal(line: Column) -> Column:
     """Tokens joined by one space, those with a digit as the wildcard."""
-    c = F.trim(F.regexp_replace(line, SPACE, " "))
+    c = F.trim(F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, SPACE, " ")).otherwise(line))
     return F.when(c.rlike("[0-9]"), F.regexp_replace(c, "[^ ]*[0-9][^ ]*", WILD)).otherwise(c)
 
 
@@ -39,7 +39,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     """Lines with a token: _key, _row (hash of the text), pos, norm, n, leaf, line."""
     d = docs.select(F.col("_key"), F.xxhash64("_text").alias("_row"), F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line"))
     d = d.select("_key", "_row", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''")
-    d = d.withColumn("n", F.length("norm") - F.length(F.translate("norm", " ", "")) + 1)
+    d = d.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
     return d.withColumn("leaf", F.xxhash64("n", F.substring_index("norm", " ", DEPTH))).withColumn("line", F.xxhash64("norm"))
 
 
@@ -58,16 +58,16 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
               .filter((F.col("k") > 1) & (F.col("docs") >= min_docs) & (F.col("n") >= min_tokens)).select("leaf"))
     leaves = st.write("leaves", leaves)
     texts = (_lines(base).select("leaf", "line", "norm").join(broadcast_if_small(leaves), "leaf").dropDuplicates(["leaf", "line"])
-             .join(known.drop("n"), ["leaf", "line"]))
-    tokens = st.write("tokens", texts.select("leaf", "line", "docs", F.posexplode(F.split("norm", " ")).alias("p", "token")))
-    support = (tokens.groupBy("leaf", "p", "token").agg(F.sum("docs").alias("s")).filter(F.col("s") >= min_docs)
-               .select("leaf", "p", "token", F.lit(True).alias("fixed")))
-    general = (tokens.join(support, ["leaf", "p", "token"], "left")
-               .withColumn("token", F.when(F.col("fixed"), F.col("token")).otherwise(WILD))
-               .groupBy("leaf", "line").agg(F.sort_array(F.collect_list(F.struct("p", "token"))).alias("t"),  # a line's own tokens
-                                            F.count("fixed").alias("fixed"), F.count(F.lit(1)).alias("n"))
-               .filter(F.col("fixed") >= similarity * F.col("n"))
-               .select("leaf", "line", F.xxhash64(F.lit("template"), F.array_join("t.token", " ")).alias("template")))
+             .join(known.select("leaf", "line", "n", "docs"), ["leaf", "line"]).withColumn("id", F.monotonically_increasing_id()))
+    texts = st.write("texts", texts)
+    # a token at its place in its leaf is one hash; the leading tokens are constant by the tree
+    tokens = (texts.select("id", "docs", "leaf", F.posexplode(F.split("norm", " ")).alias("p", "token")).filter(F.col("p") >= DEPTH)
+              .select("id", "docs", F.xxhash64("leaf", "p", "token").alias("spot")))
+    support = F.sum("docs").over(Window.partitionBy("spot"))
+    fixed = tokens.withColumn("s", support).filter(F.col("s") >= min_docs)
+    fixed = fixed.groupBy("id").agg(F.sort_array(F.collect_list("spot")).alias("spots"))  # of a line's own tokens
+    general = (texts.join(fixed, "id").filter(F.size("spots") + DEPTH >= similarity * F.col("n"))
+               .select("leaf", "line", F.xxhash64(F.lit("template"), "spots").alias("template")))
     general = st.write("templates", general)
 
     named = known.join(broadcast_if_small(general), ["leaf", "line"], "left").select("leaf", "line", F.coalesce("template", "line").alias("template"), "docs")
@@ -81,7 +81,7 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     drops = (seen.join(broadcast_if_small(again), ["leaf", "template"]).filter(~F.col("_key").eqNullSafe(F.col("first")))
              .groupBy(F.col("_key").alias("_dk"), F.col("_row").alias("_dr")).agg(F.collect_list("pos").alias("_pos")))  # a document's own lines
     drops = st.write("drops", drops)
-    st.drop("lines", "known", "leaves", "tokens", "templates", "hopeful", "seen", "recurring")
+    st.drop("lines", "known", "leaves", "texts", "templates", "hopeful", "seen", "recurring")
     return base.withColumn("_row", F.xxhash64("_text")), drops
 
 
