@@ -14,6 +14,7 @@ one bucket, so that a length that a third of all documents share stays spread.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -30,29 +31,56 @@ END = 0
 CACHE = 600_000
 
 
+#: fixed value: how byte-level BPE cuts a text before it merges
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The byte each character of a byte-level vocabulary stands for: visible Latin-1 characters are
+    themselves, the other bytes follow from 256 on."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    rest = [b for b in range(256) if b not in seen]
+    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Token ids of whole texts by a ``tokenizers`` file, as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts under a ``tokenizers`` file, as little-endian unsigned 32-bit bytes.
 
     Byte-level BPE never joins across a single space between two visible characters, so a text is
-    encoded piece by piece at these spaces and pieces that recur are looked up. A text with any
-    other run of spaces is encoded as a whole."""
+    encoded piece by piece at these spaces and pieces that recur are looked up; new pieces are merged by
+    ``tiktoken`` over the ranks of the same file. A text with any other run of spaces, and every text
+    under a file of another kind, is encoded as a whole by ``tokenizers``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+        self.pieces = model.get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        if self.pieces:
+            byte_of = byte_alphabet()
+            special = {t["content"] for t in spec.get("added_tokens", [])}
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
+            self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def merged(self, texts: list[str]) -> list[bytes]:
+        one = self.bpe.encode_ordinary
+        return [np.array(one(t), "<u4").tobytes() for t in texts]
+
     def batch(self, texts: list[str]) -> list[bytes]:
         parts: list[list[str] | None] = []
         for t in texts:
             p = t.split(" ")
-            plain = t and all(p) and not any(x[0].isspace() or x[-1].isspace() for x in p)
+            plain = self.pieces and t and all(p) and not any(x[0].isspace() or x[-1].isspace() for x in p)
             parts.append(p if plain else None)
         first = {p[0] for p in parts if p}
         rest = set().union(*[p[1:] for p in parts if p])
@@ -60,18 +88,28 @@ class Encoder:
         if len(self.known) + len(new) > CACHE:  # forgotten as a whole: bounded memory, same ids
             self.known = {}
             new = list(first) + [" " + x for x in rest]
-        self.known.update(zip(new, self.raw(new)))
+        self.known.update(zip(new, self.merged(new)))
         whole = iter(self.raw([t for t, p in zip(texts, parts) if not p]))
         known = self.known
         return [next(whole) if not p else known[p[0]] + b"".join([known[" " + x] for x in p[1:]]) for p in parts]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder of a file; later tasks go on with what it knows."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, doc_tokens, crcs (of its whole windows), rest_ids (bytes), rest."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end, size = Encoder(tokenizer), np.array([END], "<u4").tobytes(), 4 * window
+        enc, end, size = encoder(tokenizer), np.array([END], "<u4").tobytes(), 4 * window
         for b in batches:
             for at in range(0, len(b), 256):
                 part = b.iloc[at:at + 256]
