@@ -10,9 +10,10 @@ from riskloom.llm.mixing import OP10_SQL, op10_mixing
 from riskloom.llm.packing import op4_packing
 from riskloom.llm.quality import op8_quality
 from riskloom.llm.simhash import op6_simhash
+from riskloom.llm.suffix_dedup import op3_suffix_dedup
 from riskloom.llm.url_filter import OP9_SQL, op9_url_filter
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op4_packing": op4_packing, "op5_chat_format": op5_chat_format,
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_embedding_dedup": op2_embedding_dedup, "op3_suffix_dedup": op3_suffix_dedup, "op4_packing": op4_packing, "op5_chat_format": op5_chat_format,
            "op6_simhash": op6_simhash, "op7_ann": op7_ann,
            "op8_quality": op8_quality, "op9_url_filter": op9_url_filter, "op10_mixing": op10_mixing}
 ORACLES = {"op1_line_dedup": OP1_SQL, "op5_chat_format": OP5_SQL, "op9_url_filter": OP9_SQL, "op10_mixing": OP10_SQL}
