@@ -102,6 +102,26 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def solved(base: str, key: str, k: int, prefix: str = "gj") -> tuple[str, dict[str, tuple[tuple[str, ...], str]]]:
+    """Inverse of a symmetric k x k matrix in plain SQL, by Gauss-Jordan elimination with one CTE per column.
+
+    ``base`` names a CTE with ``key`` and the columns m_i_j for i <= j. Returns the name of the last CTE,
+    whose columns e_i_j are the inverse, and all CTEs."""
+    ctes: dict[str, tuple[tuple[str, ...], str]] = {}
+    cells = [f"m_{min(i, j)}_{max(i, j)} AS a_{i}_{j}" for i in range(k) for j in range(k)]
+    unit = [f"{float(i == j)}::DOUBLE AS e_{i}_{j}" for i in range(k) for j in range(k)]
+    ctes[f"{prefix}_0"] = ((base,), f"SELECT {key}, {', '.join(cells + unit)} FROM {base}")
+    for p in range(k):
+        cols = []
+        for m in "ae":
+            for i in range(k):
+                for j in range(k):
+                    pivot = f"{m}_{p}_{j} / a_{p}_{p}"
+                    cols.append(f"{pivot} AS {m}_{i}_{j}" if i == p else f"{m}_{i}_{j} - a_{i}_{p} * {pivot} AS {m}_{i}_{j}")
+        ctes[f"{prefix}_{p + 1}"] = ((f"{prefix}_{p}",), f"SELECT {key}, {', '.join(cols)} FROM {prefix}_{p}")
+    return f"{prefix}_{k}", ctes
+
+
 def _order(names: tuple[str, ...], extra: dict) -> list[str]:
     out: list[str] = []
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from riskloom.catalog.oracle import sql
+from riskloom.catalog.oracle import solved, sql
 from riskloom.catalog.q_attr import AT, artifact, asql
 from riskloom.catalog.q_risk import fr
 from riskloom.catalog.q_series import BETA, daily_betas, proxy
@@ -256,30 +256,63 @@ def wide_factors(f, names):
     return p.dropna()
 
 
-@query("mod04_rolling_factor_betas")
-def _(s, d):
-    """Shrunk trailing betas on published factors at four dates (checked against numpy in the tests)."""
-    import datetime as dt
-
-    f = fr(s, d)
-    cobs = [dt.date(1998, 12, 31), dt.date(1999, 12, 31), dt.date(2000, 12, 31), dt.date(2001, 10, 31)]
-    names = ["Market", "SMALL", "LARGE"]
-    return rg.rolling_factor_betas(day_returns(f), wide_factors(f, names), names, cobs)
+_X = ["Market", *STYLES]
+_K = len(_X) + 1
+_V = ["1.0::DOUBLE", *[f"x{i}" for i in range(1, _K)]]
+_wide = ", ".join(f"max(ret) FILTER (WHERE factor = '{n}') AS x{i}" for i, n in enumerate(_X, 1))
+_RR = (("art", "fr"), f"""SELECT book, count(*) AS n, sum(u) AS sy, sum(u * u) AS yy, {', '.join(f"sum({_V[i]} * u) AS c_{i}" for i in range(_K))},
+    {', '.join(f"sum({_V[i]} * {_V[j]}) AS m_{i}_{j}" for i in range(_K) for j in range(i, _K))}
+    FROM (SELECT book, date, value AS u FROM art WHERE kind = 'contribution' AND source = 'Specific') JOIN
+    (SELECT * FROM (SELECT date, {_wide} FROM fr GROUP BY date) WHERE {' AND '.join(f'x{i} IS NOT NULL' for i in range(1, _K))}) USING (date) GROUP BY book HAVING count(*) >= {len(_X) + 4}""")
+_LAST, _GJ = solved("rr", "book", _K)
+_beta = lambda i: " + ".join(f"e_{i}_{j} * c_{j}" for j in range(_K))
+_RB = (("rr", _LAST), f"""SELECT rr.book, n, {', '.join(f'{_beta(i)} AS b_{i}' for i in range(_K))}, {', '.join(f'e_{i}_{i} AS v_{i}' for i in range(_K))}, c_0,
+    yy - ({' + '.join(f'({_beta(i)}) * c_{i}' for i in range(_K))}) AS ss, yy - sy * sy / n AS st FROM rr JOIN {_LAST} g ON g.book = rr.book""")
 
 
-@query("mod20_residual_regression")
+@query("mod20_residual_regression", asql(" UNION ALL ".join(
+    f"SELECT book, '{n}' AS factor, b_{i} AS beta, b_{i} / sqrt(greatest(v_{i} * ss / (n - {_K}), 1e-30)) AS t_stat, 1 - ss / st AS r2, n FROM rb" for i, n in enumerate(_X, 1)),
+    "beta t_stat r2", "art", "fr", rr=_RR, **_GJ, rb=_RB))
 def _(s, d):
-    """OLS of the books' daily residual on the factors (checked against numpy in the tests)."""
+    """OLS of the books' daily residual on the factors."""
     f = fr(s, d)
     u = artifact(s, d).filter((F.col("Kind") == "contribution") & (F.col("Source") == "Specific")).select("Book", "Date", F.col("Value").alias("u"))
     return rg.residual_regression(u, wide_factors(f, ["Market", *STYLES]), ["Market", *STYLES])
 
 
+_Z = [*_V, "y"]
+_PAIRS = [(i, j) for i in range(_K + 1) for j in range(i, _K + 1)]
+_M4D = (("sr", "fr"), f"""SELECT s.position, s.date, row_number() OVER (PARTITION BY s.position ORDER BY s.date) AS i, s.sret + x1 AS y,
+    {', '.join(f'x{i}' for i in range(1, _K))} FROM sr s JOIN (SELECT date, {_wide} FROM fr GROUP BY date) USING (date)
+    WHERE {' AND '.join(f'x{i} IS NOT NULL' for i in range(1, _K))}""")
+_M4W = (("m4d",), f"""SELECT position, date, least(i, 504) AS n, {', '.join(f'sum({_Z[i]} * {_Z[j]}) OVER w AS p_{i}_{j}' for i, j in _PAIRS)},
+    {', '.join(f'sum({_Z[i]} * {_Z[j]} * power(2.0::DOUBLE, i / 63.0::DOUBLE)) OVER w / power(2.0::DOUBLE, i / 63.0::DOUBLE) AS g_{i}_{j}' for i, j in _PAIRS)}
+    FROM m4d WINDOW w AS (PARTITION BY position ORDER BY date ROWS BETWEEN 503 PRECEDING AND CURRENT ROW)""")
+_M4 = (("m4w", "fr"), f"""SELECT a.position || '|' || CAST(a.cob AS VARCHAR) AS k, a.position, a.cob, w.* EXCLUDE (position, date),
+    {', '.join(f'w.p_{i}_{j} AS m_{i}_{j}' for i in range(_K) for j in range(i, _K))}, {', '.join(f'w.p_{i}_{_K} AS c_{i}' for i in range(_K))}
+    FROM (SELECT position, cob FROM (SELECT DISTINCT position FROM m4d), (SELECT last_day(CAST(unnest(range(date_trunc('month', min(date)), max(date) + INTERVAL 1 DAY, INTERVAL 1 MONTH)) AS DATE)) AS cob FROM fr)) a
+    ASOF JOIN m4w w ON w.position = a.position AND a.cob >= w.date WHERE w.n >= 120""")
+_LAST4, _GJ4 = solved("m4", "k", _K, "gk")
+_M4B = (("m4", _LAST4), f"""SELECT m4.*, {', '.join(f'{_beta(i)} AS o_{i}' for i in range(_K))} FROM m4 JOIN {_LAST4} g ON g.k = m4.k""")
+_M4S = (("m4b",), f"""SELECT *, -o_0 AS q_0, {', '.join(f'-(0.75 * o_{i} + {0.25 if i == 1 else 0.0}) AS q_{i}' for i in range(1, _K))}, 1.0::DOUBLE AS q_{_K} FROM m4b""")
+_M4V = (("m4s",), f"SELECT *, greatest(({' + '.join(f'{1 if i == j else 2} * q_{i} * q_{j} * g_{i}_{j}' for i, j in _PAIRS)}) / g_0_0, 0) AS var FROM m4s")
+
+
+@query("mod04_rolling_factor_betas", sql(tidy_sql(" UNION ALL ".join(
+    f"SELECT position, cob AS date, '{n}' AS factor, -q_{i} AS loading, var AS specificvar FROM m4v" for i, n in enumerate(_X, 1)), "loading specificvar"),
+    "sr", "fr", m4d=_M4D, m4w=_M4W, m4=_M4, **_GJ4, m4b=_M4B, m4s=_M4S, m4v=_M4V))
+def _(s, d):
+    """Shrunk trailing betas on the market and all styles at every month-end (checked against numpy in the tests)."""
+    f = fr(s, d)
+    names = ["Market", *STYLES]
+    return rg.rolling_factor_betas(day_returns(f), wide_factors(f, names), names)
+
+
 @query("prj15_leaf_augmentation", sql("""SELECT date, position, factor FROM expo WHERE factor <> 'Market' UNION ALL SELECT DISTINCT date, position, 'Market' FROM expo WHERE factor <> 'Market' UNION ALL
-    SELECT DISTINCT e.date, e.position, 'Ind:' || s.sector FROM expo e JOIN sec s ON s.position = e.position WHERE e.factor <> 'Market' AND s.sector IN ('NATION_1', 'NATION_2', 'NATION_3')""", "expo", "sec"))
+    SELECT DISTINCT e.date, e.position, 'Ind:' || s.sector FROM expo e JOIN sec s ON s.position = e.position WHERE e.factor <> 'Market'""", "expo", "sec"))
 def _(s, d):
     f = fr(s, d)
-    ind = f.securities.filter(F.col("Sector").isin("NATION_1", "NATION_2", "NATION_3")).select(F.concat(F.lit("Ind:"), "Sector").alias("Factor")).distinct()
+    ind = f.securities.filter(F.col("Sector").isNotNull()).select(F.concat(F.lit("Ind:"), "Sector").alias("Factor")).distinct()
     out = de.leaf_augment(f.exposures.filter(F.col("Factor") != "Market"), f.securities, ind)
     return out.select("Date", "Position", "Factor")
 

@@ -199,13 +199,21 @@ def _(s, d):
     return desk.factor_stress(as_of_x(f), vols(f), sh).select("ShockId", "Book", "Factor", F.col("x").alias("exposure"), "sigma", F.col("fvol").alias("vol"), "shock_return", "pnl")
 
 
-@query("mod09_conditional_stress", sql(tidy_sql("""SELECT 'M2' AS shockid, x.book, x.factor, x.x AS exposure, c.cov / power(v.vol, 2) * -2 * v.vol AS implied_return, x.x * c.cov / power(v.vol, 2) * -2 * v.vol AS pnl
-    FROM xa x JOIN (SELECT b.factor, covar_samp(a.ret, b.ret) AS cov FROM panel a JOIN panel b ON a.date = b.date AND a.factor = 'Market' GROUP BY b.factor) c ON c.factor = x.factor
-    JOIN fvol v ON v.factor = 'Market'""", "exposure implied_return pnl"), "panel", "fvol", **XA))
+_PAIR = ("Market", "SMALL")
+_COV = "(SELECT a.factor AS f, b.factor AS g, covar_samp(a.ret, b.ret) AS c FROM panel a JOIN panel b ON a.date = b.date GROUP BY ALL)"
+
+
+@query("mod09_conditional_stress", sql(tidy_sql(f"""SELECT shockid, x.book, x.factor, x.x AS exposure, i.implied AS implied_return, x.x * i.implied AS pnl FROM xa x JOIN
+    (SELECT 'M2' AS shockid, c.f, c.c / s11 * -2 * sqrt(s11) AS implied FROM {_COV} c, m WHERE c.g = '{_PAIR[0]}'
+     UNION ALL SELECT 'PAIR', p.f, (p.c * (-sqrt(s11) * s22 - 1.5 * sqrt(s22) * s12) + q.c * (1.5 * sqrt(s22) * s11 + sqrt(s11) * s12)) / (s11 * s22 - s12 * s12)
+     FROM {_COV} p JOIN {_COV} q ON p.f = q.f, m WHERE p.g = '{_PAIR[0]}' AND q.g = '{_PAIR[1]}') i ON i.f = x.factor""", "exposure implied_return pnl"),
+    "panel", m=(("panel",), f"""SELECT max(c) FILTER (WHERE f = '{_PAIR[0]}' AND g = '{_PAIR[0]}') AS s11, max(c) FILTER (WHERE f = '{_PAIR[1]}' AND g = '{_PAIR[1]}') AS s22,
+     max(c) FILTER (WHERE f = '{_PAIR[0]}' AND g = '{_PAIR[1]}') AS s12 FROM {_COV}"""), **XA))
 def _(s, d):
+    """One shocked factor, and two at once (a real solve)."""
     f = fr(s, d)
     cov = ms.factor_cov(f.scenarios.filter(F.col("ScenarioSet") == "HistFull")).drop("ScenarioSet")
-    sh = s.createDataFrame([("M2", "Market", -2.0)], "ShockId string, Factor string, sigma double")
+    sh = s.createDataFrame([("M2", "Market", -2.0), ("PAIR", _PAIR[0], -1.0), ("PAIR", _PAIR[1], 1.5)], "ShockId string, Factor string, sigma double")
     c = desk.conditional_shocks(cov, sh)
     return as_of_x(f).join(F.broadcast(c), "Factor").select("ShockId", "Book", "Factor", F.col("x").alias("exposure"), "implied_return", (F.col("x") * F.col("implied_return")).alias("pnl"))
 
@@ -279,11 +287,20 @@ def _(s, d):
     return desk.overall_status(desk.check_limits(measured(s, d), limits_df(s), "BUILDING"))
 
 
-@query("src13_limit_table", f'''SELECT b AS book, metric, round(warn, 6) + 0.0 AS warn, round(lim, 6) + 0.0 AS "limit", c.n AS names
-    FROM (VALUES {_LIMV}) l(b, metric, warn, lim) JOIN (SELECT count(*) AS n FROM supplier) c ON true''')
+_DEFV = ", ".join(f"('{sc}', '{m}', {w}::DOUBLE, {lim}::DOUBLE)" for m, sc, w, lim in desk.DEFAULT_LIMITS)
+
+
+@query("src13_limit_table", sql(tidy_sql(f"""SELECT b.book, d.scope, d.metric, CASE d.metric WHEN 'single_name_weight' THEN 0.8 * b.mx WHEN 'Scenario VaR 99' THEN 0.04 ELSE d.warn END AS warn,
+    CASE d.metric WHEN 'single_name_weight' THEN b.mx ELSE d.lim END AS "limit", b.book AS calibrated_for, 'HistFull' AS scenario_set FROM (SELECT book, max(weight) AS mx FROM pos GROUP BY book) b,
+    (VALUES {_DEFV}) d(scope, metric, warn, lim) UNION ALL SELECT book, 'concentration', 'names', NULL, count(DISTINCT position), book, 'HistFull' FROM pos GROUP BY book""",
+    "warn limit", 9), "pos"), 9)
 def _(s, d):
-    n = fr(s, d).securities.agg(F.count(F.lit(1))).scalar()
-    return limits_df(s).withColumn("names", n)
+    """Limit files of all books, their levels set from the books' own holdings, read back as a table."""
+    p = fr(s, d).positions.groupBy("Book").agg(F.max("Weight").alias("mx"), F.count_distinct("Position").alias("n"))
+    text = F.format_string('{"_comment": "set from holdings", "calibrated_for": "%s", "book": {"_old": {"warn": 1.0, "limit": 1.0}, "Scenario VaR 99": {"warn": 0.04}}, '
+                           '"concentration": {"single_name_weight": {"warn": %s, "limit": %s}, "names": {"limit": %s}}}',
+                           "Book", (0.8 * F.col("mx")).cast("string"), F.col("mx").cast("string"), F.col("n").cast("string"))
+    return desk.parse_limits(p.select("Book", text.alias("config")))
 
 
 @query("mod30_liquidity", sql(tidy_sql("""SELECT date, book, count(*) AS n_names, sum(CASE WHEN days <= 5 THEN mv ELSE 0 END) / sum(mv) AS pct_mv_within_horizon, sum(CASE WHEN days <= 5 THEN weight ELSE 0 END) AS pct_weight_within_horizon,

@@ -90,21 +90,20 @@ def _(s, d):
 
 # ---- joins -----------------------------------------------------------------------------------------
 @query("jn01_star_join", sql(tidy_sql("""SELECT e.date, p.book, e.position, e.factor, f.factorgroup, s.sector, s.country, e.loading, p.weight, sqrt(v.sv) AS specific_vol FROM expo e JOIN pos p ON p.date = e.date AND p.position = e.position
-    LEFT JOIN sec s ON s.position = e.position LEFT JOIN fm f ON f.factor = e.factor LEFT JOIN sv v ON v.date = e.date AND v.position = e.position WHERE e.date >= DATE '2001-01-01'""", "loading weight specific_vol"), "expo", "pos", "sec", "fm", "sv"))
+    LEFT JOIN sec s ON s.position = e.position LEFT JOIN fm f ON f.factor = e.factor LEFT JOIN sv v ON v.date = e.date AND v.position = e.position""", "loading weight specific_vol"), "expo", "pos", "sec", "fm", "sv"))
 def _(s, d):
     f = fr(s, d)
-    e = f.exposures.filter(F.col("Date") >= F.lit(dt.date(2001, 1, 1)))
-    j = e.join(f.positions.select("Date", "Book", "Position", "Weight"), ["Date", "Position"])
+    j = f.exposures.join(f.positions.select("Date", "Book", "Position", "Weight"), ["Date", "Position"])
     j = j.join(f.securities.select("Position", "Sector", "Country"), "Position", "left").join(F.broadcast(f.factor_meta), "Factor", "left")
     return j.join(f.specific_var, ["Date", "Position"], "left").withColumn("specific_vol", F.sqrt("SpecificVar")).drop("SpecificVar")
 
 
-@query("jn02_fan_out", sql(tidy_sql(f"SELECT x.book, s.scenarioset, x.factor, x.x, count(*) AS days FROM xb x JOIN scn s ON s.factor = x.factor WHERE x.date = {AS} GROUP BY ALL", "x"), "xb", "scn"))
+@query("jn02_fan_out", sql(tidy_sql("SELECT x.date, x.book, s.scenarioset, x.factor, x.x, s.days FROM xb x JOIN (SELECT scenarioset, factor, count(*) AS days FROM scn GROUP BY ALL) s ON s.factor = x.factor", "x"), "xb", "scn"))
 def _(s, d):
     f = fr(s, d)
-    x = at.book_factor_exposure(f).filter(F.col("Date") == F.lit(ASOF))
+    x = at.book_factor_exposure(f)
     n = f.scenarios.groupBy("ScenarioSet", "Factor").agg(F.count(F.lit(1)).alias("days"))
-    return x.join(F.broadcast(n), "Factor").select("Book", "ScenarioSet", "Factor", "x", "days")
+    return x.join(F.broadcast(n), "Factor").select("Date", "Book", "ScenarioSet", "Factor", "x", "days")
 
 
 @query("jn03_grain_guard", sql(tidy_sql("SELECT date, book, svar AS specific_variance FROM spec", "specific_variance"), "spec"))
@@ -133,11 +132,11 @@ def _(s, d):
     return v.groupBy("Position").agg(F.max_by("SpecificVar", F.col("Date")).alias("SpecificVar"), F.max("Date").alias("Date"))
 
 
-@query("jn10_semi_anti", sql("SELECT i.position, p.position IS NOT NULL AS held FROM (SELECT DISTINCT position FROM idx) i LEFT JOIN (SELECT DISTINCT position FROM pos WHERE date = DATE '2000-06-30' AND book = 'BUILDING') p USING (position)", "idx", "pos"))
+@query("jn10_semi_anti", sql("SELECT i.position, p.position IS NOT NULL AS held FROM (SELECT DISTINCT position FROM idx) i LEFT JOIN (SELECT DISTINCT position FROM pos) p USING (position)", "idx", "pos"))
 def _(s, d):
     f = fr(s, d)
     i = f.index.select("Position").distinct()
-    h = f.positions.filter((F.col("Date") == F.lit(ASOF)) & (F.col("Book") == "BUILDING")).select("Position")
+    h = f.positions.select("Position")
     return i.join(h, "Position", "left_semi").withColumn("held", F.lit(True)).unionByName(i.join(h, "Position", "left_anti").withColumn("held", F.lit(False)))
 
 
@@ -157,10 +156,10 @@ def _(s, d):
 
 
 # ---- sorts and sets ----------------------------------------------------------------------------------
-@query("srt01_ordered", sql(tidy_sql(f"SELECT book, position, weight, adv FROM pos WHERE date = {AS}", "weight adv", 9), "pos"), 9)
+@query("srt01_ordered", sql(tidy_sql("SELECT date, book, position, weight, adv FROM pos", "weight adv", 9), "pos"), 9)
 def _(s, d):
-    p = fr(s, d).positions.filter(F.col("Date") == F.lit(ASOF)).select("Book", "Position", "Weight", "ADV")
-    return p.orderBy(F.col("ADV").desc_nulls_last(), F.abs("Weight").desc())
+    p = fr(s, d).positions.select("Date", "Book", "Position", "Weight", "ADV")
+    return p.orderBy("Date", F.col("ADV").desc_nulls_last(), F.abs("Weight").desc())
 
 
 @query("srt03_argmax_label", sql(tidy_sql("SELECT p.date, p.book, arg_max(s.sector, w) AS top_sector, max(w) AS weight FROM (SELECT date, book, sector, sum(weight) AS w FROM pos JOIN sec USING (position) GROUP BY ALL) p JOIN (SELECT DISTINCT sector FROM sec) s USING (sector) GROUP BY ALL", "weight", 9), "pos", "sec"), 9)

@@ -278,6 +278,7 @@ def _(s, d):
 
 _SHARES = f"""SELECT date, book, country, position, ({_MT}) / ((bread * bvar99 + 2.326 * 2.326 * S) / {_T}) AS share
        FROM mg JOIN sp USING (date, book, country, position) JOIN sb USING (date, book)"""
+# one date: the twin unfolds every name into its days
 CP = cells("country position", date=True)
 
 
@@ -312,8 +313,7 @@ def _(s, d):
     "marginal_model_vol pct_of_model_vol factor_variance_contribution", cells("position", date=True), "mg", "sp", "sb"))
 def _(s, d):
     return pivot(fr(s, d), ["Date", "Book", "Position"],
-                 ["Marginal Model vol", "% of Model vol", "Factor variance contribution"],
-                 filters={"Date": [ASOF], **HF})
+                 ["Marginal Model vol", "% of Model vol", "Factor variance contribution"], filters={"Date": [ASOF], **HF})
 
 
 @query("vec18_incremental_model_vol", psql(
@@ -346,8 +346,7 @@ def _(s, d):
        GROUP BY h.date, h.book, h.factor""", "min_variance_hedge_ratio vol_at_min_variance_hedge",
     cells("factor", date=True), "mg", "cx", "fvs", "sb", "bk", "scs"))
 def _(s, d):
-    return pivot(fr(s, d), ["Date", "Book", "Factor"], ["Min-variance hedge ratio", "Vol at min-variance hedge"],
-                 filters={"Date": [ASOF], **HF})
+    return pivot(fr(s, d), ["Date", "Book", "Factor"], ["Min-variance hedge ratio", "Vol at min-variance hedge"], filters={"Date": [ASOF], **HF})
 
 
 @query("vec22_stressed_model_vol", psql(

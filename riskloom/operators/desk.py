@@ -26,6 +26,25 @@ def rag(value: Column, warn: Column, limit: Column) -> Column:
             .when(value >= warn, "amber").otherwise("green"))
 
 
+def parse_limits(configs: DataFrame, config: str = "config") -> DataFrame:
+    """Limit table of each Book's JSON text: (Book, scope, metric, warn, limit, calibrated_for, scenario_set).
+
+    The text has the sections ``book`` and ``concentration``, each metric -> {warn, limit}. Keys that
+    begin with ``_`` are comments; what a text leaves out (all of it, if it is no JSON) is the default."""
+    levels = "map<string,struct<warn:double,limit:double>>"
+    c = configs.select("Book", F.from_json(F.col(config), f"calibrated_for string, scenario_set string, book {levels}, concentration {levels}").alias("c"))
+    head = c.select("Book", F.col("c.calibrated_for").alias("calibrated_for"), F.coalesce("c.scenario_set", F.lit("HistFull")).alias("scenario_set"))
+    own = None
+    for scope in ("book", "concentration"):
+        part = c.select("Book", F.lit(scope).alias("scope"), F.explode(f"c.{scope}").alias("metric", "v"))
+        own = part if own is None else own.unionByName(part)
+    own = own.filter(~F.col("metric").startswith("_")).select("Book", "scope", "metric", F.col("v.warn").alias("w"), F.col("v.limit").alias("l"))
+    preset = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(sc).alias("scope"), F.lit(w).alias("w0"), F.lit(lim).alias("l0")) for m, sc, w, lim in DEFAULT_LIMITS])
+    base = head.select("Book", F.explode(preset).alias("d")).select("Book", "d.*")
+    return (base.join(own, ["Book", "scope", "metric"], "full_outer").join(head, "Book")
+            .select("Book", "scope", "metric", F.coalesce("w", "w0").alias("warn"), F.coalesce("l", "l0").alias("limit"), "calibrated_for", "scenario_set"))
+
+
 def severity(status: Column) -> Column:
     return F.when(status == "green", 0).when(status == "unknown", 1).when(status == "amber", 2).otherwise(3)
 

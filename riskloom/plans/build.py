@@ -52,9 +52,7 @@ def build_frames(holdings: DataFrame, prices: DataFrame, market: DataFrame, prox
     expo = staged(de.leaf_augment(styles, securities, fr))
     sr = staged(rg.residuals(ret, expo, fr))
     pos = positions_on_calendar(filing_weights(holdings), until)
-    from riskloom.sources.tables import month_adv
-
-    pos = pos.join(month_adv(prices), ["Date", "Position"], "left").select("Date", "Book", "Position", "Weight", "MV", "ADV")
+    pos = pos.join(ts.month_adv(prices), ["Date", "Position"], "left").select("Date", "Book", "Position", "Weight", "MV", "ADV")
     meta = fr.select("Factor").distinct().select("Factor", F.when(F.col("Factor") == "Market", "Market").when(
         F.col("Factor").startswith("Ind:"), "Industry").otherwise("Style").alias("FactorGroup"))
     return Frames(spark, {"exposures": expo, "positions": pos, "securities": securities, "factor_meta": meta, "factor_returns": fr,

@@ -147,6 +147,22 @@ def _join(left: DataFrame, right: DataFrame | None, on: list[str], how: str = "l
     return left if right is None else left.join(right, on, how)
 
 
+def check_inputs(frames: Mapping[str, DataFrame], trades: DataFrame | None, shocks: Mapping[str, float] | None) -> None:
+    """Refuse trades in names or on (Date, Book) pairs that the model does not have, and shocks on unknown
+    factors: they would otherwise change nothing without a word."""
+    if trades is not None:
+        names = trades.select("Position").distinct().join(frames["exposures"].select("Position"), "Position", "left_anti").limit(5).collect()
+        if names:
+            raise PivotError(f"trades in unknown positions: {sorted(str(r[0]) for r in names)}")
+        books = trades.select("Date", "Book").distinct().join(frames["positions"].select("Date", "Book"), ["Date", "Book"], "left_anti").limit(5).collect()
+        if books:
+            raise PivotError(f"trades without a book on that date: {sorted((str(r[0]), str(r[1])) for r in books)}")
+    if shocks:
+        known = {r[0] for r in frames["factor_meta"].filter(F.col("Factor").isin(*shocks)).select("Factor").distinct().collect()}
+        if set(shocks) - known:
+            raise PivotError(f"shocks on unknown factors: {sorted(set(shocks) - known)}")
+
+
 def pivot(frames: Mapping[str, DataFrame], rows: list[str], measures: list[str],
           cols: list[str] | None = None, filters: Mapping[str, list] | None = None,
           totals: bool = False, trades: DataFrame | None = None,
@@ -172,6 +188,7 @@ def pivot(frames: Mapping[str, DataFrame], rows: list[str], measures: list[str],
             raise PivotError(f"{k} must be on an axis or filtered to one member")
     if trades is not None and "Date" not in axes and len(filters.get("Date", [])) != 1:
         raise PivotError("a trade set needs a single Date")
+    check_inputs(frames, trades, shocks)
     need = frozenset().union(*[MEASURES[m].needs for m in measures])
     wants_set = "ScenarioSet" in axes or any(MEASURES[m].scenario for m in measures)
     one_set = "ScenarioSet" in axes or len(filters.get("ScenarioSet", [])) == 1

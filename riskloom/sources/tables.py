@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from riskloom.frames import Frames, materialized
 from riskloom.operators import scenarios
+from riskloom.operators.timeseries import month_adv
 
 # fixed values of the given tables: the part types
 STYLES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
@@ -70,16 +71,6 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.sum("qty").alias("Volume")))
 
 
-def month_adv(px: DataFrame) -> DataFrame:
-    """(Date, Position) -> trailing 63-row mean dollar volume at the month's last row (min 20)."""
-    w = Window.partitionBy("Position").orderBy("Date").rowsBetween(-62, 0)
-    dv = F.col("Close") * F.col("Volume")
-    d = px.select("Position", "Date",
-                  F.when(F.count(dv).over(w) >= 20, F.avg(dv).over(w)).alias("ADV"))
-    return (d.groupBy(F.last_day("Date").alias("Date"), "Position")
-            .agg(F.round(F.max_by("ADV", F.col("Date")), 4).alias("ADV")))
-
-
 def month_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (book_lots(spark, sf_dir).groupBy("Date", "Book", "Position")
             .agg(F.round(F.sum("mv"), 4).alias("MV")))

@@ -145,3 +145,22 @@ def test_conditional_shock(spark):
     sh = spark.createDataFrame([("s", "a", -1.0)], "ShockId string, Factor string, sigma double")
     r = {x["Factor"]: x["implied_return"] for x in conditional_shocks(cov, sh).collect()}
     assert r["a"] == pytest.approx(-1.0) and r["b"] == pytest.approx(-0.5)
+
+
+def test_unknown_trades_and_shocks_are_refused(spark):
+    import datetime as dt
+
+    from riskloom.plans.pivot import PivotError, pivot
+    from toys import risk_frames
+
+    f, _ = risk_frames(spark)
+    day, book, name = f["positions"].select("Date", "Book", "Position").first()
+    row = "Branch string, Date date, Book string, Position string, Weight double"
+    for bad in (("w", day, book, "NOBODY", 0.5), ("w", day, "NOBOOK", name, 0.5), ("w", dt.date(1990, 1, 1), book, name, 0.5)):
+        with pytest.raises(PivotError):
+            pivot(f, ["Book"], ["Net weight"], filters={"Date": [day]}, trades=spark.createDataFrame([bad], row))
+    with pytest.raises(PivotError):
+        pivot(f, ["Book"], ["Custom stress PnL"], filters={"Date": [day], "ScenarioSet": ["HistFull"]}, shocks={"Nothing": -1.0})
+    both = pivot(f, ["Book"], ["Net weight", "Custom stress PnL"], filters={"Date": [day], "ScenarioSet": ["HistFull"]}, shocks={"Market": -1.0},
+                 trades=spark.createDataFrame([("w", day, book, name, 0.5)], row))
+    assert {r.Branch for r in both.collect()} == {"Base", "w"}
