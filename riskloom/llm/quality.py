@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 PASSAGE = 512
-SLICE = PASSAGE << 12  # bytes encoded at once
+SLICE = PASSAGE << 11  # bytes encoded at once
 SAMPLE = 3000
 MAX_BYTES = 1 << 15
 HIDDEN, GATE = 32, 16
@@ -186,14 +186,14 @@ def score(docs: DataFrame, model: GatedAttention | None, keep: list[str] | None
     keep = [c for c in (keep or docs.columns) if c != "score"]
     if model is None:
         return docs.select(*keep).withColumn("score", F.lit(0.5))
-    schema = docs.select(*keep).schema.add("score", "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield b[keep].assign(score=scores(model, b["_utf8"].tolist()))
+            yield pd.Series(scores(model, b.tolist()))
 
-    text = F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_utf8")
-    return docs.select(*keep, text).mapInPandas(run, schema)
+    # only texts go to Python and only scores come back; other columns wait in the JVM
+    return docs.select(*keep, run(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("score"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
