@@ -61,11 +61,11 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return s.join(broadcast_if_small(r), "suffix").groupBy("host").agg(F.collect_set("r").alias("rules"))
 
 
-def with_rule(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """Adds ``_rule`` (struct with n, allow, rule, path; null if none fits) to rows with host and path."""
-    m = host_rules(df, rules)
+def with_rule(df: DataFrame, matched: DataFrame) -> DataFrame:
+    """Adds ``_rule`` (struct with n, allow, rule, path; null if none fits) to rows with host and path;
+    ``matched`` is the written result of :func:`host_rules`, so that its size is known."""
     fit = F.filter("rules", lambda r: F.col("path").startswith(r["path"]))
-    return df.join(broadcast_if_small(m), "host", "left").withColumn("_rule", F.array_max(fit)).drop("rules")
+    return df.join(broadcast_if_small(matched), "host", "left").withColumn("_rule", F.array_max(fit)).drop("rules")
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -98,13 +98,16 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     comp = st.write("components", components(st, edges, "na", "nb"))
     ends = edges.select(F.col("a").alias("u"), F.col("na").alias("node")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("nb").alias("node"))).distinct()
-    ends = with_rule(ends.select("node", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path")), rules)
+    ends = ends.select("node", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
+    hosts = base.select(host_of(F.col(url)).alias("host")).unionByName(ends.select("host"))
+    matched = st.write("host_rules", host_rules(hosts, rules))
+    ends = with_rule(ends, matched)
     bad = (ends.filter(F.col("_rule").isNotNull() & ~F.col("_rule.allow")).select("node").distinct()
            .join(comp, "node").select("component").distinct())
     blocked = comp.join(bad, "component", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_blocked"))
     judged = with_rule(base.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-                       .withColumn("_node", node_of(F.col(url))), rules)
-    judged = judged.join(broadcast_if_small(blocked), "_node", "left")
+                       .withColumn("_node", node_of(F.col(url))), matched)
+    judged = judged.join(broadcast_if_small(st.write("blocked", blocked)), "_node", "left")
     verdict = (F.when(F.col("_rule").isNotNull(), F.when(F.col("_rule.allow"), "allow").otherwise("block"))
                .when(F.col("_blocked") & (F.instr(F.coalesce(F.col(url), F.lit("")), "://") > 0), "block").otherwise("allow"))
     return judged.select(*base.columns, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
