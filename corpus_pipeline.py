@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from riskloom.llm import line_dedup, mixing, packing, quality, simhash
 from riskloom.llm.common import Stages
 
-#: near-duplicates of the pipeline: shingles of five words; 64-bit fingerprints of texts that share 0.8 of
-#: them differ in about 9 bits, so up to 10 link. 48 sets of 16 bits let 94 % of pairs at 10 bits meet, 99 % at 7
+#: near-duplicates of the pipeline: shingles of five words; texts that share 0.8 of them link, and those whose
+#: 64-bit fingerprints differ in up to 10 bits if they share half (riskloom/llm/verify.py). 48 sets of 16 bits
+#: let 94 % of fingerprints at 10 bits meet, 99 % at 7; pairs at 0.8 do not depend on them
 SHINGLE, RADIUS, KEY_BITS, KEY_SETS = 5, 10, 16, 48
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -29,7 +30,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near-duplicates."""
+    """The first document of every group of near-duplicates, links verified on the shingle sets."""
     return simhash.keep_first(docs, shingle=SHINGLE, radius=RADIUS, parts=simhash.sampled_masks(KEY_BITS, KEY_SETS))
 
 

@@ -41,24 +41,32 @@ def references(n: int = PIVOTS) -> np.ndarray:
     return r
 
 
-def simhash(text: bytes, n: int = SHINGLE) -> int:
-    """Fingerprint of a UTF-8 text: A-Z lower-cased, words split at ASCII white space, shingles of ``n``
-    words joined by one space, repeats counted; fewer words are one shingle, none gives zero."""
+def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
+    """XXH64 values of a UTF-8 text's shingles in order: A-Z lower-cased, words split at ASCII white space,
+    ``n`` words joined by one space; fewer words are one shingle, no word gives none."""
     from xxhash import xxh64_intdigest as xx
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))).tolist()
     k = max(1, len(words) - n + 1)
     starts = [0] + [e + 1 for e in ends[: k - 1]]
-    ends = ends[min(n, len(words)) - 1:]
+    return np.fromiter((xx(joined[s:e], 42) for s, e in zip(starts, ends[min(n, len(words)) - 1:])), np.uint64, k)
+
+
+def majority(h: np.ndarray) -> int:
+    """Bitwise majority of hashes, repeats counted; zero of none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, k, 1 << 16):  # a block at a time: memory does not grow with the text
-        h = np.fromiter((xx(joined[s:e], 42) for s, e in zip(starts[at:at + (1 << 16)], ends[at:at + (1 << 16)])), np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > k, bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(h), 1 << 16):  # a block at a time: the bits of a long text are never all held
+        ones += np.unpackbits(h[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def simhash(text: bytes, n: int = SHINGLE) -> int:
+    """Fingerprint of a UTF-8 text."""
+    return majority(shingles(text, n))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -183,6 +191,18 @@ def link_groups(b: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"a": node[own], "b": node[label[own]]}).drop_duplicates()
 
 
+def pivoted(table: DataFrame, kind: str) -> DataFrame:
+    """``table`` (node, fp) with the distances of each fingerprint to the references."""
+    ref = references()
+
+    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            d = np.bitwise_count(b["fp"].values.view(np.uint64)[:, None] ^ ref[None, :]).astype(np.uint8)
+            yield b.assign(dist=[r.tobytes() for r in d])
+
+    return table.mapInPandas(distances, f"node {kind}, fp long, dist binary")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, shingle: int = SHINGLE, parts: list[int] | None = None) -> DataFrame:
     """(doc_id, fp, component_id): one row per row of ``docs``; component_id is the smallest key reachable
     by links; a row with a null key gets its class's smallest key, null if it has none. Null and empty texts and texts of white space have fingerprint zero
@@ -191,24 +211,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     st = Stages(docs.sparkSession)
     fps = st.write("fingerprints", fingerprints(docs, text, key, shingle))
     reps = st.write("nodes", fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    ref = references()
-
-    def distances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            d = np.bitwise_count(b["fp"].values.view(np.uint64)[:, None] ^ ref[None, :]).astype(np.uint8)
-            yield b.assign(dist=[r.tobytes() for r in d])
-
-    kind = docs.schema[key].dataType.simpleString()
-    table = st.write("pivot_table", reps.select("node", "fp").mapInPandas(distances, f"node {kind}, fp long, dist binary"))
+    table = st.write("pivot_table", pivoted(reps.select("node", "fp"), docs.schema[key].dataType.simpleString()))
     comp = components(st, links(st, table, radius, parts=parts))
     reps = reps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(broadcast_if_small(reps), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, **kw) -> DataFrame:
-    """The rows of ``docs`` whose key is their component's smallest; rows repeating that key all stay."""
-    key = kw.get("key", "doc_id")
-    first = near_duplicates(docs, **kw).filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, shingle: int = SHINGLE,
+               parts: list[int] | None = None, **kw) -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of their class of near-duplicates, as ``verify``
+    compares them; rows repeating that key all stay."""
+    from riskloom.llm import verify
+
+    rows = verify.classes(docs, text, key, radius, shingle, parts, **kw)
+    first = rows.groupBy("cls").agg(F.min("doc_id").alias("_key")).select("_key").distinct()
     return docs.join(first, docs[key] == F.col("_key"), "left_semi")
 
 
