@@ -109,12 +109,12 @@ def schedule(docs: DataFrame, text: str = "text", source: str = "source", key: s
 def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as the schedule takes it as a whole (the last,
     cut copy counts if at least half of its words fit). Keys must be unique for this form; equal keys
-    share one decision. ``docs`` keeps its columns."""
+    share one decision, also null keys. ``docs`` keeps its columns."""
     key = kw.get("key", "doc_id")
     _, plan = schedule(docs, **kw)
     n = plan.filter("taken > 0").select(F.col("doc_id").alias("_key"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"))
     n = n.groupBy("_key").agg(F.max("_n").alias("_n")).filter("_n > 0")
-    return (docs.join(n, docs[key] == F.col("_key")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    return (docs.join(n, docs[key].eqNullSafe(F.col("_key"))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
             .select(*docs.columns))
 
 

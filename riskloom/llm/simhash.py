@@ -220,12 +220,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, shingle: int = SHINGLE,
                parts: list[int] | None = None, **kw) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of their class of near-duplicates, as ``verify``
-    compares them; rows repeating that key all stay."""
+    compares them; rows repeating that key all stay. Of a class without a key one row stays, one with
+    the smallest text hash."""
     from riskloom.llm import verify
 
     rows = verify.classes(docs, text, key, radius, shingle, parts, **kw)
-    first = rows.groupBy("cls").agg(F.min("doc_id").alias("_key")).select("_key").distinct()
-    return docs.join(first, docs[key] == F.col("_key"), "left_semi")
+    first = Stages(docs.sparkSession).write("first", rows.groupBy("cls").agg(F.min("doc_id").alias("_key"), F.min("th").alias("_th")))
+    named = docs.join(first.filter(F.col("_key").isNotNull()).select("_key").distinct(), docs[key] == F.col("_key"), "left_semi")
+    rest = docs.filter(F.col(key).isNull()).withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rest = rest.join(broadcast_if_small(first.filter(F.col("_key").isNull()).select(F.col("_th").alias("_h")).distinct()), "_h", "left_semi").dropDuplicates(["_h"])
+    return named.unionByName(rest.select(*docs.columns))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
