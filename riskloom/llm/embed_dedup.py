@@ -3,6 +3,10 @@
 In each pass vectors are ordered lexicographically by (label, concatenated random hyperplane bits) and
 cut into blocks of ``BLOCK`` neighbours; a block is compared with itself and with the next one. Passes
 use other hyperplanes, so a pair that one order parts meets in another, and verified links are united.
+How many passes a label takes follows from its rows: two rows that share one more leading bit than rows a
+block apart do are less than a block apart, a pair at the threshold shares a bit with probability
+1 - acos(cosine) / pi, and a few trial orders tell the depth of every block. Passes are added until such a
+pair misses all of them with probability ``MISS`` at most.
 
 A window is a cap on partners, so dense stretches get an exact way past it: samples of consecutive
 blocks are compared, blocks whose samples link form a run, and all blocks of a run are compared, one
@@ -27,7 +31,9 @@ from riskloom.llm.simhash import forest
 from riskloom.llm.vectors import cosines, groups, matrix, packed, unit
 
 COSINE = 0.93
-PASSES = 12
+PASSES = 12  # at least
+TRIALS = 4
+MISS = 1e-3
 BITS = 32
 BLOCK = 512
 SAMPLES = 8
@@ -37,19 +43,34 @@ def planes(dim: int, passes: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(dim, passes * BITS))
 
 
-def _keyed(table: DataFrame, dim: int, passes: int) -> DataFrame:
+def needed(st: Stages, table: DataFrame, dim: int, passes: int, block: int, cosine: float) -> DataFrame:
+    """(label, passes) for the labels of more than two blocks that need more than ``passes``."""
+    trial = _keyed(table, dim, min(TRIALS, passes)).select("pass", "label", "key", "node")
+    edge = _blocks(st, trial, block).filter("_i = 0").select("pass", "label", "blk", "key")
+    nxt = edge.select("pass", "label", (F.col("blk") - 1).alias("blk"), F.col("key").alias("_next"))
+    depth = F.lit(BITS + 1) - F.coalesce(F.length(F.regexp_replace(F.bin(F.col("key").bitwiseXOR(F.col("_next"))), "^0+", "")), F.lit(0))
+    same = 1 - float(np.arccos(min(1.0, cosine)) / np.pi)
+    hit = edge.join(nxt, ["pass", "label", "blk"]).groupBy("label").agg(F.avg(F.pow(F.lit(same), depth)).alias("q"))
+    return hit.select("label", F.ceil(F.lit(float(np.log(MISS))) / F.log(1 - F.col("q"))).cast("int").alias("passes")).filter(F.col("passes") > passes)
+
+
+def _keyed(table: DataFrame, dim: int, passes: int, own: DataFrame | None = None) -> DataFrame:
+    """Rows once per pass with its key; ``own`` (label, passes) has the labels that take more than ``passes``."""
+    most = max(passes, own.agg(F.max("passes")).first()[0] or 0) if own is not None else passes
     kind = table.schema["label"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r, weight = planes(dim, passes), 1 << np.arange(BITS - 1, -1, -1)
+        r, weight = planes(dim, most), 1 << np.arange(BITS - 1, -1, -1)
         for b in batches:
             for lo in range(0, len(b), 4096):
                 c = b.iloc[lo:lo + 4096]
-                bits = (unit(matrix(c["v"], dim)) @ r > 0).reshape(len(c), passes, BITS)
+                bits = (unit(matrix(c["v"], dim)) @ r > 0).reshape(len(c), most, BITS)
                 yield c.assign(keys=list(bits @ weight))
 
-    return table.mapInPandas(run, f"node long, label {kind}, m long, v binary, keys array<long>").select(
-        "node", "label", "m", "v", F.posexplode("keys").alias("pass", "key"))
+    d = table.mapInPandas(run, f"node long, label {kind}, m long, v binary, keys array<long>")
+    if own is not None:
+        d = d.join(broadcast_if_small(own), "label", "left").withColumn("keys", F.slice("keys", F.lit(1), F.coalesce("passes", F.lit(passes))))
+    return d.select("node", "label", "m", "v", F.posexplode("keys").alias("pass", "key"))
 
 
 def _cosine(a: str, b: str):
@@ -149,12 +170,14 @@ def near_duplicates(df: DataFrame, vector: str = "embedding", key: str = "vec_id
             .select("vec_id", "n_links", F.col("component_id").cast("long"), "kept")
     v = st.write("vectors", v)
     table = st.write("classes", v.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m")).select("node", "label", "m", "v"))
-    rows = _blocks(st, _keyed(table, dim, passes), block)
+    more = st.write("passes", needed(st, table, dim, passes, block, cosine))
+    most = max(passes, more.agg(F.max("passes")).first()[0] or 0)
+    rows = _blocks(st, _keyed(table, dim, passes, more), block)
     runs = _runs(st, rows, dim, block, cosine)
     rows = rows.join(broadcast_if_small(st.write("runs", runs)), "blk", "left")
     rows = st.write("placed", rows.select("node", "label", "m", "v", "pass", "blk", "lo", "hi"))
     seat = (rows.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pass", "blk", F.coalesce("lo", F.lit(-1)).alias("lo")))).alias("s"))  # one entry per pass
-            .select("node", F.col("s.blk").alias("blks"), F.col("s.lo").alias("runs")))
+            .select("node", *[F.concat(c, F.array_repeat(F.lit(-1).cast("long"), F.lit(most) - F.size(c))).alias(n) for c, n in (("s.blk", "blks"), ("s.lo", "runs"))]))
     far = F.when(F.col("lo").isNotNull(), F.filter(F.sequence("lo", "hi"), lambda o: F.abs(o - F.col("blk")) > 1)).otherwise(F.array().cast("array<long>"))
     cells = F.concat(
         F.array(F.struct(F.col("blk").alias("i"), F.col("blk").alias("j"), F.lit(0).alias("side")),
