@@ -40,10 +40,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and offset."""
+    """Token pieces of all documents with their ids, sequence and offset."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), with_ids=True)
 
 
 STAGES = [("quality classifier", keep_good), ("line dedup", drop_lines), ("SimHash near-dedup", one_of_each),

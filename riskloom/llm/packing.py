@@ -105,7 +105,7 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, doc_tokens, crcs (of its whole windows), rest_ids (bytes), rest."""
+    """One row per document: doc_id, doc_tokens, wins (ids of its whole windows, as bytes), rest_ids (bytes), rest."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,11 +117,11 @@ def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "d
                 full = [len(x) // size for x in ids]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].values, "doc_tokens": [len(x) // 4 for x in ids],
-                    "crcs": [[zlib.crc32(x[k * size:(k + 1) * size]) for k in range(n)] for x, n in zip(ids, full)],
+                    "wins": [[x[k * size:(k + 1) * size] for k in range(n)] for x, n in zip(ids, full)],
                     "rest": [len(x) % size // 4 for x in ids], "rest_ids": [x[n * size:] for x, n in zip(ids, full)]})
 
     return (docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-            .mapInPandas(run, f"doc_id {kind}, doc_tokens long, crcs array<long>, rest int, rest_ids binary"))
+            .mapInPandas(run, f"doc_id {kind}, doc_tokens long, wins array<binary>, rest int, rest_ids binary"))
 
 
 def combinations(lengths: np.ndarray, window: int = WINDOW, near: int = 24) -> np.ndarray:
@@ -211,7 +211,7 @@ def _rank(st: Stages, d: DataFrame) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and with
-    ``with_ids`` its ids (little-endian unsigned 32-bit bytes; only of rests).
+    ``with_ids`` its ids (little-endian unsigned 32-bit bytes). ids_crc32 is the checksum of these ids.
 
     Null and empty texts are the end id alone. Rows that repeat a key are documents of their own; null
     keys are kept. An empty table gives an empty result; other columns are not read."""
@@ -272,7 +272,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     placed = rests.mapInPandas(run, schema)
 
     # whole windows are sequences of their own, numbered after the packed ones
-    full = tok.filter(F.size("crcs") > 0)
+    full = tok.filter(F.size("wins") > 0).select("doc_id", "doc_tokens", "wins", F.transform("wins", F.crc32).alias("crcs"))
     base = taken + tail // window + len(borders) - 1
     full = full.withColumn("_b", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs"), F.lit(4096)))
     n = full.groupBy("_b").agg(F.sum(F.size("crcs")).alias("_n"))
@@ -281,10 +281,10 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     inside = Window.partitionBy("_b").orderBy("doc_id", "doc_tokens", "crcs").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = (full.join(F.broadcast(n), F.col("_b") == F.col("_k"))
             .withColumn("_first", F.lit(base) + F.col("_off") + F.sum(F.size("crcs")).over(inside) - F.size("crcs"))
-            .select("doc_id", "doc_tokens", "_first", F.posexplode("crcs").alias("_i", "ids_crc32"))
+            .select("doc_id", "doc_tokens", "_first", F.posexplode("wins").alias("_i", "ids"))
             .select("doc_id", (F.col("_i") * window).cast("long").alias("start"), F.lit(window).cast("long").alias("length"),
-                    "ids_crc32", "doc_tokens", (F.col("_first") + F.col("_i")).cast("long").alias("sequence_id"),
-                    F.lit(0).cast("long").alias("offset"), F.lit(None).cast("binary").alias("ids")))
+                    F.crc32("ids").alias("ids_crc32"), "doc_tokens", (F.col("_first") + F.col("_i")).cast("long").alias("sequence_id"),
+                    F.lit(0).cast("long").alias("offset"), "ids"))
     out = placed.unionByName(full)
     return out if with_ids else out.drop("ids")
 
