@@ -1,22 +1,24 @@
 """Line dedup by a log-template tree.
 
-A line's place in the tree has a fixed depth: its token count, then its ``depth`` leading tokens, where
-tokens with digits count as the wildcard. Inside a leaf the variable fields are found from counts: a
-token is constant at its position if lines of at least ``min_docs`` documents share it there, else it
-becomes the wildcard. A line with at least ``similarity`` of its tokens constant takes that template,
-any other line (and any of fewer than ``min_tokens`` tokens) is its own template. A template found in
-``min_docs`` documents or more recurs: its lines stay in the document with the smallest key and are
-dropped from all others. Lines without a token are kept.
-
-Only DataFrame expressions run. Line texts are read again, not shuffled: what travels are hashes (leaf
-and line, 128 bits together), and the tokens of those leaves alone in which two different lines and
+A line's place in the tree has a fixed depth: its token count, then its ``depth`` leading tokens. Tokens with
+digits count as the wildcard, unless they are more than half of the line's tokens: such a line is data, not a template,
+and is compared as it stands. Inside a leaf the variable fields are found from shares: a token is constant at its
+position if half of the leaf's documents have it there, or half of the documents of its branch (those with
+the same token before it, ``min_branch`` at least); else it becomes the wildcard. Shares do not depend on how
+large a leaf is. A line with at least ``similarity`` of its tokens constant takes that template, any other line (and
+any of fewer than ``min_tokens`` tokens) is its own template. A template found in ``min_docs`` documents or more
+recurs: its lines stay in the document with the smallest key and are dropped from all others. Lines without a
+token are kept.
+
+Only DataFrame expressions run. Lines are taken apart once and written with their hashes (leaf and line, 128 bits
+together); what travels are hashes, and the tokens of those leaves alone in which two different lines and
 ``min_docs`` documents meet. Counts are partial sums before any shuffle; documents meet their dropped
 positions in one join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.functions.joins import broadcast_if_small
 from riskloom.llm.common import Stages
@@ -25,64 +27,91 @@ DEPTH = 2
 SIMILARITY = 0.7
 MIN_TOKENS = 5
 MIN_DOCS = 3
+MIN_BRANCH = 10
 WILD = "<*>"
 SPACE = r"[\x20\x09-\x0D]+"
+#: a token with a digit, found from its first character on, so that long tokens cost one look
+DIGITS = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+
+
+def n_tokens(c: Column) -> Column:
+    """Tokens of a line whose tokens are joined by one space."""
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(" "), F.lit(""))) + 1
 
 
 def normal(line: Column) -> Column:
-    """Tokens joined by one space, those with a digit as the wildcard."""
+    """Tokens joined by one space, those with a digit as the wildcard if they are at most half of all."""
     c = F.trim(F.when(line.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(line, SPACE, " ")).otherwise(line))
-    return F.when(c.rlike("[0-9]"), F.regexp_replace(c, "[^ ]*[0-9][^ ]*", WILD)).otherwise(c)
+    wild = F.regexp_replace(c, DIGITS, WILD)
+    n_wild = (F.octet_length(wild) - F.octet_length(F.replace(wild, F.lit(WILD), F.lit("")))) / len(WILD)
+    return F.when(c.rlike("[0-9]"), F.when(2 * n_wild <= n_tokens(c), wild).otherwise(c)).otherwise(c)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines with a token: _key, _row (hash of the text), pos, norm, n, leaf, line."""
-    d = docs.select(F.col("_key"), F.xxhash64("_text").alias("_row"), F.posexplode(F.split("_text", "\n", -1)).alias("pos", "line"))
-    d = d.select("_key", "_row", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''")
-    d = d.withColumn("n", F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "), F.lit(""))) + 1)
+    """Lines with a token: key, row (hash of the text), pos, norm, n, leaf, line."""
+    d = docs.select("key", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    d = d.select("key", "row", "pos", normal(F.col("line")).alias("norm")).filter("norm <> ''")
+    d = d.withColumn("n", n_tokens(F.col("norm")))
     return d.withColumn("leaf", F.xxhash64("n", F.substring_index("norm", " ", DEPTH))).withColumn("line", F.xxhash64("norm"))
 
 
+def _templates(texts: DataFrame, similarity: float, min_docs: int, min_branch: int) -> DataFrame:
+    """(leaf, line, template) of the lines that generalise; ``texts`` has id, leaf, line, norm, n, docs, leaf_docs.
+
+    A token at its place in its leaf is one hash, a token after its neighbour another; rare ones (fewer than
+    ``min_docs`` documents) are neither constant nor a branch. The leading tokens are constant by the tree."""
+    toks = texts.select("id", "docs", "leaf", F.split("norm", " ").alias("t"))
+    spot = F.transform(F.slice("t", DEPTH + 1, F.size("t")), lambda x, i: F.struct((2 * i).alias("at"), F.xxhash64(F.col("leaf"), i, x).alias("h")))
+    pair = F.transform(F.slice("t", DEPTH + 1, F.size("t")),
+                       lambda x, i: F.struct((2 * i + 1).alias("at"), F.xxhash64(F.col("leaf"), i, F.get("t", i + DEPTH - 1), x).alias("h")))
+    seen = toks.select("id", "docs", F.explode(F.concat(spot, pair)).alias("x")).select("id", "docs", "x.at", "x.h")
+    support = seen.groupBy("h").agg(F.sum("docs").alias("s")).filter(F.col("s") >= min_docs)
+    held = (seen.join(broadcast_if_small(support), "h").groupBy("id")
+            .agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("s", "h")))).alias("m")))  # of a line's own tokens
+    x = texts.join(held, "id")
+
+    def constant(i: Column) -> Column:
+        mine, both = F.col("m")[2 * i]["s"], F.col("m")[2 * i + 1]["s"]
+        before = F.when(i == 0, F.col("leaf_docs")).otherwise(F.col("m")[2 * i - 2]["s"])
+        return F.coalesce(2 * mine >= F.col("leaf_docs"), F.lit(False)) | F.coalesce((before >= min_branch) & (2 * both >= before), F.lit(False))
+
+    places = F.filter(F.sequence(F.lit(0), F.col("n") - DEPTH - 1), constant)
+    x = x.withColumn("places", places).filter(F.size("places") + DEPTH >= similarity * F.col("n"))
+    spots = F.transform("places", lambda i: F.col("m")[2 * i]["h"])
+    return x.select("leaf", "line", F.xxhash64(F.lit("template"), spots).alias("template"))
+
+
 def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS,
-            min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(base, drops): ``docs`` with _key, _text and _row; and per (_key, _row) the array of dropped line
-    positions."""
+            min_docs: int = MIN_DOCS, min_branch: int = MIN_BRANCH) -> DataFrame:
+    """Per document (key and row, the hash of its text) the array ``pos`` of dropped line positions."""
     st = Stages(docs.sparkSession)
-    base = docs.withColumn("_key", F.col(key)).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    lines = st.write("lines", _lines(base).drop("norm"))
-    per_doc = lines.groupBy("leaf", "line", "_key").agg(F.first("n").alias("n"))
-    known = st.write("known", per_doc.groupBy("leaf", "line").agg(F.first("n").alias("n"), F.count("_key").alias("docs")))
+    lines = st.write("lines", _lines(docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))))
+    per_doc = lines.groupBy("leaf", "line", "key").agg(F.first("n").alias("n"))
+    known = st.write("known", per_doc.groupBy("leaf", "line").agg(F.first("n").alias("n"), F.count("key").alias("docs")))
 
     # leaves in which a template could form, and the tokens of their lines
-    leaves = (known.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("docs"), F.max("n").alias("n"))
-              .filter((F.col("k") > 1) & (F.col("docs") >= min_docs) & (F.col("n") >= min_tokens)).select("leaf"))
+    leaves = (known.groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.sum("docs").alias("leaf_docs"), F.max("n").alias("n"))
+              .filter((F.col("k") > 1) & (F.col("leaf_docs") >= min_docs) & (F.col("n") >= max(min_tokens, DEPTH + 1))).select("leaf", "leaf_docs"))
     leaves = st.write("leaves", leaves)
-    texts = (_lines(base).select("leaf", "line", "norm").join(broadcast_if_small(leaves), "leaf").dropDuplicates(["leaf", "line"])
+    texts = (lines.select("leaf", "line", "norm").join(broadcast_if_small(leaves), "leaf").dropDuplicates(["leaf", "line"])
              .join(known.select("leaf", "line", "n", "docs"), ["leaf", "line"]).withColumn("id", F.monotonically_increasing_id()))
     texts = st.write("texts", texts)
-    # a token at its place in its leaf is one hash; the leading tokens are constant by the tree
-    tokens = (texts.select("id", "docs", "leaf", F.posexplode(F.split("norm", " ")).alias("p", "token")).filter(F.col("p") >= DEPTH)
-              .select("id", "docs", F.xxhash64("leaf", "p", "token").alias("spot")))
-    support = F.sum("docs").over(Window.partitionBy("spot"))
-    fixed = tokens.withColumn("s", support).filter(F.col("s") >= min_docs)
-    fixed = fixed.groupBy("id").agg(F.sort_array(F.collect_list("spot")).alias("spots"))  # of a line's own tokens
-    general = (texts.join(fixed, "id").filter(F.size("spots") + DEPTH >= similarity * F.col("n"))
-               .select("leaf", "line", F.xxhash64(F.lit("template"), "spots").alias("template")))
-    general = st.write("templates", general)
+    general = st.write("templates", _templates(texts, similarity, min_docs, min_branch))
 
     named = known.join(broadcast_if_small(general), ["leaf", "line"], "left").select("leaf", "line", F.coalesce("template", "line").alias("template"), "docs")
     # a template can recur only if its lines' document counts add up to min_docs
     hope = named.groupBy("leaf", "template").agg(F.sum("docs").alias("d")).filter(F.col("d") >= min_docs).select("leaf", "template")
     hope = st.write("hopeful", named.join(hope, ["leaf", "template"]).select("leaf", "line", "template"))
-    seen = st.write("seen", lines.join(broadcast_if_small(hope), ["leaf", "line"]).select("_key", "_row", "pos", "leaf", "template"))
-    again = (seen.select("leaf", "template", "_key").distinct().groupBy("leaf", "template")
-             .agg(F.count("_key").alias("d"), F.min("_key").alias("first")).filter(F.col("d") >= min_docs).select("leaf", "template", "first"))
+    seen = lines.select("key", "row", "pos", "leaf", "line").join(broadcast_if_small(hope), ["leaf", "line"])
+    seen = st.write("seen", seen.select("key", "row", "pos", "leaf", "template"))
+    again = (seen.select("leaf", "template", "key").distinct().groupBy("leaf", "template")
+             .agg(F.count("key").alias("d"), F.min("key").alias("first")).filter(F.col("d") >= min_docs).select("leaf", "template", "first"))
     again = st.write("recurring", again)
-    drops = (seen.join(broadcast_if_small(again), ["leaf", "template"]).filter(~F.col("_key").eqNullSafe(F.col("first")))
-             .groupBy(F.col("_key").alias("_dk"), F.col("_row").alias("_dr")).agg(F.collect_list("pos").alias("_pos")))  # a document's own lines
+    drops = (seen.join(broadcast_if_small(again), ["leaf", "template"]).filter(~F.col("key").eqNullSafe(F.col("first")))
+             .groupBy("key", "row").agg(F.collect_set("pos").alias("pos")))  # a document's own lines
     drops = st.write("drops", drops)
     st.drop("lines", "known", "leaves", "texts", "templates", "hopeful", "seen", "recurring")
-    return base.withColumn("_row", F.xxhash64("_text")), drops
+    return drops
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **kw) -> DataFrame:
@@ -91,16 +120,18 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", **kw) -> Dat
 
     A null text without lines to drop stays null and counts as one blank line, as an empty text does.
     Keys should be unique: rows that share one are one document to the counts. Rows with a null key
-    are no document to the counts and lose every recurring line. An empty table gives an empty result."""
-    base, drops = dropped(docs.drop("n_lines", "n_dropped"), text, key, **kw)
+    are no document to the counts and lose every recurring line. Texts and tokens of any length are read whole, in time
+    that grows with their length. Other columns are passed on whatever their names. An empty table gives an empty result."""
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    lines = F.split("_text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_pos"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    d = base.join(broadcast_if_small(drops), F.col("_key").eqNullSafe(F.col("_dk")) & (F.col("_row") == F.col("_dr")), "left")
-    return d.select(*[F.when(F.col("_pos").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in keep],
-                    F.size(lines).cast("long").alias("n_lines"),
-                    F.coalesce(F.size(F.array_distinct("_pos")), F.lit(0)).cast("long").alias("n_dropped"))
+    docs = docs.select(*keep)
+    drops = dropped(docs, text, key, **kw).select(F.col("key").alias("dk"), F.col("row").alias("dr"), "pos")
+    # the row is one column, so that no name of its own meets one of these
+    d = docs.select(F.struct(*keep).alias("r"), F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
+    d = d.join(broadcast_if_small(drops), F.col("k").eqNullSafe(F.col("dk")) & (F.col("h") == F.col("dr")), "left")
+    left = F.filter(F.split("t", "\n", -1), lambda x, i: ~F.array_contains("pos", i))
+    return d.select(*[F.when(F.col("pos").isNull(), F.col("r")[c]).otherwise(F.array_join(left, "\n")).alias(c) if c == text else F.col("r")[c].alias(c) for c in keep],
+                    (F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+                    F.coalesce(F.size("pos"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def without_recurring_lines(docs: DataFrame, **kw) -> DataFrame:
@@ -122,16 +153,24 @@ def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
 OP1_SQL = rf"""
 WITH l0 AS (SELECT doc_id, generate_subscripts(s, 1) AS pos, unnest(s) AS line
             FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),
-l AS (SELECT doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '{SPACE}', ' ', 'g')), '[^ ]*[0-9][^ ]*', '{WILD}', 'g') AS norm FROM l0),
-t AS (SELECT *, string_split(norm, ' ') AS toks FROM l WHERE norm <> ''),
+l1 AS (SELECT doc_id, pos, line, trim(regexp_replace(line, '{SPACE}', ' ', 'g')) AS plain FROM l0),
+l2 AS (SELECT *, regexp_replace(plain, '[^ ]*[0-9][^ ]*', '{WILD}', 'g') AS wild FROM l1 WHERE plain <> ''),
+l AS (SELECT doc_id, pos, line, CASE WHEN 2 * (strlen(wild) - strlen(replace(wild, '{WILD}', ''))) / {len(WILD)} <= len(string_split(plain, ' '))
+                                THEN wild ELSE plain END AS norm FROM l2),
+t AS (SELECT *, string_split(norm, ' ') AS toks FROM l),
 f AS (SELECT *, len(toks) AS n, len(toks)::VARCHAR || ' ' || array_to_string(toks[1:{DEPTH}], ' ') AS leaf FROM t),
 known AS (SELECT leaf, norm, any_value(n) AS n, any_value(toks) AS toks, count(DISTINCT doc_id) AS docs FROM f GROUP BY leaf, norm),
-leaves AS (SELECT leaf FROM known GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {MIN_DOCS} AND max(n) >= {MIN_TOKENS}),
-tok AS (SELECT leaf, norm, docs, generate_subscripts(toks, 1) AS p, unnest(toks) AS token FROM known WHERE leaf IN (FROM leaves)),
-sup AS (SELECT leaf, p, token FROM tok GROUP BY leaf, p, token HAVING sum(docs) >= {MIN_DOCS}),
-gen AS (SELECT tok.leaf, norm, string_agg(CASE WHEN sup.p IS NULL THEN '{WILD}' ELSE tok.token END, ' ' ORDER BY tok.p) AS template
-        FROM tok LEFT JOIN sup ON tok.leaf = sup.leaf AND tok.p = sup.p AND tok.token = sup.token
-        GROUP BY tok.leaf, norm HAVING count(sup.p) >= {SIMILARITY} * count(*)),
+leaves AS (SELECT leaf, sum(docs) AS all_docs FROM known GROUP BY leaf HAVING count(*) > 1 AND sum(docs) >= {MIN_DOCS} AND max(n) >= {MIN_TOKENS}),
+tok AS (SELECT leaf, norm, docs, all_docs, n, p, toks[p] AS token, toks[p - 1] AS prev
+        FROM (SELECT *, generate_subscripts(toks, 1) AS p FROM known JOIN leaves USING (leaf)) WHERE p > {DEPTH}),
+spot AS (SELECT leaf, p, token, sum(docs) AS s FROM tok GROUP BY ALL),
+pair AS (SELECT leaf, p, prev, token, sum(docs) AS b FROM tok GROUP BY ALL),
+fix AS (SELECT tok.*, s >= {MIN_DOCS} AND (2 * s >= all_docs OR (before >= {MIN_BRANCH} AND 2 * b >= before)) AS fixed
+        FROM (SELECT tok.*, spot.s, pair.b, CASE WHEN tok.p = {DEPTH} + 1 THEN all_docs ELSE o.s END AS before
+              FROM tok JOIN spot USING (leaf, p, token) JOIN pair USING (leaf, p, prev, token)
+              LEFT JOIN spot o ON o.leaf = tok.leaf AND o.p = tok.p - 1 AND o.token = tok.prev) tok),
+gen AS (SELECT leaf, norm, string_agg(CASE WHEN fixed THEN token ELSE '{WILD}' END, ' ' ORDER BY p) AS template
+        FROM fix GROUP BY leaf, norm HAVING count(*) FILTER (WHERE fixed) + {DEPTH} >= {SIMILARITY} * any_value(n)),
 named AS (SELECT f.doc_id, f.pos, f.leaf, coalesce('t ' || template, 'l ' || f.norm) AS template FROM f LEFT JOIN gen ON f.leaf = gen.leaf AND f.norm = gen.norm),
 again AS (SELECT leaf, template, min(doc_id) AS first FROM named GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),
 drops AS (SELECT doc_id, pos FROM named JOIN again USING (leaf, template) WHERE doc_id <> first),

@@ -47,3 +47,40 @@ def test_hot_line_in_a_third_of_all_documents(spark):
     rows = [(i, f"unique words of {'abcdefghij'[i % 10]}{i * 7919}x" + ("\nshared boiler plate line" if i % 3 == 0 else "")) for i in range(3000)]
     got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).filter("n_dropped > 0").count()
     assert got >= 999
+
+
+def test_lines_of_numbers_are_data(spark):
+    rows = [(i, f"{t}\nId {i} 3 4 5") for i, t in enumerate(["12 34", "56 78", "90 11", "7 8", "12 34", "12 34"])]
+    got = rows_of(line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[i].n_dropped for i in range(6)] == [0, 0, 0, 0, 1, 1]  # only equal lines recur
+    assert got[5].text == "Id 5 3 4 5"
+
+
+@pytest.mark.parametrize("n", [4, 64, 64_000])
+def test_a_template_is_one_at_any_size(spark, n):
+    k = max(4, int(n ** 0.5 * 2))  # names and places, each in many documents of a large table
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(
+        " ", F.lit("Visitor book: guest"), F.concat(F.lit("name"), F.translate((F.xxhash64("id", F.lit(1)) % k).cast("string"), "-0123456789", "mabcdefghij")),
+        F.lit("came from"), F.concat(F.lit("at"), F.translate((F.xxhash64("id", F.lit(2)) % k).cast("string"), "-0123456789", "mabcdefghij")),
+        F.lit("and signed in here")).alias("text"))
+    # the same leaf holds another template, a tenth as common
+    other = spark.range(n, n + n // 10).select(F.col("id").alias("doc_id"), F.concat_ws(
+        " ", F.lit("Visitor book: pages"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"), F.lit("were torn out of the old volume")).alias("text"))
+    got = line_dedup.dedup(df.unionByName(other))
+    assert got.filter((F.col("n_dropped") == 0) & (F.col("doc_id") < n)).count() == 1
+
+
+def test_long_tokens_take_one_look(spark):
+    text = "x" * 1_000_000 + " has 1 number here\nend"
+    rows = [(i, text) for i in range(4)]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.n_dropped for r in got) == [0, 2, 2, 2]
+
+
+def test_columns_of_any_name(spark):
+    names = ["_key", "_text", "_row", "_pos", "_dk", "_dr", "key", "row", "pos", "r", "k", "t", "h", "dk", "dr", "leaf", "line"]
+    df = spark.createDataFrame([(i, "same line here\nown " + "abcd"[i]) for i in range(4)], "doc_id long, text string").withColumns({c: F.lit(c) for c in names})
+    got = line_dedup.dedup(df)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert all(r[c] == c for r in got.collect() for c in names)
+    assert line_dedup.without_recurring_lines(df).columns == df.columns
