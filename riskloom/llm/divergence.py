@@ -167,13 +167,14 @@ def pair_sums(batches: Iterator[pd.DataFrame], tile: int = TILE) -> Iterator[pd.
         yield out()
 
 
-def bitmaps(kept: DataFrame) -> DataFrame:
+def bitmaps(st: Stages, kept: DataFrame) -> DataFrame:
     """(lang, band, block, gid, n, word, bits) from (lang, source, gid, term, n, all, first): 64 positions of a
     block per word. Bands are by the bits of a term's total; a block of a higher band is shorter."""
     k = kept.withColumn("band", F.length(F.bin("all")).cast("int"))
     size = F.greatest(F.lit(64), F.expr(f"shiftright({BLOCK}, greatest(0, band - 5))"))
     n = (k.filter("first").groupBy("lang", "band").agg(F.count(F.lit(1)).alias("_n"))
          .select(F.col("lang").alias("_l"), F.col("band").alias("_b"), F.ceil(F.col("_n") / size).cast("long").alias("_blocks")))
+    n = st.write("bands", n)  # one row per language and bit length
     k = k.join(broadcast_if_small(n), (F.col("lang") == F.col("_l")) & (F.col("band") == F.col("_b")))
     k = k.withColumn("block", F.pmod(F.xxhash64("term"), F.col("_blocks")))
     pos = F.dense_rank().over(Window.partitionBy("lang", "band", "block").orderBy("term")) - 1
@@ -206,7 +207,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     st.drop("counts")
 
     k = kept.join(broadcast_if_small(groups), ["lang", "source"])
-    maps = st.write("bitmaps", bitmaps(k))
+    maps = st.write("bitmaps", bitmaps(st, k))
     # one row per block and group of the language, also for groups with nothing in the block
     blocks = maps.groupBy("lang", "band", "block").agg((F.max("_pos") + 1).alias("bits"))
     empty = (blocks.join(broadcast_if_small(groups.select("lang", "gid", "total", "terms")), "lang")
