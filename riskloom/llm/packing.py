@@ -28,8 +28,6 @@ from riskloom.llm.common import Stages
 
 WINDOW = 1024
 END = 0
-CACHE = 600_000
-
 
 #: fixed value: how byte-level BPE cuts a text before it merges
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,10 +44,9 @@ def byte_alphabet() -> dict[str, int]:
 class Encoder:
     """Token ids of whole texts under a ``tokenizers`` file, as little-endian unsigned 32-bit bytes.
 
-    Byte-level BPE never joins across a single space between two visible characters, so a text is
-    encoded piece by piece at these spaces and pieces that recur are looked up; new pieces are merged by
-    ``tiktoken`` over the ranks of the same file. A text with any other run of spaces, and every text
-    under a file of another kind, is encoded as a whole by ``tokenizers``."""
+    Under a byte-level BPE ``tiktoken`` merges over the ranks of the same file, in time that grows with a text's
+    length; a text that holds one of the file's added tokens, and every text under a file of another kind, goes to
+    ``tokenizers``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,41 +54,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-        self.pieces = model.get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        if self.pieces:
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.bpe = None
+        if model.get("type", "BPE") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             byte_of = byte_alphabet()
-            special = {t["content"] for t in spec.get("added_tokens", [])}
-            ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
-            self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in self.added}
+            self.bpe = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def merged(self, texts: list[str]) -> list[bytes]:
-        one = self.bpe.encode_ordinary
-        return [np.array(one(t), "<u4").tobytes() for t in texts]
-
     def batch(self, texts: list[str]) -> list[bytes]:
-        parts: list[list[str] | None] = []
-        for t in texts:
-            p = t.split(" ")
-            plain = self.pieces and t and all(p) and not any(x[0].isspace() or x[-1].isspace() for x in p)
-            parts.append(p if plain else None)
-        first = {p[0] for p in parts if p}
-        rest = set().union(*[p[1:] for p in parts if p])
-        new = [x for x in first if x not in self.known] + [y for x in rest if (y := " " + x) not in self.known]
-        if len(self.known) + len(new) > CACHE:  # forgotten as a whole: bounded memory, same ids
-            self.known = {}
-            new = list(first) + [" " + x for x in rest]
-        self.known.update(zip(new, self.merged(new)))
-        whole = iter(self.raw([t for t, p in zip(texts, parts) if not p]))
-        known = self.known
-        return [next(whole) if not p else known[p[0]] + b"".join([known[" " + x] for x in p[1:]]) for p in parts]
+        if not self.bpe:
+            return self.raw(texts)
+        one = self.bpe.encode_ordinary
+        return [self.raw([t])[0] if any(x in t for x in self.added) else np.array(one(t), "<u4").tobytes() for t in texts]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -105,7 +85,8 @@ def encoder(path: str) -> Encoder:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """One row per document: doc_id, doc_tokens, wins (ids of its whole windows, as bytes), rest_ids (bytes), rest."""
+    """One row per document: doc_id, doc_tokens, wins (ids of its whole windows, as bytes), rest_ids (bytes), rest, and
+    salt, which spreads rows without a key."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,7 +102,8 @@ def tokenised(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "d
                     "rest": [len(x) % size // 4 for x in ids], "rest_ids": [x[n * size:] for x, n in zip(ids, full)]})
 
     return (docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-            .mapInPandas(run, f"doc_id {kind}, doc_tokens long, wins array<binary>, rest int, rest_ids binary"))
+            .mapInPandas(run, f"doc_id {kind}, doc_tokens long, wins array<binary>, rest int, rest_ids binary")
+            .withColumn("salt", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)))
 
 
 def combinations(lengths: np.ndarray, window: int = WINDOW, near: int = 24) -> np.ndarray:
@@ -200,11 +182,11 @@ def slots(plan: np.ndarray, window: int = WINDOW) -> dict[int, np.ndarray]:
 
 def _rank(st: Stages, d: DataFrame) -> DataFrame:
     """Adds ``rank``, from 0 within ``rest`` in hash order."""
-    d = d.withColumn("_h", F.xxhash64("doc_id", "crc")).withColumn("_b", F.shiftrightunsigned("_h", 54))
+    d = d.withColumn("_h", F.xxhash64("doc_id", "crc", "salt")).withColumn("_b", F.shiftrightunsigned("_h", 54))
     n = d.groupBy("rest", "_b").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("rest").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     n = n.select(F.col("rest").alias("_r"), F.col("_b").alias("_k"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("rest", "_b").orderBy("_h", "doc_id", "rest_ids")
+    inside = Window.partitionBy("rest", "_b").orderBy("_h", "doc_id", "rest_ids", "salt")
     d = d.join(broadcast_if_small(n), (F.col("rest") == F.col("_r")) & (F.col("_b") == F.col("_k")))
     return d.withColumn("rank", F.col("_off") + F.row_number().over(inside) - 1).drop("_h", "_b", "_r", "_k", "_off")
 
@@ -224,7 +206,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     plan = solve(hist, window)
     place, taken = slots(plan, window), int(plan[:, 3].sum()) if len(plan) else 0
     rests = (tok.filter("rest > 0")
-             .select("doc_id", "doc_tokens", (F.col("doc_tokens") - F.col("rest")).alias("start"), "rest", "rest_ids",
+             .select("doc_id", "doc_tokens", (F.col("doc_tokens") - F.col("rest")).alias("start"), "rest", "rest_ids", "salt",
                      F.crc32("rest_ids").alias("crc")))
     rests = st.write("rests", _rank(st, rests))
 
@@ -272,13 +254,13 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
     placed = rests.mapInPandas(run, schema)
 
     # whole windows are sequences of their own, numbered after the packed ones
-    full = tok.filter(F.size("wins") > 0).select("doc_id", "doc_tokens", "wins", F.transform("wins", F.crc32).alias("crcs"))
+    full = tok.filter(F.size("wins") > 0).select("doc_id", "doc_tokens", "wins", "salt", F.transform("wins", F.crc32).alias("crcs"))
     base = taken + tail // window + len(borders) - 1
-    full = full.withColumn("_b", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs"), F.lit(4096)))
+    full = full.withColumn("_b", F.pmod(F.xxhash64("doc_id", "doc_tokens", "crcs", "salt"), F.lit(4096)))
     n = full.groupBy("_b").agg(F.sum(F.size("crcs")).alias("_n"))
     w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     n = n.select(F.col("_b").alias("_k"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))  # at most 4096 rows
-    inside = Window.partitionBy("_b").orderBy("doc_id", "doc_tokens", "crcs").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_b").orderBy("doc_id", "doc_tokens", "crcs", "salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     full = (full.join(F.broadcast(n), F.col("_b") == F.col("_k"))
             .withColumn("_first", F.lit(base) + F.col("_off") + F.sum(F.size("crcs")).over(inside) - F.size("crcs"))
             .select("doc_id", "doc_tokens", "_first", F.posexplode("wins").alias("_i", "ids"))

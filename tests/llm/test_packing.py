@@ -13,7 +13,6 @@ def whole_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return [e.ids + [0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -55,8 +54,18 @@ def test_encoder_equals_whole_text():
     odd = ["", "a  b", " a", "a ", "a\n b", "a \x1c b", "a b c", " ", "l'été n'est pas", "<|endoftext|> x <|endoftext|>", "x  y", "a​ b",
            "12 34 5", "don't stop 'll", "　 x y", "a\x85 b c", "x" * 50_000 + " " + "y z " * 999]
     e = packing.Encoder(PATH)
+    odd += ["a<|endoftext|>b", "\r\n\x1f \u3000", *(f"a{chr(c)}b c{chr(c)} {chr(c)}{chr(c)}d  {chr(c)}\n{chr(c)} 9'{chr(c)}s" for c in range(1, 0x3000, 7))]
     want = [np.array(x[:-1], "<u4").tobytes() for x in whole_ids(odd)]
-    assert e.batch(odd) == want and e.batch(odd) == want
+    assert 50256 in whole_ids(["a<|endoftext|>b"])[0]
+    assert e.batch(odd) == want
+
+
+def test_null_keys_are_spread(spark):
+    df = spark.createDataFrame([(None, "the same text")] * 300 + [(1, "z")], "doc_id long, text string").repartition(4)
+    tok = packing.tokenised(df, PATH)
+    assert tok.filter("doc_id IS NULL").select("salt").distinct().count() == 300 and tok.filter("doc_id = 1 AND salt = 0").count() == 1
+    rows = packing.pack(df, PATH).collect()
+    assert sum(r.doc_id is None for r in rows) >= 300 and sum(r.length for r in rows) == 300 * len(whole_ids(["the same text"])[0]) + len(whole_ids(["z"])[0])
 
 
 def test_solution_respects_the_histogram():
