@@ -123,7 +123,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embeddi
                 cells = walk(d[0][i], d[1][i], count, enough)
                 yield pd.DataFrame([(q, raw, f"{c}-{h}", True) for c in cells for h in range(chunks[c])], columns=["vec_id", "v", "part", "query"])
 
-    q, _ = packed(queries, vector, key)
+    q, _ = packed(queries, vector, key, dim=dim)
     asked = q.select("vec_id", "v").distinct().mapInPandas(visits, f"vec_id {kind}, v binary, part string, query boolean")
     many = {int(c): int(n) for c, n in enumerate(chunks) if n > 1}
     n_of = F.coalesce(F.create_map(*[F.lit(y) for p in many.items() for y in p])[F.col("cell").cast("int")], F.lit(1)) if many else F.lit(1)

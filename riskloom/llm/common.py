@@ -12,6 +12,12 @@ from riskloom.frames import shared_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """Names that no column of ``df`` has, each begun with its stem."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for k in range(len(taken) + 1) if (n := f"{x}{'_' * k}").lower() not in taken) for x in stems]
+
+
 class Stages:
     """Tables written under the shared folder. A written table cuts the lineage, so that a lost
     executor means rereading files; ``drop`` frees those that no later step reads."""

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.functions.joins import broadcast_if_small
-from riskloom.llm.common import WORD, Stages
+from riskloom.llm.common import WORD, Stages, free
 
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
@@ -66,7 +66,8 @@ def schedule(docs: DataFrame, text: str = "text", source: str = "source", key: s
 
     Null texts and texts without words have size 0 and are taken 0 times. Rows that repeat a key are
     documents of their own; equal rows may swap their places. Null keys sort first. An empty table
-    gives an empty result. Reruns agree: the order comes from a hash of the key."""
+    gives an empty result; texts of any length are counted whole; other columns are not read. Reruns agree:
+    the order comes from a hash of the key."""
     st = Stages(docs.sparkSession)
     d = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
     d = d.withColumn("_h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED))))
@@ -112,9 +113,10 @@ def mixed_documents(docs: DataFrame, **kw) -> DataFrame:
     share one decision, also null keys. ``docs`` keeps its columns."""
     key = kw.get("key", "doc_id")
     _, plan = schedule(docs, **kw)
-    n = plan.filter("taken > 0").select(F.col("doc_id").alias("_key"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"))
-    n = n.groupBy("_key").agg(F.max("_n").alias("_n")).filter("_n > 0")
-    return (docs.join(n, docs[key].eqNullSafe(F.col("_key"))).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    k, n, i = free(docs, "_key", "_n", "_i")
+    often = plan.filter("taken > 0").select(F.col("doc_id").alias(k), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(n))
+    often = often.groupBy(k).agg(F.max(n).alias(n)).filter(F.col(n) > 0)
+    return (docs.join(often, docs[key].eqNullSafe(F.col(k))).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(n))))
             .select(*docs.columns))
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from riskloom.functions.joins import broadcast_if_small
-from riskloom.llm.common import Stages, components
+from riskloom.llm.common import Stages, components, free
 
 SHINGLE = 4
 PIVOTS = 16
@@ -225,10 +225,11 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", radius:
     from riskloom.llm import verify
 
     rows = verify.classes(docs, text, key, radius, shingle, parts, **kw)
-    first = Stages(docs.sparkSession).write("first", rows.groupBy("cls").agg(F.min("doc_id").alias("_key"), F.min("th").alias("_th")))
-    named = docs.join(first.filter(F.col("_key").isNotNull()).select("_key").distinct(), docs[key] == F.col("_key"), "left_semi")
-    rest = docs.filter(F.col(key).isNull()).withColumn("_h", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    rest = rest.join(broadcast_if_small(first.filter(F.col("_key").isNull()).select(F.col("_th").alias("_h")).distinct()), "_h", "left_semi").dropDuplicates(["_h"])
+    k, h = free(docs, "_key", "_h")
+    first = Stages(docs.sparkSession).write("first", rows.groupBy("cls").agg(F.min("doc_id").alias(k), F.min("th").alias(h)))
+    named = docs.join(first.filter(F.col(k).isNotNull()).select(k).distinct(), docs[key] == F.col(k), "left_semi")
+    rest = docs.filter(F.col(key).isNull()).withColumn(h, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rest = rest.join(broadcast_if_small(first.filter(F.col(k).isNull()).select(h).distinct()), h, "left_semi").dropDuplicates([h])
     return named.unionByName(rest.select(*docs.columns))
 
 

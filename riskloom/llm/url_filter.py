@@ -86,12 +86,13 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     """All columns of ``pages`` with host, path, rule and verdict (block or allow).
 
     Null or scheme-less urls have an empty host and path, no alias and no rule: allow. Repeated pages
-    are judged alike; an empty table gives an empty result. Columns of ``pages`` named host, path,
-    rule or verdict are replaced."""
+    are judged alike; an empty table gives an empty result; urls and pages of any length are read whole.
+    Columns of ``pages`` named host, path, rule or verdict are replaced, all others pass whatever their names."""
     st = Stages(pages.sparkSession)
-    own = ["host", "path", "rule", "verdict", "_rule", "_node", "_blocked"]
-    base = pages.drop(*[c for c in own if c not in (url, html)])
-    edges = page_edges(base, url, html)
+    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict") or c in (url, html)]
+    # the row is one column, so that no name of its own meets one of these
+    base = pages.select(F.struct(*keep).alias("row"), F.col(url).alias("url"), F.col(html).alias("html"))
+    edges = page_edges(base)
     if redirects is not None:
         edges = edges.unionByName(redirects.select(F.col("a"), F.col("b")).filter("instr(a, '://') > 0 and instr(b, '://') > 0"))
     edges = st.write("aliases", edges.select("a", "b", node_of(F.col("a")).alias("na"), node_of(F.col("b")).alias("nb")).distinct())
@@ -99,18 +100,18 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     ends = edges.select(F.col("a").alias("u"), F.col("na").alias("node")).unionByName(
         edges.select(F.col("b").alias("u"), F.col("nb").alias("node"))).distinct()
     ends = ends.select("node", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
-    hosts = base.select(host_of(F.col(url)).alias("host")).unionByName(ends.select("host"))
+    hosts = base.select(host_of(F.col("url")).alias("host")).unionByName(ends.select("host"))
     matched = st.write("host_rules", host_rules(hosts, rules))
     ends = with_rule(ends, matched)
     bad = (ends.filter(F.col("_rule").isNotNull() & ~F.col("_rule.allow")).select("node").distinct()
            .join(comp, "node").select("component").distinct())
     blocked = comp.join(bad, "component", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_blocked"))
-    judged = with_rule(base.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-                       .withColumn("_node", node_of(F.col(url))), matched)
+    judged = with_rule(base.select("row", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
+                                   node_of(F.col("url")).alias("_node")), matched)
     judged = judged.join(broadcast_if_small(st.write("blocked", blocked)), "_node", "left")
     verdict = (F.when(F.col("_rule").isNotNull(), F.when(F.col("_rule.allow"), "allow").otherwise("block"))
-               .when(F.col("_blocked") & (F.instr(F.coalesce(F.col(url), F.lit("")), "://") > 0), "block").otherwise("allow"))
-    return judged.select(*base.columns, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
+               .when(F.col("_blocked") & (F.instr(F.coalesce("url", F.lit("")), "://") > 0), "block").otherwise("allow"))
+    return judged.select(*[F.col("row")[c].alias(c) for c in keep], "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))
 
 
 #: the rules of the registered query

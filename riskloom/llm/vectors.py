@@ -9,17 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
-def packed(df: DataFrame, vector: str = "embedding", key: str = "vec_id", label: str | None = None) -> tuple[DataFrame, int]:
+def packed(df: DataFrame, vector: str = "embedding", key: str = "vec_id", label: str | None = None,
+           dim: int | None = None) -> tuple[DataFrame, int]:
     """(vec_id, label, v) with v the vector's doubles as bytes, and the dimension. Vectors that are null,
-    zero, hold null or non-finite components, or are not of the table's commonest length take no part;
+    zero, hold null or non-finite components, or are not of length ``dim`` (the table's commonest by default) take no part;
     null keys neither."""
     v = F.col(vector)
     ok = (F.col(key).isNotNull() & v.isNotNull() & F.coalesce(F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False))
           & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False)))
     lab = F.col(label) if label else F.lit(None).cast("int")
     d = df.filter(ok).select(F.col(key).alias("vec_id"), lab.alias("label"), v.cast("array<double>").alias("x"))
-    top = d.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = top["n"] if top else 0
+    if dim is None:
+        top = d.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        dim = top["n"] if top else 0
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

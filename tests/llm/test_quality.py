@@ -59,3 +59,32 @@ def test_edge_rows(spark):
     assert len({r.score for r in rows if r.doc_id in (1, 2)}) == 1
     assert quality.classify(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_scores_against_a_plain_loop(spark):
+    """Every document's score from a loop over its passages, counted byte by byte."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    p, width = model.p, quality.PASSAGE
+
+    def plain(raw: bytes) -> float:
+        hs, ss = [], []
+        for lo in range(0, max(1, len(raw)), width):
+            part = raw[lo:lo + width]
+            x = np.zeros(quality.WIDTH)
+            for c in part:
+                x[quality.FINE[c]] += 1
+            for a, b in zip(part, part[1:]):
+                x[quality.N_FINE + 8 * quality.COARSE[a] + quality.COARSE[b]] += 1
+            x[:-1] = np.sqrt(x[:-1] / max(1, len(part)))
+            x[-1] = np.log1p(max(1, len(part)))
+            h = np.tanh((x - model.mean) / model.scale @ p["E"] + p["e"])
+            hs.append(h)
+            ss.append(float(np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"]))) @ p["w"]))
+        a = np.exp(np.array(ss) - max(ss))
+        return float(1 / (1 + np.exp(-(sum(w * h for w, h in zip(a / a.sum(), hs)) @ p["c"] + p["b"][0]))))
+
+    got = quality.score(docs, model, ["doc_id"]).join(docs, "doc_id").collect()
+    assert len(got) == docs.count()
+    assert max(abs(r.score - plain((r.text or "").encode())) for r in got) < 1e-4

@@ -57,10 +57,21 @@ def test_dedup_against_all_pairs(spark, block):
 
 
 def test_dedup_query_on_the_given_table(spark):
-    d = "/root/testdata/check_h"
-    df = spark.read.parquet(f"{d}/embeddings.parquet").filter("label = 1").toPandas()
-    got = dedup.near_duplicates(spark.createDataFrame([(int(a), [float(x) for x in b], int(c)) for a, b, c in zip(df.vec_id, df.embedding, df.label)], SCHEMA)).toPandas()
+    d = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{d}/embeddings.parquet").toPandas()
+    got = dedup.op2_embedding_dedup(spark, d).toPandas()
     want = plain(df)
+    assert dict(zip(got.vec_id, zip(got.n_links, got.component_id))) == want
+
+
+def test_dedup_of_a_hot_group(spark):
+    """A third of the rows are copies of one vector, another part lies around it."""
+    r = np.random.default_rng(8)
+    c = r.normal(size=32)
+    x = [c] * 500 + [c + 0.05 * r.normal(size=32) for _ in range(200)] + [r.normal(size=32) for _ in range(700)]
+    rows = [(int(i), x[k].astype(np.float32).tolist(), 1) for i, k in enumerate(r.permutation(len(x)))]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    want = plain(pd.DataFrame(rows, columns=["vec_id", "embedding", "label"]))
     assert got.n_links.sum() >= 0.999 * sum(v[0] for v in want.values())
     assert dict(zip(got.vec_id, got.component_id)) == {k: v[1] for k, v in want.items()}
 
@@ -103,6 +114,8 @@ def test_search_edges_and_ties(spark):
     by = {q: [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in (0, 50, 51)}
     assert by[0] == list(zip(range(1, 6), range(1, 6))) and by[50] == list(zip(range(1, 6), range(5))) and by[51] == []
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    shorter = spark.createDataFrame([(90, [1.0, 2.0], 0), (91, [1.0, 2.0, 3.0, 4.5], 0)], SCHEMA)  # queries mostly of another length
+    assert {r.query_id for r in ann.search(df, shorter.union(shorter.limit(1)), reach=1.0).collect()} == {91}
     few = ann.search(df.filter("vec_id in (0, 50)"), df.filter("vec_id = 0")).collect()
     assert [(r["rank"], r.vec_id) for r in few] == [(1, 50)]
 
