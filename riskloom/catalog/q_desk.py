@@ -325,7 +325,7 @@ def _(s, d):
     return diff(fr(s, d)).select("Book", "Position", "w_before", "w_after", "change", "delta")
 
 
-@query("mod31_what_changed", sql(tidy_sql("SELECT book, change, count(*) AS n_names, sum(delta) AS delta FROM df WHERE change IS NOT NULL GROUP BY ALL", "delta"), **DIFF))
+@query("mod31_change_counts", sql(tidy_sql("SELECT book, change, count(*) AS n_names, sum(delta) AS delta FROM df WHERE change IS NOT NULL GROUP BY ALL", "delta"), **DIFF))
 def _(s, d):
     return diff(fr(s, d)).groupBy("Book", "change").agg(F.count(F.lit(1)).alias("n_names"), F.sum("delta").alias("delta"))
 
