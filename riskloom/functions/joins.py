@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-BROADCAST_LIMIT = 64 << 20
+#: of the plan's estimate, which counts a written table's compressed bytes: rows unpack to several times as much
+BROADCAST_LIMIT = 16 << 20
 
 
 def planned_bytes(df: DataFrame) -> int | None:
