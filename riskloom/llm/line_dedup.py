@@ -66,7 +66,7 @@ def _templates(texts: DataFrame, similarity: float, min_docs: int, min_branch: i
                        lambda x, i: F.struct((2 * i + 1).alias("at"), F.xxhash64(F.col("leaf"), i, F.get("t", i + DEPTH - 1), x).alias("h")))
     seen = toks.select("id", "docs", F.explode(F.concat(spot, pair)).alias("x")).select("id", "docs", "x.at", "x.h")
     support = seen.groupBy("h").agg(F.sum("docs").alias("s")).filter(F.col("s") >= min_docs)
-    held = (seen.join(broadcast_if_small(support), "h").groupBy("id")
+    held = (seen.join(support, "h").groupBy("id")
             .agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("s", "h")))).alias("m")))  # of a line's own tokens
     x = texts.join(held, "id")
 
