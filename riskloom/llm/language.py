@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskloom.llm.quality import held_out
 
-#: bounds of the model and of a slice (numbers), switching penalty and script penalty (nats), the share of a language's
+#: bounds of the model, of a slice (numbers) and of texts whose paths are found together (characters), switching penalty and script penalty (nats), the share of a language's
 #: letters from which a script is one of its own, weight of the mean of all languages in each one's distribution
-CELLS, BUCKETS, SLICE = 1 << 21, 1 << 16, 1 << 22
+CELLS, BUCKETS, SLICE, TOGETHER = 1 << 21, 1 << 16, 1 << 20, 1 << 22
 SWITCH, FOREIGN, SHARE, MEAN = 8.0, 40.0, 0.01, 0.05
 
 #: fixed values: Unicode ranges of the scripts
@@ -232,6 +232,19 @@ def _label(model: Model, texts: list[str], spans: bool) -> pd.DataFrame:
     return out
 
 
+def _runs(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in runs of about ``TOGETHER`` characters, so that a batch's arrays stay small whatever its texts' length."""
+    held, n = [], 0
+    for t in texts:
+        if held and n + len(t) > TOGETHER:
+            yield held
+            held, n = [], 0
+        held.append(t)
+        n += len(t)
+    if held:
+        yield held
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """The model counted over all rows of ``docs`` whose text and language are not null; None without any."""
     d = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
@@ -278,7 +291,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", spans: bo
             if model is None:
                 yield pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "spans": [[] for _ in texts]})
             else:
-                yield _label(model, texts, spans)
+                yield pd.concat([_label(model, run, spans) for run in _runs(texts)] or [_label(model, [], spans)], ignore_index=True)
 
     found = "_found"
     while found in keep:

@@ -42,6 +42,7 @@ def test_spans_of_mixed_text(given):
 def test_batches_and_slices_do_not_matter(given, monkeypatch):
     docs, model = given
     texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + [None or "", "12 34", "É", "a" * 9000]
+    assert [t for run in language._runs(texts * 200) for t in run] == texts * 200
     whole = language._label(model, texts, True)
     alone = [language._label(model, [t], True).iloc[0] for t in texts]
     assert whole["lang_pred"].tolist() == [r["lang_pred"] for r in alone]
