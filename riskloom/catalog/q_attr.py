@@ -284,8 +284,8 @@ def _(s, d):
     return at.linkage_rows(f, artifact(s, d), panel(f), T0, 3)
 
 
-@query("mod21_position_surprises", asql(
-    f"""SELECT book, position, weight, w_win, realized, factor_pnl, specific_pnl, sd_base, realized / sd_base AS z, verdict,
+#: names at T0 against their own band
+PS = f"""SELECT book, position, weight, w_win, realized, factor_pnl, specific_pnl, sd_base, realized / sd_base AS z, verdict,
        CASE WHEN verdict = 'within' THEN NULL WHEN (ratio >= 3 OR ratio <= 1.0/3.0) AND abs(realized / (sd_base * ratio)) <= 2 THEN 'weight_migration'
        WHEN abs(specific_pnl) / (abs(factor_pnl) + abs(specific_pnl)) >= 0.65 THEN 'specific_move' WHEN abs(specific_pnl) / (abs(factor_pnl) + abs(specific_pnl)) <= 0.35 THEN 'factor_move'
        ELSE 'mixed' END AS driver, weight < 0.001 AS dust FROM (SELECT *, abs(w_win) / greatest(abs(weight), 1e-9) AS ratio,
@@ -297,8 +297,12 @@ def _(s, d):
         LEFT JOIN sv ON sv.date = p.date AND sv.position = p.position
         JOIN (SELECT book, position, sum(factor_pnl) AS f, sum(specific_pnl) AS s FROM na WHERE date >= DATE '{T0}' AND date < DATE '{T1}' GROUP BY ALL) n ON n.book = p.book AND n.position = p.position
         JOIN (SELECT book, position, sum(weight) / 3 AS w_win FROM pos WHERE date >= DATE '{T0}' AND date < DATE '{T1}' GROUP BY ALL) w ON w.book = p.book AND w.position = p.position
-        WHERE p.date = DATE '{T0}'))""", "weight w_win realized factor_pnl specific_pnl sd_base z", "pos", "expo", "pcov", "sv", "na", lkh=LK["lkh"]))
-def _(s, d):
+        WHERE p.date = DATE '{T0}'))"""
+
+
+@query("mod21_position_surprises", asql(
+    PS, "weight w_win realized factor_pnl specific_pnl sd_base z", "pos", "expo", "pcov", "sv", "na", lkh=LK["lkh"]))
+def surprises(s, d):
     f = fr(s, d)
     a = artifact(s, d)
     h = (a.filter((F.col("Kind") == "contribution") & (F.col("Source") == "Realized") & (F.col("Date") > T0) & (F.col("Date") <= T1))
