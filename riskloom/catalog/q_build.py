@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from riskloom.catalog import regression_sql
 from riskloom.catalog.oracle import solved, sql
 from riskloom.catalog.q_attr import AT, artifact, asql
 from riskloom.catalog.q_risk import fr
@@ -207,25 +208,25 @@ def fitted(s, d):
         design(f), day_returns(f), min_names=12))
 
 
-@query("mod01_factor_returns")
+@query("mod01_factor_returns", regression_sql.RETURNS)
 def _(s, d):
     """Daily constrained WLS from distributed normal equations (checked against numpy in the tests)."""
     return fitted(s, d).select("Date", "Factor", "Return")
 
 
-@query("mod03_fit_statistics")
+@query("mod03_fit_statistics", regression_sql.STATISTICS)
 def _(s, d):
     """R2, t-statistics and breadth of the daily fit (checked against numpy in the tests)."""
     return fitted(s, d).select("Date", "Factor", "TStat", "R2", "N")
 
 
-@query("ag21_regression_health")
+@query("ag21_regression_health", regression_sql.HEALTH)
 def _(s, d):
     """Monthly mean R2 and breadth over the fitted days."""
     return rg.regression_health(fitted(s, d))
 
 
-@query("ag21_factor_significance")
+@query("ag21_factor_significance", regression_sql.SIGNIFICANCE)
 def _(s, d):
     """Share of days with |t| > 2 and mean |t| per factor."""
     return rg.factor_significance(fitted(s, d))
@@ -239,13 +240,13 @@ def _(s, d):
     return rg.residuals(day_returns(f), f.exposures, f.factor_returns)
 
 
-@query("mod13_factor_portfolios")
+@query("mod13_factor_portfolios", regression_sql.PORTFOLIOS)
 def _(s, d):
     """Pure factor portfolio weights per month (PX = I is checked in the tests)."""
     return rg.factor_portfolios(design(fr(s, d))).select("d0", "Factor", "Position", "weight")
 
 
-@query("mod13_purity")
+@query("mod13_purity", regression_sql.PURITY)
 def _(s, d):
     """Leverage, own and cross exposure of the pure factor portfolios."""
     return rg.portfolio_purity(rg.factor_portfolios(design(fr(s, d))))
