@@ -33,23 +33,24 @@ from riskloom.llm.common import Stages
 SCALE = 1_000_000_000
 MIN_DOCS, TOP = 3, 200
 #: sources per tile, term counts a task holds before it hands them on, positions of a block of rare terms
-TILE, HELD, BLOCK = 256, 300_000, 8192
+TILE, HELD, BLOCK = 256, 600_000, 8192
 #: ASCII letters to lower case, every other ASCII byte to a space; bytes of non-ASCII characters stay
 FOLD = bytes(b | 32 if chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
 
 
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, term, n, d): occurrences and documents of each term in each group, null columns read as
-    ''. A group has one more row with a null term, so that groups without terms stay."""
+    """(lang, source, term, n, d): occurrences and documents of each term in each group, summed within a task only;
+    null columns read as ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[Counter, Counter]] = {}
 
-        def out() -> pa.RecordBatch:
-            rows = [(g, s, t, n, d[t]) for (g, s), (c, d) in held.items() for t, n in c.items()]
-            rows += [(g, s, None, 0, 0) for g, s in held]
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["lang", "source", "term", "n", "d"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for (g, s), (n, d) in held.items():
+                if n:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(pa.scalar(g), len(n)), pa.repeat(pa.scalar(s), len(n)), pa.array(list(n), pa.binary()),
+                         pa.array(list(n.values()), pa.int64()), pa.array([d[t] for t in n], pa.int64())], ["lang", "source", "term", "n", "d"])
 
         size = 0
         for b in batches:
@@ -61,21 +62,22 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
                 d.update(set(words))
                 size += len(n)
                 if size > HELD:
-                    yield out()
+                    yield from out()
                     held, size = {}, 0
-        if held:
-            yield out()
+        yield from out()
 
-    d = docs.select(F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source"),
-                    F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    c = d.mapInArrow(run, "lang string, source string, term binary, n long, d long")
-    return (c.groupBy("lang", "source", F.col("term").cast("string").alias("term"))
-            .agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
+    d = docs.select(*_group(lang, source), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    return d.mapInArrow(run, "lang string, source string, term binary, n long, d long")
+
+
+def _group(lang: str, source: str) -> list[Column]:
+    return [F.coalesce(F.col(lang), F.lit("")).alias("lang"), F.coalesce(F.col(source), F.lit("")).alias("source")]
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / (total + terms)), in decimals, so that no product overflows."""
-    return F.expr("1L") + F.call_function("div", F.lit(SCALE).cast("decimal(12,0)") * (n + 1).cast("decimal(20,0)"), (total + terms).cast("decimal(20,0)"))
+    """1 + floor(SCALE * (n + 1) / (total + terms)); in decimals where a product would overflow."""
+    wide = F.call_function("div", F.lit(SCALE).cast("decimal(12,0)") * (n + 1).cast("decimal(20,0)"), (total + terms).cast("decimal(20,0)"))
+    return F.expr("1L") + F.when(n < (1 << 63) // SCALE - 1, F.call_function("div", F.lit(SCALE).cast("long") * (n + 1), total + terms)).otherwise(wide)
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -177,7 +179,7 @@ def bitmaps(st: Stages, kept: DataFrame) -> DataFrame:
     n = st.write("bands", n)  # one row per language and bit length
     k = k.join(broadcast_if_small(n), (F.col("lang") == F.col("_l")) & (F.col("band") == F.col("_b")))
     k = k.withColumn("block", F.pmod(F.xxhash64("term"), F.col("_blocks")))
-    pos = F.dense_rank().over(Window.partitionBy("lang", "band", "block").orderBy("term")) - 1
+    pos = F.dense_rank().over(Window.partitionBy("lang", "band", "block").orderBy(F.xxhash64("term"), "term")) - 1
     return (k.withColumn("_pos", pos).groupBy("lang", "band", "block", "gid", "n", F.shiftright("_pos", 6).alias("word"))
             .agg(F.bit_or(F.expr("shiftleft(1L, _pos & 63)")).alias("bits"), F.max("_pos").alias("_pos")))
 
@@ -192,19 +194,19 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     documents of their own, other columns are not read, an empty table gives an empty result. Whole texts are
     counted, one document in memory at a time."""
     st = Stages(docs.sparkSession)
-    counts = st.write("counts", term_counts(docs, text, lang, source))
+    # dealt once by (lang, term): sums by source and totals over sources need no second shuffle
+    counts = (term_counts(docs, text, lang, source).repartition("lang", "term").groupBy("lang", "term", "source")
+              .agg(F.sum("n").alias("n"), F.sum("d").alias("d")))
     one = Window.partitionBy("lang", "term")
-    kept = (counts.filter("term IS NOT NULL")
-            .select("lang", "source", "term", "n", F.sum("d").over(one).alias("_d"), F.sum("n").over(one).alias("all"),
-                    (F.row_number().over(one.orderBy("source")) == 1).alias("first"))
-            .filter(F.col("_d") >= min_docs).drop("_d"))
+    kept = (counts.select("lang", "source", "term", "n", F.sum("d").over(one).alias("_d"), F.sum("n").over(one).alias("all"),
+                          (F.row_number().over(one.orderBy("source")) == 1).alias("first"))
+            .filter(F.col("_d") >= min_docs).withColumn("term", F.col("term").cast("string")).drop("_d"))
     kept = st.write("kept", kept)
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count(F.when(F.col("first"), 1)).alias("terms"))
-    groups = (counts.filter("term IS NULL").select("lang", "source").join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = (docs.select(*_group(lang, source)).distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left")
               .withColumn("gid", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).fillna(0))
     groups = st.write("groups", groups)  # one row per (language, source)
-    st.drop("counts")
 
     k = kept.join(broadcast_if_small(groups), ["lang", "source"])
     maps = st.write("bitmaps", bitmaps(st, k))
