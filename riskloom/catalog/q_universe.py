@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.catalog.oracle import sql
+from riskloom.catalog.oracle import solved, sql
 from riskloom.catalog.q_build import dsql, fitted, until
 from riskloom.catalog.q_risk import AS, ASOF, fr
 from riskloom.catalog.registry import query, tidy_sql
@@ -208,11 +208,41 @@ def _(s, d):
 
 
 # ---- span and drift ------------------------------------------------------------------------------
-@query("mod25_span")
+_SF = STYLES[:-1]
+_SK = len(_SF)
+_SQ = {
+    "fw": (("expo",), f"SELECT date, position, {', '.join(f"max(loading) FILTER (WHERE factor = '{f}') AS l{i}" for i, f in enumerate(_SF))} FROM expo WHERE factor IN ({', '.join(f"'{f}'" for f in _SF)}) GROUP BY ALL"),
+    "fv": (("fw",), f"SELECT *, {', '.join(f'coalesce(l{i}, 0) AS v{i}' for i in range(_SK))} FROM fw"),
+    "fc": (("fv",), f"""SELECT date, {', '.join(f'avg(v{i}) AS u{i}, quantile_cont(v{i}, 0.01) AS lo{i}, quantile_cont(v{i}, 0.99) AS hi{i}' for i in range(_SK))},
+        {', '.join(f'covar_samp(v{i}, v{j}) AS m_{i}_{j}' for i in range(_SK) for j in range(i, _SK))} FROM fv GROUP BY date HAVING count(*) >= 30"""),
+}
+_SLAST, _SGJ = solved("fc", "date", _SK, "fg")
+_out = [f"l{i} IS NOT NULL AND (l{i} < lo{i} OR l{i} > hi{i})" for i in range(_SK)]
+_SQ |= {
+    **_SGJ,
+    "fd": (("fv", "fc", _SLAST), f"SELECT v.*, {', '.join(f'lo{i}, hi{i}' for i in range(_SK))}, {' + '.join(f'(v{i} - u{i}) * e_{i}_{j} * (v{j} - u{j})' for i in range(_SK) for j in range(_SK))} AS d2 FROM fv v JOIN fc USING (date) JOIN {_SLAST} USING (date)"),
+    "fe": (("fd",), "SELECT date, quantile_cont(d2, 0.99) AS edge FROM fd GROUP BY date"),
+    "fsp": (("fd", "fe", "pos"), f"""SELECT p.book, d.date, d.position, p.weight, d2, edge, d2 <= edge AS inside, CAST({' + '.join(f'({o})::INT' for o in _out)} AS BIGINT) AS n_extreme,
+        concat_ws(', ', {', '.join(f"CASE WHEN {o} THEN '{f}' END" for o, f in zip(_out, _SF))}) AS extreme FROM fd d JOIN fe USING (date) JOIN pos p ON p.date = d.date AND p.position = d.position"""),
+}
+
+
+def full_span(s, d):
+    f = fr(s, d)
+    return un.span(f.exposures, _SF, f.exposures.filter(F.col("Factor") == "Market"), f.positions)
+
+
+@query("mod25_span", sql(tidy_sql("SELECT * FROM fsp", "weight d2 edge", 5), **_SQ), 5)
+def _(s, d):
+    """Mahalanobis span over all styles but one (the shares are collinear)."""
+    return full_span(s, d)
+
+
+@query("mod25_scatter", sql(tidy_sql("""SELECT date, 'cloud' AS kind, NULL AS book, position, NULL AS issuer, l1 AS x, l4 AS y, NULL::BOOLEAN AS inside FROM fw WHERE l1 IS NOT NULL AND l4 IS NOT NULL UNION ALL
+    SELECT p.date, 'held', p.book, p.position, coalesce(issuer, ''), l1, l4, inside FROM fsp p JOIN fw USING (date, position) LEFT JOIN sec USING (position) WHERE l1 IS NOT NULL AND l4 IS NOT NULL""", "x y"), "sec", **_SQ))
 def _(s, d):
-    """Mahalanobis span over all styles but one (the shares are collinear); numpy-checked in the tests."""
     f = fr(s, d)
-    return un.span(f.exposures, STYLES[:-1], f.exposures.filter(F.col("Factor") == "Market"), f.positions)
+    return un.span_scatter(f.exposures, f.exposures.filter(F.col("Factor") == "Market"), full_span(s, d), f.securities, _SF[1], _SF[4])
 
 
 _SP = {
