@@ -66,6 +66,14 @@ def cells(dims: str = "", date: bool = False, sets: str = "'HistFull'") -> dict:
         "exr": (("pb2",), f"""SELECT {cell}, scenarioset, -max(CASE WHEN rr = floor(0.01 * (n - 1)) + 1 THEN r END) AS ex_read
             FROM (SELECT {cell}, scenarioset, b - p AS r, n, row_number() OVER (PARTITION BY {cell}, scenarioset
             ORDER BY b - p) AS rr FROM pb2) GROUP BY {cell}, scenarioset"""),
+        # the same contributions without days at cell grain: linear in the exposures, from the book's tail and the covariance
+        "gk": (("bkr", "scs"), f"""SELECT date, book, scenarioset, factor AS k, -max(CASE WHEN rk = floor(0.01 * (n - 1)) + 1 THEN shock END) AS gv,
+            -avg(CASE WHEN rk <= ceil(0.025 * n) THEN shock END) AS ge, covar_samp(shock, b) AS gc FROM bkr JOIN scs USING (scenarioset, day_idx) GROUP BY ALL"""),
+        "mgx": (("xc", "gk", "bs"), f"""SELECT m.*, bvar, bvar99, bread, bes FROM (SELECT {", ".join("xc." + c.strip() for c in cell.split(","))}, scenarioset, sum(x * gv) AS m_var, sum(x * ge) AS m_es, sum(x * gc) AS m_cov
+            FROM xc JOIN gk ON gk.date = xc.date AND gk.book = xc.book AND gk.k = xc.k GROUP BY ALL) m JOIN bs USING ({key})"""),
+        "cvk": (("scs",), "SELECT scenarioset, a.factor AS k, b.factor AS k2, covar_samp(a.shock, b.shock) AS cov FROM scs a JOIN scs b USING (scenarioset, day_idx) GROUP BY ALL"),
+        "vpx": (("xc", "cvk"), f"""SELECT {", ".join("a." + c.strip() for c in cell.split(","))}, scenarioset, sum(a.x * b.x * cov) AS vp FROM xc a JOIN cvk ON cvk.k = a.k
+            JOIN xc b ON b.k = k2 AND a.date = b.date AND a.book = b.book{sj} GROUP BY ALL"""),
         "fvs": (("scs",), "SELECT scenarioset, factor AS vf, stddev_samp(shock) AS fvol FROM scs GROUP BY ALL"),
     }
     secj = "JOIN sec s ON s.position = p.position" if [x for x in sd if x != "position"] else ""
@@ -126,7 +134,9 @@ def _(s, d):
     return pivot(fr(s, d), ["Date", "Book", "FactorGroup"], ["contributors.COUNT"])
 
 
-CM = cells("sector factor", date=True)
+# margins under an event set: every sector and factor on every date meets each of its days
+EV = "Evt:1998H2"
+CM = cells("sector factor", sets=f"'{EV}'")
 
 
 @query("ag07_margins", psql(
@@ -140,7 +150,7 @@ CM = cells("sector factor", date=True)
        GROUP BY ALL""", "net_exposure scenario_var_99", CM, "pc", "cx"))
 def _(s, d):
     return pivot(fr(s, d), ["Date", "Book", "Sector"], ["Net exposure", "Scenario VaR 99"], cols=["Factor"],
-                 filters={"Date": [ASOF], **HF}, totals=True)
+                 filters={"ScenarioSet": [EV]}, totals=True)
 
 
 @query("ag16_manager_attrs", sql(
@@ -214,27 +224,26 @@ def _(s, d):
 
 @query("vec08_sorted_pnl", psql(
     "SELECT date, book, scenarioset, CAST(rk - 1 AS BIGINT) AS i, p AS pnl FROM pcr", "pnl",
-    cells("", date=True, sets=""), "pcr"))
+    cells("", sets=""), "pcr"))
 def _(s, d):
     from pyspark.sql import functions as F
 
-    p = pivot(fr(s, d), ["Date", "Book", "ScenarioSet"], ["Scenario PnL sorted"], filters={"Date": [ASOF]})
+    p = pivot(fr(s, d), ["Date", "Book", "ScenarioSet"], ["Scenario PnL sorted"])
     return p.select("Date", "Book", "ScenarioSet", F.posexplode("Scenario PnL sorted").alias("i", "pnl"))
 
 
 @query("vec09_per_day", psql(
-    """SELECT pc.date, pc.book, pc.country, pc.scenarioset, CAST(pc.day_idx AS BIGINT) AS scenarioday, p AS scenario_pnl_at_day,
+    """SELECT bk.date, bk.book, bk.scenarioset, CAST(bk.day_idx AS BIGINT) AS scenarioday, b AS scenario_pnl_at_day,
        CAST(scen_date - DATE '1970-01-01' AS BIGINT) AS scenario_date_at_day_epoch, -bs.bvar99 AS scenario_var_line_at_day,
-       bw.w AS scenario_worst_pnl_at_day, CAST(lad.worst_date - DATE '1970-01-01' AS BIGINT) AS scenario_worst_date_at_day_epoch
-       FROM pc JOIN bs USING (date, book, scenarioset) JOIN lad USING (date, book, country, scenarioset)
-       JOIN (SELECT date, book, scenarioset, min(b) AS w FROM bk GROUP BY ALL) bw USING (date, book, scenarioset)""",
+       bw.w AS scenario_worst_pnl_at_day, CAST(bw.d - DATE '1970-01-01' AS BIGINT) AS scenario_worst_date_at_day_epoch
+       FROM bk JOIN bs USING (date, book, scenarioset)
+       JOIN (SELECT date, book, scenarioset, min(b) AS w, max(CASE WHEN rk = 1 THEN scen_date END) AS d FROM bkr GROUP BY ALL) bw USING (date, book, scenarioset)""",
     "scenario_pnl_at_day scenario_var_line_at_day scenario_worst_pnl_at_day",
-    cells("country", date=True, sets="'Evt:1996Q1', 'Evt:1998H2'"), "pc", "bs", "lad", "bk"))
+    cells("", sets=""), "bs", "bk", "bkr"))
 def _(s, d):
-    return pivot(fr(s, d), ["Date", "Book", "Country", "ScenarioSet", "ScenarioDay"],
+    return pivot(fr(s, d), ["Date", "Book", "ScenarioSet", "ScenarioDay"],
                  ["Scenario PnL at day", "Scenario date at day (epoch)", "Scenario VaR line at day",
-                  "Scenario worst pnl at day", "Scenario worst date at day (epoch)"],
-                 filters={"Date": [ASOF], "ScenarioSet": ["Evt:1996Q1", "Evt:1998H2"]})
+                  "Scenario worst pnl at day", "Scenario worst date at day (epoch)"])
 
 
 @query("vec10_model_vol", psql(
@@ -256,11 +265,11 @@ def _(s, d):
 
 
 @query("vec12_marginal_es", psql(
-    """SELECT date, book, position, m_es AS marginal_scenario_es_97_5, m_es / bes AS pct_of_scenario_es_97_5 FROM mg""",
-    "marginal_scenario_es_97_5 pct_of_scenario_es_97_5", cells("position", date=True), "mg"))
+    """SELECT date, book, position, m_es AS marginal_scenario_es_97_5, m_es / bes AS pct_of_scenario_es_97_5 FROM mgx""",
+    "marginal_scenario_es_97_5 pct_of_scenario_es_97_5", cells("position"), "mgx"))
 def _(s, d):
     return pivot(fr(s, d), ["Date", "Book", "Position"],
-                 ["Marginal Scenario ES 97.5", "% of Scenario ES 97.5"], filters={"Date": [ASOF], **HF})
+                 ["Marginal Scenario ES 97.5", "% of Scenario ES 97.5"], filters=HF)
 
 
 _T = "sqrt(bvar99 * bvar99 + 2.326 * 2.326 * S)"
@@ -277,23 +286,22 @@ def _(s, d):
 
 
 _SHARES = f"""SELECT date, book, country, position, ({_MT}) / ((bread * bvar99 + 2.326 * 2.326 * S) / {_T}) AS share
-       FROM mg JOIN sp USING (date, book, country, position) JOIN sb USING (date, book)"""
-# one date: the twin unfolds every name into its days
-CP = cells("country position", date=True)
+       FROM mgx JOIN sp USING (date, book, country, position) JOIN sb USING (date, book)"""
+CP = cells("country position")
 
 
 @query("vec14_risk_hhi", psql(
     f"SELECT date, book, country, sum(share * share) AS risk_hhi FROM ({_SHARES}) GROUP BY ALL", "risk_hhi",
-    CP, "mg", "sp", "sb"))
+    CP, "mgx", "sp", "sb"))
 def _(s, d):
-    return pivot(fr(s, d), ["Date", "Book", "Country"], ["Risk HHI"], filters={"Date": [ASOF], **HF})
+    return pivot(fr(s, d), ["Date", "Book", "Country"], ["Risk HHI"], filters=HF)
 
 
 @query("vec15_top5_share", psql(
     f"""SELECT date, book, sum(share) AS top_5_risk_share FROM (SELECT *, rank() OVER (PARTITION BY date, book ORDER BY share DESC)
-       AS r FROM ({_SHARES})) WHERE r <= 5 GROUP BY ALL""", "top_5_risk_share", CP, "mg", "sp", "sb"))
+       AS r FROM ({_SHARES})) WHERE r <= 5 GROUP BY ALL""", "top_5_risk_share", CP, "mgx", "sp", "sb"))
 def _(s, d):
-    return pivot(fr(s, d), ["Date", "Book"], ["Top-5 risk share"], filters={"Date": [ASOF], **HF})
+    return pivot(fr(s, d), ["Date", "Book"], ["Top-5 risk share"], filters=HF)
 
 
 @query("vec16_incremental_var", psql(
@@ -307,21 +315,21 @@ def _(s, d):
 
 
 @query("vec17_marginal_model_vol", psql(
-    """SELECT date, book, position, (m_cov + svar) / sqrt(bvar + S) AS marginal_model_vol,
-       (m_cov + svar) / (bvar + S) AS pct_of_model_vol, m_cov AS factor_variance_contribution
-       FROM mg JOIN sp USING (date, book, position) JOIN sb USING (date, book)""",
-    "marginal_model_vol pct_of_model_vol factor_variance_contribution", cells("position", date=True), "mg", "sp", "sb"))
+    """SELECT date, book, position, (m_cov + coalesce(svar, 0)) / sqrt(bvar + S) AS marginal_model_vol,
+       (m_cov + coalesce(svar, 0)) / (bvar + S) AS pct_of_model_vol, m_cov AS factor_variance_contribution
+       FROM mgx JOIN sp USING (date, book, position) JOIN sb USING (date, book)""",
+    "marginal_model_vol pct_of_model_vol factor_variance_contribution", cells("position"), "mgx", "sp", "sb"))
 def _(s, d):
     return pivot(fr(s, d), ["Date", "Book", "Position"],
-                 ["Marginal Model vol", "% of Model vol", "Factor variance contribution"], filters={"Date": [ASOF], **HF})
+                 ["Marginal Model vol", "% of Model vol", "Factor variance contribution"], filters=HF)
 
 
 @query("vec18_incremental_model_vol", psql(
-    """SELECT date, book, sector, sqrt(bvar + S) - sqrt(ex_var + S - coalesce(svar, 0)) AS incremental_model_vol
-       FROM mg JOIN sp USING (date, book, sector) JOIN sb USING (date, book)""",
-    "incremental_model_vol", cells("sector", date=True), "mg", "sp", "sb"))
+    """SELECT date, book, sector, sqrt(bvar + S) - sqrt(bvar - 2 * m_cov + vp + S - coalesce(svar, 0)) AS incremental_model_vol
+       FROM mgx JOIN vpx USING (date, book, sector, scenarioset) JOIN sp USING (date, book, sector) JOIN sb USING (date, book)""",
+    "incremental_model_vol", cells("sector"), "mgx", "vpx", "sp", "sb"))
 def _(s, d):
-    return pivot(fr(s, d), ["Date", "Book", "Sector"], ["Incremental Model vol"], filters={"Date": [ASOF], **HF})
+    return pivot(fr(s, d), ["Date", "Book", "Sector"], ["Incremental Model vol"], filters=HF)
 
 
 @query("vec19_factor_vol", sql(tidy_sql(
@@ -344,18 +352,18 @@ def _(s, d):
         JOIN fvs ON vf = factor JOIN sb USING (date, book)) h
        JOIN bk ON bk.date = h.date AND bk.book = h.book JOIN scs ON scs.factor = h.factor AND scs.day_idx = bk.day_idx
        GROUP BY h.date, h.book, h.factor""", "min_variance_hedge_ratio vol_at_min_variance_hedge",
-    cells("factor", date=True), "mg", "cx", "fvs", "sb", "bk", "scs"))
+    cells("factor"), "mg", "cx", "fvs", "sb", "bk", "scs"))
 def _(s, d):
-    return pivot(fr(s, d), ["Date", "Book", "Factor"], ["Min-variance hedge ratio", "Vol at min-variance hedge"], filters={"Date": [ASOF], **HF})
+    return pivot(fr(s, d), ["Date", "Book", "Factor"], ["Min-variance hedge ratio", "Vol at min-variance hedge"], filters=HF)
 
 
 @query("vec22_stressed_model_vol", psql(
-    """SELECT date, book, sector, 1.25 * sqrt(0.25 * vol * vol + 0.75 * sxs * sxs + svar) AS stressed_model_vol
-       FROM lad JOIN sp USING (date, book, sector) JOIN (SELECT date, book, sector, sum(x * fvol) AS sxs
+    """SELECT date, book, sector, 1.25 * sqrt(0.25 * vp + 0.75 * sxs * sxs + coalesce(svar, 0)) AS stressed_model_vol
+       FROM vpx JOIN sp USING (date, book, sector) JOIN (SELECT date, book, sector, sum(x * fvol) AS sxs
        FROM xc JOIN fvs ON vf = k GROUP BY ALL) USING (date, book, sector)""",
-    "stressed_model_vol", cells("sector", date=True), "lad", "sp", "xc", "fvs"))
+    "stressed_model_vol", cells("sector"), "vpx", "sp", "xc", "fvs"))
 def _(s, d):
-    return pivot(fr(s, d), ["Date", "Book", "Sector"], ["Stressed model vol"], filters={"Date": [ASOF], **HF},
+    return pivot(fr(s, d), ["Date", "Book", "Sector"], ["Stressed model vol"], filters=HF,
                  vol_mult=1.25, rho_blend=0.75)
 
 
@@ -367,10 +375,10 @@ def _(s, d):
                  shocks={"Market": -2.0, "SMALL": 1.5})
 
 
-@query("vec01_pit_sets", sql(tidy_sql("""SELECT 'PIT:' || strftime(e, '%Y-%m-%d') AS scenarioset, row_number() OVER (PARTITION BY e, factor ORDER BY date) - 1 AS day_idx, date AS scen_date, factor, ret AS shock
-    FROM panel JOIN (VALUES (DATE '1999-12-31'), (DATE '2000-06-30')) v(e) ON date <= e""", "shock", 12), "panel"), 12)
+@query("vec01_pit_sets", sql(tidy_sql(f"""SELECT 'PIT:' || strftime(e, '%Y-%m-%d') AS scenarioset, row_number() OVER (PARTITION BY e, factor ORDER BY date) - 1 AS day_idx, date AS scen_date, factor, ret AS shock
+    FROM panel JOIN (SELECT e FROM (SELECT DISTINCT last_day(date) AS e FROM panel) JOIN (SELECT DISTINCT date AS d FROM panel) ON d <= e WHERE e <= (SELECT max(date) FROM panel) GROUP BY e HAVING count(*) >= {sc.MIN_PIT_OBS}) ON date <= e""", "shock", 12), "panel"), 12)
 def _(s, d):
-    return sc.pit_sets(fr(s, d).factor_returns, ["1999-12-31", "2000-06-30"])
+    return sc.pit_sets(fr(s, d).factor_returns)
 
 
 @query("mod22_pit_model_vol", psql("""SELECT x.book, sqrt(v.vol * v.vol + x.svar) AS model_vol FROM spec x JOIN (SELECT b.book, stddev_samp(b) AS vol FROM (SELECT x.book, p.date, sum(x.x * p.ret) AS b

@@ -164,11 +164,11 @@ def _(s, d):
     return out
 
 
-@query("src02_write_frames", sql(tidy_sql(f"SELECT date, book, position, weight FROM pos WHERE date = {AS}", "weight", 9), "pos"), 9)
+@query("src02_write_frames", sql(tidy_sql("SELECT * FROM pos", "weight", 9), "pos"), 9)
 def _(s, d):
     path = landing(s, "pos") + "/positions.parquet"
     fm.save_frame(fr(s, d).positions, path, ["Date"], partition_by=["Date"])
-    return s.read.parquet(path).filter(F.col("Date") == F.lit(ASOF)).select("Date", "Book", "Position", "Weight")
+    return s.read.parquet(path).select("Date", "Book", "Position", "Weight", "MV", "ADV")
 
 
 @query("src14_artifacts", sql("SELECT book, count(*) AS n FROM xb GROUP BY book", "xb"))
