@@ -55,7 +55,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     return d.withColumn("leaf", F.xxhash64("n", F.substring_index("norm", " ", DEPTH))).withColumn("line", F.xxhash64("norm"))
 
 
-def _templates(texts: DataFrame, similarity: float, min_docs: int, min_branch: int) -> DataFrame:
+def _templates(st: Stages, texts: DataFrame, similarity: float, min_docs: int, min_branch: int) -> DataFrame:
     """(leaf, line, template) of the lines that generalise; ``texts`` has id, leaf, line, norm, n, docs, leaf_docs.
 
     A token at its place in its leaf is one hash, a token after its neighbour another; rare ones (fewer than
@@ -65,8 +65,9 @@ def _templates(texts: DataFrame, similarity: float, min_docs: int, min_branch: i
     pair = F.transform(F.slice("t", DEPTH + 1, F.size("t")),
                        lambda x, i: F.struct((2 * i + 1).alias("at"), F.xxhash64(F.col("leaf"), i, F.get("t", i + DEPTH - 1), x).alias("h")))
     seen = toks.select("id", "docs", F.explode(F.concat(spot, pair)).alias("x")).select("id", "docs", "x.at", "x.h")
-    support = seen.groupBy("h").agg(F.sum("docs").alias("s")).filter(F.col("s") >= min_docs)
-    held = (seen.join(support, "h").groupBy("id")
+    support = st.write("support", seen.groupBy("h").agg(F.sum("docs").alias("s")).filter(F.col("s") >= min_docs))
+    # rows travel as they are; lists are made where a line's rows have met
+    held = (seen.select("id", "at", "h").join(broadcast_if_small(support), "h").repartition("id").groupBy("id")
             .agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("s", "h")))).alias("m")))  # of a line's own tokens
     x = texts.join(held, "id")
 
@@ -96,7 +97,7 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     texts = (lines.select("leaf", "line", "norm").join(broadcast_if_small(leaves), "leaf").dropDuplicates(["leaf", "line"])
              .join(known.select("leaf", "line", "n", "docs"), ["leaf", "line"]).withColumn("id", F.monotonically_increasing_id()))
     texts = st.write("texts", texts)
-    general = st.write("templates", _templates(texts, similarity, min_docs, min_branch))
+    general = st.write("templates", _templates(st, texts, similarity, min_docs, min_branch))
 
     named = known.join(broadcast_if_small(general), ["leaf", "line"], "left").select("leaf", "line", F.coalesce("template", "line").alias("template"), "docs")
     # a template can recur only if its lines' document counts add up to min_docs
@@ -110,7 +111,7 @@ def dropped(docs: DataFrame, text: str = "text", key: str = "doc_id", similarity
     drops = (seen.join(broadcast_if_small(again), ["leaf", "template"]).filter(~F.col("key").eqNullSafe(F.col("first")))
              .groupBy("key", "row").agg(F.collect_set("pos").alias("pos")))  # a document's own lines
     drops = st.write("drops", drops)
-    st.drop("lines", "known", "leaves", "texts", "templates", "hopeful", "seen", "recurring")
+    st.drop("lines", "known", "leaves", "texts", "support", "templates", "hopeful", "seen", "recurring")
     return drops
 
 
