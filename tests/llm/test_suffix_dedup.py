@@ -74,20 +74,43 @@ def test_query_against_first_holders(spark, sf):
     assert sum(v[1] for v in want.values()) > 0
 
 
-def test_repeats_at_borders_overlaps_and_periods(spark):
+@pytest.mark.parametrize("hot", [suffix.HOT, 2, 1])
+def test_repeats_at_borders_overlaps_and_periods(spark, hot):
     rnd = random.Random(9)
     word = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
     p, q = word(120), word(60)
     rows = [(5, p), (7, p + word(30)), (2, word(40) + p[:50]), (9, word(10) + p[20:100] + q), (11, q), (12, q[:49] + "Z"), (13, "ab" * 400), (20, "ab" * 90 + "c"), (21, "é" * 80),
             (30, "éé" * 60), (31, p), (32, p), (33, q[5:] + p[:55] + q), (40, "x" * 49), (41, "x" * 49), (42, "x" * 50), (43, "x" * 51)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = suffix.remove_repeats(df, with_kept=True).collect()
+    got = suffix.remove_repeats(df, with_kept=True, hot=hot).collect()
     want = plain({k: t.encode() for k, t in rows})
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
     for r in got:
         assert hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 and sum(r.ends) - sum(r.starts) == r.n_removed
 
 
+@pytest.mark.parametrize("hot", [suffix.HOT, 40])
+def test_a_line_in_a_third_of_all_documents_and_own_text_after_it(spark, hot):
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choices("abcdefgh \n", k=n))
+    line = word(70)
+    rows = [(i, word(rnd.randint(0, 90)) + (line * (1 + i % 2) if i % 3 == 0 else "") + word(rnd.randint(0, 90))) for i in range(600)]
+    rows += [(1000 + i, "same line\n" * 40 + word(20)) for i in range(30)]
+    got = answer(suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot=hot))
+    assert got == plain({k: t.encode() for k, t in rows})
+
+
+def test_contexts_that_cannot_hold_a_repeat_are_left_out():
+    r = np.random.default_rng(6)
+    texts = r.integers(97, 105, (500, 84), dtype=np.uint8)
+    texts[:, 34:50] = 120  # one anchor
+    for k in range(0, 100, 2):  # pairs that share a string of 50 bytes around the anchor
+        o = int(r.integers(0, 35))
+        texts[k, o:o + 50] = texts[k + 1, o:o + 50]
+    keep = suffix._meets(np.full(500, 7, np.int64), texts, 50)
+    assert keep[:100].all() and keep[100:].sum() < 20
+
+
 def test_edge_rows(spark):
     long = "w" * 60
     rows = [(1, None, 1), (2, "", 2), (3, long, 3), (3, long, 3), (4, long, 4), (None, long, 5), (5, "other " * 20, 6), (5, "and other " * 20, 7)]
