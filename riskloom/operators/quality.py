@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom import schema
+from riskloom.functions.joins import broadcast_if_small
 from riskloom.functions.linalg import cross_products, solve_by_key
 from riskloom.functions.quantiles import exact_quantiles
 
@@ -206,3 +207,34 @@ def factor_profile(exposures: DataFrame, date, factor: str, bins: int = 40) -> t
     b = F.least(F.floor((F.col("Loading") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     h = j.groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     return q.join(x, "Factor"), h
+
+
+def factor_profiles(exposures: DataFrame) -> DataFrame:
+    """(Date, Factor) -> n, five quantiles, extent, names beyond 3 and their share, for every cross-section at once."""
+    e = exposures.filter(F.col("Loading").isNotNull()).select("Date", "Factor", "Loading")
+    q = exact_quantiles(e, ["Date", "Factor"], "Loading", {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99})
+    x = e.groupBy("Date", "Factor").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("Loading") > 3).alias("n_beyond_3"),
+                                        F.least(F.min("Loading"), F.lit(-3.5)).alias("lo"), F.greatest(F.max("Loading"), F.lit(3.5)).alias("hi"))
+    return q.join(x, ["Date", "Factor"]).withColumn("share_beyond_3", F.col("n_beyond_3") / F.col("n"))
+
+
+def factor_extremes(exposures: DataFrame, securities: DataFrame, k: int = 8, bound: float = 3.0) -> DataFrame:
+    """The ``k`` names furthest beyond ``bound`` on either side of every cross-section: Date, Factor, side, rank, Position,
+    Ticker, Loading. Only names beyond the bound are ranked, and ranks are cut before they travel."""
+    from pyspark.sql import Window
+
+    e = exposures.filter(F.abs("Loading") > bound).withColumn("side", F.when(F.col("Loading") > 0, "high").otherwise("low"))
+    w = Window.partitionBy("Date", "Factor", "side").orderBy(F.abs("Loading").desc(), "Position")
+    e = e.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return e.join(securities.select("Position", "Ticker"), "Position", "left").select(
+        "Date", "Factor", "side", "rank", "Position", F.coalesce("Ticker", "Position").alias("Ticker"), "Loading")
+
+
+def held_overlay(exposures: DataFrame, profiles: DataFrame, held: DataFrame, securities: DataFrame, bins: int = 40) -> DataFrame:
+    """Held names on the profile: Date, Factor, Book, Position, Ticker, Weight, Loading and their bin among ``bins`` equal ones
+    over the profile's extent."""
+    j = held.select("Date", "Book", "Position", "Weight").join(exposures.select("Date", "Position", "Factor", "Loading"), ["Date", "Position"])
+    j = j.join(broadcast_if_small(profiles.select("Date", "Factor", "lo", "hi")), ["Date", "Factor"])
+    b = F.least(F.floor((F.col("Loading") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
+    return j.join(securities.select("Position", "Ticker"), "Position", "left").select(
+        "Date", "Factor", "Book", "Position", F.coalesce("Ticker", "Position").alias("Ticker"), "Weight", "Loading", b.cast("long").alias("bin"))

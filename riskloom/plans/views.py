@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from riskloom.functions.quantiles import top_k
 from riskloom.plans.pivot import PivotError, pivot
@@ -132,6 +132,24 @@ def run_view(frames, view: Mapping, live: Mapping[str, list] | None = None) -> d
     return out
 
 
+def book_sections(backtest: DataFrame, headline: DataFrame, linkage: DataFrame, checks: DataFrame) -> DataFrame:
+    """The summary's sections beyond limits and risk as (Book, section, name, value, status): the VaR backtest with its
+    verdict, the attribution headline, the linkage rows outside their band, and the data checks by level (no book)."""
+    none = F.lit(None).cast("string")
+
+    def long(df: DataFrame, section: str, names: list[str], status: Column) -> DataFrame:
+        d = df.select("Book", status.alias("status"), *[F.col(n).cast("double").alias(n) for n in names])
+        return d.unpivot(["Book", "status"], names, "name", "value").select("Book", F.lit(section).alias("section"), "name", "value", "status")
+
+    verdict = F.when(F.col("status") != "ok", "insufficient").when(F.col("kupiec_reject"), "reject").otherwise("ok")
+    flagged = linkage.filter("verdict <> 'within'").select("Book", F.lit("reconcile").alias("section"), "name", F.col("z").alias("value"), F.col("verdict").alias("status"))
+    levels = checks.groupBy(F.col("level").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    dq = levels.select(none.alias("Book"), F.lit("dq").alias("section"), "name", "value",
+                       F.when(F.col("name") == "FAIL", "fail").when(F.col("name") == "WARN", "warn").otherwise("pass").alias("status"))
+    return (long(backtest, "backtest", ["tested", "exceptions", "expected", "rate"], verdict)
+            .unionByName(long(headline, "attribution", ["realized_geometric", "factor", "specific", "specific_share"], none)).unionByName(flagged).unionByName(dq))
+
+
 def artifact_guard(artifact: DataFrame, books: DataFrame) -> DataFrame:
     """Status per requested book: does the artifact hold it?"""
     n = artifact.groupBy("Book").agg(F.count(F.lit(1)).alias("rows"))
