@@ -6,7 +6,7 @@ import importlib
 
 from riskloom.catalog import registry
 
-MODULES = ("q_frames", "q_risk", "q_series", "q_attr", "q_build", "q_desk", "q_universe", "q_sources", "q_misc", "q_changes", "q_audit", "q_grid")
+MODULES = ("q_frames", "q_risk", "q_series", "q_attr", "q_build", "q_desk", "q_universe", "q_sources", "q_misc", "q_changes", "q_audit", "q_grid", "q_store")
 
 
 def _load() -> None:

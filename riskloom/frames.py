@@ -92,18 +92,23 @@ def is_local(spark: SparkSession) -> bool:
     return m == "local" or m.startswith("local[")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder for written intermediates: the session's ``spark.checkpoint.dir``.
 
-    On a cluster it must be set, and not to a path of one machine; a local session (one machine, so
-    any folder is shared) that names none gets a temporary folder of its own."""
+    On a cluster it must be set, to a folder that driver and executors all reach; a local session (one machine, so any
+    folder is shared) that names none gets one temporary folder for the application."""
     conf = spark.sparkContext.getConf()
     d = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = tempfile.mkdtemp(prefix="riskloom-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="riskloom-")
+        d = _LOCAL[app]
     return d.rstrip("/")
 
 

@@ -109,6 +109,15 @@ def path_report(frames, date, scenario_set: str, by: str | None = None) -> DataF
     return b.join(p, ["Book", "day_idx"])
 
 
+def path_stats(frames, dates: list | None = None, scenario_sets: list[str] | None = None) -> DataFrame:
+    """The stat row of every path report: Date, Book, ScenarioSet, var_line, worst_pnl, worst_date, mean_pnl."""
+    flt = {"Date": dates or [], "ScenarioSet": scenario_sets or []}
+    m = ["Scenario VaR 99", "Scenario worst loss", "Scenario worst date (epoch)", "Scenario mean PnL"]
+    p = pivot(frames, ["Date", "Book", "ScenarioSet"], m, filters=flt)
+    return p.select("Date", "Book", "ScenarioSet", (-F.col(m[0])).alias("var_line"), (-F.col(m[1])).alias("worst_pnl"),
+                    F.date_from_unix_date(F.col(m[2]).cast("int")).alias("worst_date"), F.col(m[3]).alias("mean_pnl"))
+
+
 def grid(df: DataFrame, rows: list[str], col: str, value: str, members: list[str]) -> DataFrame:
     """Tidy pivot records -> a matrix with one column per member (TOTAL for the margin); rows that are
     blank throughout are hidden."""
