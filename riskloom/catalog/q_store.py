@@ -10,9 +10,10 @@ from riskloom.catalog.q_attr import artifact
 from riskloom.catalog.q_build import fitted
 from riskloom.catalog.q_risk import HF, cells, fr, psql
 from riskloom.catalog.q_sources import landing
-from riskloom.catalog.q_universe import full_span, funnel, members
+from riskloom.catalog.q_universe import HOLD, WORDS, full_span, funnel, holdings, members
 from riskloom.catalog.registry import ORACLES, query, tidy_sql
-from riskloom.operators import attribution as at
+from riskloom.frames import staged
+from riskloom.operators import attribution as at, universe as un
 from riskloom.plans import views
 from riskloom.plans.pivot import pivot
 
@@ -56,3 +57,26 @@ def _(s, d):
     p = pivot(fr(s, d), ["Date", "Book", "Position"], ["Factor variance contribution", "Specific variance"], filters=HF)
     v = p.select("Date", "Book", "Position", (F.col("Factor variance contribution") + F.coalesce("Specific variance", F.lit(0.0))).alias("v"))
     return views.top_and_rest(v, ["Date", "Book"], "Position", "v", 20)
+
+
+# ---- managers with their disclosure: what was parsed, dropped as pooled, and left -------------------------------------
+_MG = {"hold": HOLD, "mgd": (("hold", "mgr"), r"""SELECT m.book, m.cik, m.entityname, m.firmtype, h.* EXCLUDE (book) FROM mgr m JOIN (SELECT h.book, min(filing_date) AS first_filing_date, max(filing_date) AS last_filing_date,
+    count(DISTINCT filing_date) AS n_filings, count(DISTINCT cusip) AS n_distinct_cusips_parsed, coalesce(sum(value) FILTER (WHERE pool AND report_date = last), 0) / sum(value) FILTER (WHERE report_date = last) AS dropped_value_share_latest,
+    count(DISTINCT cusip) FILTER (WHERE NOT pool) AS n_positions_distinct FROM (SELECT *, regexp_matches(upper(issuer), '\bRING\b|\bBOLT\b') AS pool FROM hold) h
+    JOIN (SELECT book, max(report_date) AS last FROM hold GROUP BY book) l ON l.book = h.book GROUP BY h.book) h USING (book)""")}
+
+
+def managers(s, d):
+    return un.manager_frame(holdings(s, d), fr(s, d).managers, WORDS)
+
+
+@query("ag23_manager_disclosure", sql(tidy_sql("SELECT * FROM mgd", "dropped_value_share_latest"), **_MG))
+def _(s, d):
+    return managers(s, d)
+
+
+@query("ag16_manager_etp_share", sql(tidy_sql("""SELECT x.date, x.book, m.entityname, m.dropped_value_share_latest AS manager_etp_dropped_value_share, m.n_positions_distinct AS manager_n_positions
+    FROM (SELECT DISTINCT date, book FROM xb) x JOIN mgd m USING (book)""", "manager_etp_dropped_value_share"), "xb", **_MG))
+def _(s, d):
+    f = fr(s, d)
+    return pivot(f.replace(managers=staged(managers(s, d))), ["Date", "Book", "EntityName"], ["Manager ETP dropped value share", "Manager n positions"])
