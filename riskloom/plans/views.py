@@ -61,14 +61,17 @@ def drill(frames, path_dims: list[str], path: list[str], measures: list[str], fi
 def page(df: DataFrame, order: list[tuple[str, bool]], size: int = 250, after: tuple | None = None) -> DataFrame:
     """One page of ``df`` in the order of (column, descending) pairs that make a unique key: the first
     ``size`` rows beyond the key ``after``. The key of a page's last row opens the next page, so all
-    pages together are all rows. Null keys are not paged."""
+    pages together are all rows. Nulls come last, whichever way a column is ordered."""
     if after is not None:
         beyond = F.lit(False)
         for (c, down), v in reversed(list(zip(order, after))):
-            ahead = F.col(c) < F.lit(v) if down else F.col(c) > F.lit(v)
-            beyond = ahead | ((F.col(c) == F.lit(v)) & beyond)
+            if v is None:
+                beyond = F.col(c).isNull() & beyond
+            else:
+                ahead = F.coalesce(F.col(c) < F.lit(v) if down else F.col(c) > F.lit(v), F.lit(True))  # a null lies behind
+                beyond = ahead | (F.coalesce(F.col(c) == F.lit(v), F.lit(False)) & beyond)
         df = df.filter(beyond)
-    return df.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order]).limit(size)
+    return df.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_last(c) for c, down in order]).limit(size)
 
 
 def contributions(frames, date, scenario_set: str, book: str, by: str = "Factor") -> DataFrame:
