@@ -115,6 +115,30 @@ def _(s, d):
     return st.select("Position", "filed", "Equity", "Assets", "Liabilities", "NetIncome", "Shares")
 
 
+_TAGS = ["Equity", "Assets", "Liabilities", "NetIncome", "Shares"]
+
+
+def _reported(i: int, number: str, month: str) -> str:
+    """Which filings report a tag: three of four the equity, two of three any other."""
+    return f"({number} + {month}) % 4 <> 0" if i == 0 else f"({number} + 2 * {month} + 5 * {i}) % 3 <> 0"
+
+
+_SPARSE = (("funda",), f"""SELECT position, filed, {', '.join(f"CASE WHEN {_reported(i, 'CAST(substring(position, 2) AS BIGINT)', 'month(filed)')} THEN {t.lower()} END AS {t.lower()}" for i, t in enumerate(_TAGS))} FROM funda""")
+
+
+@query("jn05_sparse_fundamentals", sql(tidy_sql(f"""SELECT position, filed, {', '.join(f'last_value({t.lower()} IGNORE NULLS) OVER w AS {t.lower()}' for t in _TAGS)} FROM spf
+    WINDOW w AS (PARTITION BY position ORDER BY filed ROWS UNBOUNDED PRECEDING) QUALIFY equity IS NOT NULL""", "equity assets liabilities netincome shares", 4), spf=_SPARSE), 4)
+def _(s, d):
+    """Filings that lack tags: every filing with an equity has the latest value of each tag before it."""
+    from riskloom.sources.landed import stitch_fundamentals
+
+    f = fr(s, d).fundamentals
+    n, m = "cast(substring(Position, 2) as bigint)", "month(filed)"
+    f = f.select("Position", "filed", *[F.when(F.expr(_reported(i, n, m)), F.col(t)).alias(t) for i, t in enumerate(_TAGS)])
+    facts = f.unpivot(["Position", "filed"], _TAGS, "name", "val").filter("val IS NOT NULL").withColumns({"end": F.col("filed"), "pos": F.lit(0)})
+    return stitch_fundamentals(facts, ["Position"]).select("Position", "filed", *_TAGS)
+
+
 @query("ag13_fundamental_descriptors", dsql("SELECT date, position, size, value, earnyield, leverage FROM fd", "size value earnyield leverage", "fd"))
 def _(s, d):
     f = fr(s, d)
