@@ -85,3 +85,36 @@ def _(s, d):
     f = fr(s, d)
     return views.book_sections(ts.backtest(book_series(f), ["Book"], "i", "r", 250, 0.99, "fhs", 0.94), at.headline(at.window_of(artifact(s, d))),
                                at.linkage_rows(f, artifact(s, d), panel(f), T0, 3), qa.run_checks(f, f.universe))
+
+
+# ---- what the data checks object to ------------------------------------------------------------------------------------
+_T = {"exposures": ("expo", "date position factor"), "positions": ("pos", "date book position"), "securities": ("sec", "position"), "factor_meta": ("fm", "factor"),
+      "factor_returns": ("fr", "date factor"), "specific_var": ("sv", "date position")}
+
+
+def _key(cols: str) -> str:
+    return "concat_ws(' / ', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in cols.split()) + ")"
+
+
+_OFF = [q for n, (t, k) in _T.items() for q in (
+    f"SELECT '{n}: key unique' AS name, {_key(k)} AS key FROM {t} GROUP BY {k.replace(' ', ', ')} HAVING count(*) > 1",
+    f"SELECT '{n}: no null keys', {_key(k)} FROM {t} WHERE {' OR '.join(c + ' IS NULL' for c in k.split())}")]
+_OFF += [f"SELECT DISTINCT '{n}.{c.capitalize()} in {u}', {c} FROM {_T[n][0]} WHERE {c} NOT IN (SELECT {c} FROM {_T[u][0]})" for n, c, u in (
+    ("exposures", "position", "securities"), ("positions", "position", "securities"), ("specific_var", "position", "securities"), ("exposures", "factor", "factor_meta"), ("factor_returns", "factor", "factor_meta"))]
+_OFF += [f"SELECT '{name}', {_key(_T[n][1])} FROM {_T[n][0]} WHERE {cond}" for name, n, cond in (
+    ("positions: no negative weights", "positions", "weight < 0"), ("specific_var: non-negative", "specific_var", "sv < 0"),
+    ("exposures: loadings within the coverage cap", "exposures", "abs(loading) > 15"), ("factor_returns: |return| <= 50%", "factor_returns", "abs(ret) > 0.5"))]
+_OFF += [f"SELECT DISTINCT 'held positions have {n} on the same date', {_key('date position')} FROM pos WHERE (date, position) NOT IN (SELECT (date, position) FROM {_T[n][0]})" for n in ("exposures", "specific_var")]
+_DET = {"off": (tuple(t for t, _ in _T.values()), " UNION ALL ".join(_OFF)),
+        "det": (("off",), "SELECT name, count(*) OVER (PARTITION BY name) AS n, row_number() OVER (PARTITION BY name ORDER BY key) AS rank, key FROM off QUALIFY rank <= 5")}
+
+
+@query("mod27_dq_details", sql("SELECT * FROM det", **_DET))
+def _(s, d):
+    return qa.check_details(fr(s, d))
+
+
+@query("mod27_dq_detail_text", sql("""SELECT name, any_value(n) || CASE WHEN any_value(n) = 1 THEN ' row: ' ELSE ' rows: ' END || string_agg(key, '; ' ORDER BY rank) || CASE WHEN any_value(n) > count(*) THEN '; ...' ELSE '' END AS detail
+    FROM det GROUP BY name""", **_DET))
+def _(s, d):
+    return qa.detail_text(qa.check_details(fr(s, d)))

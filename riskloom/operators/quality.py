@@ -238,3 +238,52 @@ def held_overlay(exposures: DataFrame, profiles: DataFrame, held: DataFrame, sec
     b = F.least(F.floor((F.col("Loading") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1))
     return j.join(securities.select("Position", "Ticker"), "Position", "left").select(
         "Date", "Factor", "Book", "Position", F.coalesce("Ticker", "Position").alias("Ticker"), "Weight", "Loading", b.cast("long").alias("bin"))
+
+
+# ---- details of the checks -------------------------------------------------------------------------
+def offending(f: Mapping[str, DataFrame]) -> DataFrame:
+    """(name, key): every row that a countable check objects to, named by its key."""
+    def key(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
+        return df.select(F.lit(name).alias("name"), F.concat_ws(" / ", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols]).alias("key"))
+
+    out = []
+    for n in CHECKED:
+        keys = schema.KEYS[n]
+        out.append(key(f[n].groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), f"{n}: key unique", keys))
+        null = F.lit(False)
+        for k in keys:
+            null = null | F.col(k).isNull()
+        out.append(key(f[n].filter(null), f"{n}: no null keys", keys))
+    for n, c, u in [("exposures", "Position", "securities"), ("positions", "Position", "securities"), ("specific_var", "Position", "securities"),
+                    ("exposures", "Factor", "factor_meta"), ("factor_returns", "Factor", "factor_meta")]:
+        out.append(key(f[n].select(c).distinct().join(f[u].select(c), c, "left_anti"), f"{n}.{c} in {u}", [c]))
+    out.append(key(f["positions"].filter("Weight < 0"), "positions: no negative weights", schema.KEYS["positions"]))
+    out.append(key(f["specific_var"].filter("SpecificVar < 0"), "specific_var: non-negative", schema.KEYS["specific_var"]))
+    out.append(key(f["exposures"].filter(F.abs("Loading") > COVERAGE_CAP * 1.5), "exposures: loadings within the coverage cap", schema.KEYS["exposures"]))
+    out.append(key(f["factor_returns"].filter(F.abs("Return") > 0.5), "factor_returns: |return| <= 50%", schema.KEYS["factor_returns"]))
+    held = f["positions"].select("Date", "Position").distinct()
+    for n in ("exposures", "specific_var"):
+        out.append(key(held.join(f[n].select("Date", "Position"), ["Date", "Position"], "left_anti"), f"held positions have {n} on the same date", ["Date", "Position"]))
+    r = out[0]
+    for o in out[1:]:
+        r = r.unionByName(o)
+    return r
+
+
+def check_details(f: Mapping[str, DataFrame], k: int = 5) -> DataFrame:
+    """(name, n, rank, key): how many rows each check objects to and the first ``k`` of them by key. Ranks are cut in each
+    task before rows travel; checks without an objection have no row."""
+    from pyspark.sql import Window
+
+    rows = offending(f)
+    n = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    first = rows.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy("key"))).filter(F.col("rank") <= k)
+    return first.join(broadcast_if_small(n), "name").select("name", "n", "rank", "key")
+
+
+def detail_text(details: DataFrame) -> DataFrame:
+    """(name, detail): one sentence per check with objections."""
+    d = details.groupBy("name").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("rank", "key"))).alias("l"))  # the first k
+    text = F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, F.lit(" row: ")).otherwise(F.lit(" rows: ")), F.concat_ws("; ", "l.key"),
+                    F.when(F.col("n") > F.size("l"), F.lit("; ...")).otherwise(F.lit("")))
+    return d.select("name", text.alias("detail"))
