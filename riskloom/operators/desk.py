@@ -181,7 +181,7 @@ def previous_distinct_book(positions: DataFrame) -> DataFrame:
 def array_recompute(x: DataFrame, shocks: DataFrame, by: list[str]) -> DataFrame:
     """VaR 99 and worst loss by a path that shares nothing with the vector measures: long day rows,
     grouped sums and Spark's percentile."""
-    p = (x.join(F.broadcast(shocks.select("ScenarioSet", "day_idx", "Factor", "shock")), "Factor")
+    p = (x.join(broadcast_if_small(shocks.select("ScenarioSet", "day_idx", "Factor", "shock")), "Factor")
          .groupBy(*by, "ScenarioSet", "day_idx").agg(F.sum(F.col("x") * F.col("shock")).alias("p")))
     return p.groupBy(*by, "ScenarioSet").agg((-F.percentile("p", F.lit(0.01))).alias("ref_var99"), (-F.min("p")).alias("ref_worst"))
 
