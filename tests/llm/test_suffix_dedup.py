@@ -111,6 +111,18 @@ def test_contexts_that_cannot_hold_a_repeat_are_left_out():
     assert keep[:100].all() and keep[100:].sum() < 20
 
 
+def test_a_repeat_whose_anchors_also_stand_elsewhere(spark):
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    p = word(300)
+    rows = [(1, p), (2, word(80) + p + word(80))]
+    at = suffix.anchors(p.encode())[0].tolist() * 8
+    rows += [(100 + i, word(60) + p[x:x + 16] + word(60)) for i, x in enumerate(at)]  # its anchors in other company
+    got = answer(suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == plain({k: t.encode() for k, t in rows})
+    assert got[2][1] >= 300
+
+
 def test_edge_rows(spark):
     long = "w" * 60
     rows = [(1, None, 1), (2, "", 2), (3, long, 3), (3, long, 3), (4, long, 4), (None, long, 5), (5, "other " * 20, 6), (5, "and other " * 20, 7)]
