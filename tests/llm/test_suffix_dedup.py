@@ -123,6 +123,21 @@ def test_a_repeat_whose_anchors_also_stand_elsewhere(spark):
     assert got[2][1] >= 300
 
 
+def test_different_texts_under_one_key(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    p, q, z = word(200), word(150), word(90)
+    rows = [(1, p), (1, q), (1, q), (2, word(30) + p[20:160]), (2, q[:120] + word(9)), (2, q), (2, z), (2, z + "!"), (3, z + p + word(5)), (3, z[:60] + q), (3, z[:60] + q)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_kept=True).collect()
+
+    def kept(k, t):
+        gone = {j for i in range(len(t) - 49) if any(t[i:i + 50] in o for n, o in rows if n < k) for j in range(i, i + 50)}
+        return "".join(c for j, c in enumerate(t) if j not in gone)
+
+    assert sorted((r.doc_id, bytes(r.kept).decode()) for r in got) == sorted((k, kept(k, t)) for k, t in rows)
+    assert sum(r.n_removed for r in got) == sum(len(t) - len(kept(k, t)) for k, t in rows) > 900
+
+
 def test_edge_rows(spark):
     long = "w" * 60
     rows = [(1, None, 1), (2, "", 2), (3, long, 3), (3, long, 3), (4, long, 4), (None, long, 5), (5, "other " * 20, 6), (5, "and other " * 20, 7)]
