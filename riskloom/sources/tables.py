@@ -65,22 +65,26 @@ def factor_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (line_lots(spark, sf_dir)
+    """Daily mean price and volume of a name, dealt by name alone so that windows over its days need no further shuffle."""
+    lots = line_lots(spark, sf_dir).select("Position", "Day", "price", "qty")
+    return (lots.repartition("Position")
             .groupBy("Position", F.col("Day").alias("Date"))
             .agg(F.round(F.avg(F.col("price") / F.col("qty")), 8).alias("Close"),
                  F.sum("qty").alias("Volume")))
 
 
 def month_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (book_lots(spark, sf_dir).groupBy("Date", "Book", "Position")
+    """MV per (Date, Book, Position), dealt by (Date, Position), on which it meets other frames."""
+    lots = book_lots(spark, sf_dir).select("Date", "Book", "Position", "mv")
+    return (lots.repartition("Date", "Position").groupBy("Date", "Book", "Position")
             .agg(F.round(F.sum("mv"), 4).alias("MV")))
 
 
 def with_weights(mv: DataFrame, keys: list[str]) -> DataFrame:
     """Weight = MV / total of ``keys``. The total is an aggregate joined back, not a window, so a
-    book of any breadth stays spread over tasks."""
+    book of any breadth stays spread over tasks; it has one row per month-end and book."""
     tot = mv.groupBy(*keys).agg(F.sum("MV").alias("_tot"))
-    return (mv.join(tot, keys)
+    return (mv.join(F.broadcast(tot), keys)
             .withColumn("Weight", F.col("MV") / F.col("_tot")).drop("_tot"))
 
 
@@ -100,7 +104,7 @@ def exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.col(f"_{s}"), F.lit(0.0)) / F.col("_all")).alias(s) for s in STYLES])
     st = sh.groupBy("Date").agg(
         *[F.avg(s).alias(f"m_{s}") for s in STYLES], *[F.stddev_samp(s).alias(f"s_{s}") for s in STYLES])
-    z = sh.join(st, "Date").select("Date", "Position", F.lit(1.0).alias("Market"), *[
+    z = sh.join(F.broadcast(st), "Date").select("Date", "Position", F.lit(1.0).alias("Market"), *[
         F.when(F.col(f"s_{s}") > 0, F.try_divide(F.col(s) - F.col(f"m_{s}"), F.col(f"s_{s}"))).alias(s)
         for s in STYLES])
     return (z.unpivot(["Date", "Position"], ["Market", *STYLES], "Factor", "Loading")
