@@ -43,16 +43,15 @@ def with_security(df: DataFrame, securities: DataFrame, dims: list[str]) -> Data
     return out.withColumns({a: F.coalesce(a, F.lit(NA)) for a in attrs})
 
 
-def leaf_exposure(positions: DataFrame, exposures: DataFrame, securities: DataFrame,
-                  factor_meta: DataFrame, dims: list[str]) -> DataFrame:
-    """``(keys, dims, Factor) -> x, n``: loading x weight summed at the finest grain asked for."""
+def leaf_rows(positions: DataFrame, exposures: DataFrame, securities: DataFrame,
+              factor_meta: DataFrame, dims: list[str]) -> DataFrame:
+    """``keys, dims, Factor, x, n``: loading x weight of each position and factor, not yet summed."""
     p = with_security(positions, securities, [d for d in dims if d in SEC_DIMS])
     sec = [d for d in dims if d in SEC_DIMS]
     e = exposures.select("Date", "Position", "Factor", "Loading")
     j = p.select("Branch", "Date", "Book", "Position", "Weight", *[d for d in sec if d != "Position"])
     j = j.join(e, ["Date", "Position"])
-    x = j.groupBy(*KEYS, *sec, "Factor").agg(
-        F.sum(F.col("Loading") * F.col("Weight")).alias("x"), F.count(F.lit(1)).alias("n"))
+    x = j.select(*KEYS, *sec, "Factor", (F.col("Loading") * F.col("Weight")).alias("x"), F.lit(1).cast("long").alias("n"))
     if "FactorGroup" in dims:
         fm = factor_meta.select("Factor", "FactorGroup")
         x = x.join(F.broadcast(fm), "Factor", "left").withColumn(
@@ -60,15 +59,24 @@ def leaf_exposure(positions: DataFrame, exposures: DataFrame, securities: DataFr
     return x
 
 
+def leaf_exposure(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """``(keys, dims, Factor) -> x, n``: :func:`leaf_rows` summed at the finest grain asked for."""
+    return rows.groupBy(*KEYS, *dict.fromkeys([*dims, "Factor"])).agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+
+
 def cell_dims(dims: list[str]) -> list[str]:
     return [f"c_{d}" for d in dims]
 
 
-def roll_up(leaf: DataFrame, dims: list[str], grain: list[str]) -> DataFrame:
-    """Cells of one grain: dims outside it read TOTAL; the factor scalars stay apart."""
+def cell_rows(leaf: DataFrame, dims: list[str], grain: list[str]) -> DataFrame:
+    """Rows of the cells of one grain: dims outside it read TOTAL."""
     cols = [(F.col(d) if d in grain else F.lit(TOTAL)).alias(f"c_{d}") for d in dims]
-    c = leaf.select(*KEYS, *cols, "Factor", "x", "n")
-    return c.groupBy(*KEYS, *cell_dims(dims), "Factor").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    return leaf.select(*KEYS, *cols, "Factor", "x", "n")
+
+
+def roll_up(leaf: DataFrame, dims: list[str], grain: list[str]) -> DataFrame:
+    """Cells of one grain; the factor scalars stay apart."""
+    return cell_rows(leaf, dims, grain).groupBy(*KEYS, *cell_dims(dims), "Factor").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
 
 
 def weight_block(positions: DataFrame, specific_var: DataFrame, exposures: DataFrame,

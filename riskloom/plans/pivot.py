@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from riskloom.functions.joins import broadcast_if_few
 from riskloom.operators import exposure as ex, measures as ms
 from riskloom.operators.attribution import forward_pnl
 from riskloom.operators.exposure import FAC_DIMS, KEYS, SEC_DIMS
@@ -32,17 +33,18 @@ class Measure:
     expr: Callable[[], Column]
     needs: frozenset[str] = frozenset()
     scenario: bool = False
+    cells: bool = True  # whether it may read a cell's net exposure ``x`` or count ``n``
 
 
 MEASURES: dict[str, Measure] = {}
 
 
 def register_measure(name: str, fn: Callable[[], Column], needs: set[str] | frozenset = frozenset(),
-                     scenario: bool | None = None) -> None:
+                     scenario: bool | None = None, cells: bool = True) -> None:
     """Add a measure under ``name``; ``fn`` returns its Column over the block columns."""
     needs = frozenset(needs)
     scen = bool(needs & {"ladder", "grad", "inc", "fvol", "name", "day"}) if scenario is None else scenario
-    MEASURES[name] = Measure(fn, needs, scen)
+    MEASURES[name] = Measure(fn, needs, scen, cells)
 
 
 def _c(n: str) -> Column:
@@ -59,6 +61,8 @@ _S = lambda: F.coalesce("S", F.lit(0.0))
 _s = lambda: F.coalesce("svar", F.lit(0.0))
 _null_if0 = lambda c: F.when(c != 0, c)
 
+_READ_X = {"Net exposure", "contributors.COUNT", "VaR sensitivity", "Min-variance hedge ratio", "Vol at min-variance hedge"}
+
 for _n, _f, _need in [
     ("Net exposure", lambda: _c("x"), set()),
     ("contributors.COUNT", lambda: _c("n"), set()),
@@ -123,7 +127,7 @@ for _n, _f, _need in [
     ("Scenario worst date at day (epoch)", lambda: F.unix_date("d_worst_date").cast("long"), {"day"}),
 ]:
     register_measure(_n, _f, _need, scenario=bool(
-        _need & {"ladder", "vol", "grad", "inc", "fvol", "name", "day", "sorted"}))
+        _need & {"ladder", "vol", "grad", "inc", "fvol", "name", "day", "sorted"}), cells=_n in _READ_X)
 
 
 class PivotError(ValueError):
@@ -231,7 +235,11 @@ def pivot(frames: Mapping[str, DataFrame], rows: list[str], measures: list[str],
     c_dims = ex.cell_dims(dims)
     cell = [*KEYS, *c_dims]
 
-    leaf = ex.leaf_exposure(pos, expo, sec, fm, dims)
+    leaf = ex.leaf_rows(pos, expo, sec, fm, dims)
+    # at the grain of names a sum would keep every row in memory and save none: books, cells and contributions sum for themselves
+    fine = "Position" in dims and not totals
+    if not fine:
+        leaf = ex.leaf_exposure(leaf, dims)
     grains = [("cell", dims)]
     if totals:
         for label, keep in (("per_row", rows), ("per_col", cols), ("grand", [])):
@@ -261,6 +269,9 @@ def pivot(frames: Mapping[str, DataFrame], rows: list[str], measures: list[str],
             for more in parts[1:]:
                 spec = spec.unionByName(more)
 
+    # tables by book (gradients, totals) meet cells of any grain: counted, so that they are broadcast while few
+    books = pos.select(*KEYS).distinct().count() if need & {"grad", "name", "book"} else 0
+
     # ---- scenarios -------------------------------------------------------------------------
     out = cells
     on = list(cellm)
@@ -279,22 +290,25 @@ def pivot(frames: Mapping[str, DataFrame], rows: list[str], measures: list[str],
             # volatility alone is a quadratic form of the factor covariance: no day vectors
             lad = ms.cell_variance(x, sh, cellm).select(
                 *on, F.sqrt(F.greatest("cell_var", F.lit(0.0))).alias("vol"))
+        bare = "grad" in need and lad is None and "sorted" not in need  # the marginals bring the cells' sets
         if lad is not None:
             out = out.join(lad, cellm)
-        else:
+        elif not bare:
             sets = F.broadcast(sh.select("ScenarioSet", "Factor").distinct())
             fan = x.join(sets, "Factor").select(*on).distinct()
             out = out.join(fan, cellm)
         if "sorted" in need:
             out = out.join(vec.select(*on, F.array_sort("pv").alias("sorted_pnl")), on)
         if need & {"grad", "name"}:
-            grads = ms.book_gradients(bx, sh)
+            few = books * sh.select("ScenarioSet", "Factor").distinct().count()
+            grads = broadcast_if_few(ms.book_gradients(bx, sh), few)
             if "grad" in need:
-                out = out.join(ms.marginals(x, grads, cellm), on)
+                mg = ms.marginals(ex.cell_rows(leaf, dims, dims).withColumn("Margin", F.lit("cell")) if fine else x, grads, cellm)
+                out = out.join(mg, cellm if bare else on) if not bare or any(MEASURES[m].cells for m in measures) else mg
             if "bes" in need:
                 bes = (bx.join(grads, [*KEYS, "Factor"]).groupBy(*KEYS, "ScenarioSet")
                        .agg(F.sum(F.col("x") * F.col("g_es")).alias("b_es")))
-                out = out.join(bes, [*KEYS, "ScenarioSet"])
+                out = out.join(broadcast_if_few(bes, few), [*KEYS, "ScenarioSet"])
         if "inc" in need:
             out = out.join(ms.incrementals(ms.with_book(x, bx, cellm), sh, cellm), on)
         if "fvol" in need:
@@ -309,7 +323,7 @@ def pivot(frames: Mapping[str, DataFrame], rows: list[str], measures: list[str],
                 F.when(F.count_distinct("Factor") == 1, F.max("fvol")).alias("fvol")))
             out = out.join(fb, on).withColumns({"vol_mult": F.lit(vol_mult), "rho_blend": F.lit(rho_blend)})
         if "name" in need:
-            out = out.join(_name_shares(pos, expo, sec, frames["specific_var"], grads, bx, sec_d, dims, grains, cell),
+            out = out.join(_name_shares(pos, expo, sec, frames["specific_var"], grads, books, sec_d, dims, grains, cell),
                            on, "left")
     if spec is not None:
         out = _join(out, spec, cellm)
@@ -318,7 +332,7 @@ def pivot(frames: Mapping[str, DataFrame], rows: list[str], measures: list[str],
     if need & {"book"}:
         tot = (ex.weight_block(pos, frames["specific_var"], expo, sec, [])
                .select(*KEYS, F.col("svar").alias("S")))
-        out = out.join(tot, KEYS, "left")
+        out = out.join(broadcast_if_few(tot, books), KEYS, "left")
     if "pnl" in need:
         out = out.join(_forward_block(frames, pos, expo, dims, grains, cell), cellm, "left")
     if need & {"mgr"} or any(d in MANAGER_DIMS for d in axes):
@@ -342,7 +356,7 @@ def pivot(frames: Mapping[str, DataFrame], rows: list[str], measures: list[str],
     return out.select(*extra, *keep, *([F.col("Margin")] if totals else []), *res)
 
 
-def _name_shares(pos, expo, sec, sv, grads, bx, sec_d, dims, grains, cell):
+def _name_shares(pos, expo, sec, sv, grads, books, sec_d, dims, grains, cell):
     """HHI and top-5 share of each cell from position-grain marginal total VaR."""
     pd_ = list(dict.fromkeys([*sec_d, "Position"]))
     p = ex.with_security(pos, sec, pd_)
@@ -354,7 +368,7 @@ def _name_shares(pos, expo, sec, sv, grads, bx, sec_d, dims, grains, cell):
         F.max("b_read99").alias("b_read99"))
     sp = ex.weight_block(pos, sv, expo, sec, ["Position"]).select(*KEYS, "Position", "svar")
     tot = ex.weight_block(pos, sv, expo, sec, []).select(*KEYS, F.col("svar").alias("S"))
-    m = m.join(sp, [*KEYS, "Position"], "left").join(tot, KEYS, "left")
+    m = m.join(sp, [*KEYS, "Position"], "left").join(broadcast_if_few(tot, books), KEYS, "left")
     m = m.withColumn("share", _m_total() / _null_if0(_tot_total()))
     outs = []
     for label, gr in grains:
