@@ -15,31 +15,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskloom.functions.joins import broadcast_if_small
-
 BUCKETS = 256
 
 
-def _bucketed(df: DataFrame, by: list[str], value: str, buckets: int) -> DataFrame:
-    """(by, _v, _c, _b, _before): distinct values with counts, bucket and rows in lower buckets."""
+def _bucketed(df: DataFrame, by: list[str], value: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """(by, _v, _c, _b): distinct values with counts and bucket; (by, _b, _bc, _before, _n): rows in a bucket, in lower
+    ones and in the group."""
     d = (df.filter(F.col(value).isNotNull())
          .groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    d = d.filter(F.col("_c") > 0)  # always; the cuts thus read the counts, too, and all share one shuffle
     probs = [i / buckets for i in range(1, buckets)]
     cuts = d.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", probs, 1000)).alias("_cuts"))
-    # one row per group: broadcast while small, so that the values are not shuffled on few keys
-    b = d.join(broadcast_if_small(cuts), by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    # one row per group, of which there are few (dates, factors): the values are not shuffled on them
+    b = d.join(F.broadcast(cuts), by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
     per = b.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
     w = Window.partitionBy(*by).orderBy("_b")
     per = per.withColumn(
         "_before", F.coalesce(F.sum("_bc").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    per = per.withColumn("_n", F.sum("_bc").over(Window.partitionBy(*by)))
-    return b.join(per, [*by, "_b"])
+    return b, per.withColumn("_n", F.sum("_bc").over(Window.partitionBy(*by)))
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
                     buckets: int = BUCKETS) -> DataFrame:
     """Interpolated quantiles per group: one row per ``by`` with a column per entry of ``probs``."""
-    d = _bucketed(df, by, value, buckets)
+    b, per = _bucketed(df, by, value, buckets)
     # a bucket matters only when it holds a 0-based rank some quantile reads
     need = None
     for p in probs.values():
@@ -48,7 +47,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
             hit = (rank >= F.col("_before")) & (rank < F.col("_before") + F.col("_bc"))
             need = hit if need is None else (need | hit)
     w = Window.partitionBy(*by, "_b").orderBy("_v")
-    d = (d.filter(need)
+    d = (b.join(F.broadcast(per.filter(need)), [*by, "_b"])  # two buckets per group and quantile at most
          .withColumn("_hi", F.col("_before") + F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
          .withColumn("_lo", F.col("_hi") - F.col("_c")))
 
@@ -71,7 +70,8 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
 def average_rank_pct(df: DataFrame, by: list[str], value: str, out: str = "pct",
                      buckets: int = BUCKETS) -> DataFrame:
     """pandas-style ``rank(pct=True)``: average rank of ties over the non-null count, exactly."""
-    d = _bucketed(df, by, value, buckets)
+    b, per = _bucketed(df, by, value, buckets)
+    d = b.join(per, [*by, "_b"])
     w = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     hi = F.col("_before") + F.sum("_c").over(w)
     ranks = d.select(*by, F.col("_v"), ((hi - (F.col("_c") - 1) / 2.0) / F.col("_n")).alias(out))

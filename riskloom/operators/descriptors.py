@@ -1,7 +1,8 @@
 """Style descriptors: robust cross-sectional scores and their assembly into loadings.
 
 Cross-sections range over names, so centres and scales come from aggregates joined back (exact
-bucketed medians, conditional moments), never from a window over a whole date.
+bucketed medians, conditional moments), never from a window over a whole date. They are one row per date (and factor), so they
+are broadcast: names are not shuffled on a date.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from riskloom.frames import staged
-from riskloom.functions.joins import asof_join
+from riskloom.functions.joins import asof_join, broadcast_if_small
 from riskloom.functions.quantiles import exact_quantiles
 from riskloom.operators import timeseries as ts
 
@@ -36,7 +37,7 @@ def robust_scale(df: DataFrame, by: list[str], value: str, ref: Column) -> DataF
     """(by) -> med, scale (1.4826 MAD) over the reference rows."""
     r = df.filter(ref & F.col(value).isNotNull())
     med = exact_quantiles(r, by, value, {"med": 0.5})
-    dev = r.join(med, by).withColumn("_d", F.abs(F.col(value) - F.col("med")))
+    dev = r.join(F.broadcast(med), by).withColumn("_d", F.abs(F.col(value) - F.col("med")))
     mad = exact_quantiles(dev, by, "_d", {"mad": 0.5})
     return med.join(mad, by).select(*by, "med", (MAD_TO_SIGMA * F.col("mad")).alias("scale"))
 
@@ -44,10 +45,10 @@ def robust_scale(df: DataFrame, by: list[str], value: str, ref: Column) -> DataF
 def robust_z(df: DataFrame, by: list[str], value: str, out: str = "z") -> DataFrame:
     """Median/MAD score clipped at 3 and re-standardised; NULL in a degenerate cross-section."""
     s = robust_scale(df, by, value, F.lit(True))
-    d = df.join(s, by, "left").withColumn("_z", F.when(F.col("scale") > 1e-12, clip(
+    d = df.join(F.broadcast(s), by, "left").withColumn("_z", F.when(F.col("scale") > 1e-12, clip(
         F.try_divide(F.col(value) - F.col("med"), F.col("scale")), -3, 3)))
     m = d.groupBy(*by).agg(F.avg("_z").alias("_mu"), F.stddev_samp("_z").alias("_sd"))
-    return (d.join(m, by, "left").withColumn(out, (F.col("_z") - F.col("_mu")) / (F.col("_sd") + 1e-12))
+    return (d.join(F.broadcast(m), by, "left").withColumn(out, (F.col("_z") - F.col("_mu")) / (F.col("_sd") + 1e-12))
             .drop("med", "scale", "_z", "_mu", "_sd"))
 
 
@@ -55,19 +56,19 @@ def split_z(df: DataFrame, by: list[str], value: str, ref: str, out: str = "z")
     """Score against the reference (estimation) rows: they are clipped at 3, coverage rows only at
     the cap; both share the reference's clipped mean and deviation."""
     s = robust_scale(df, by, value, F.col(ref))
-    d = df.join(s, by, "left").withColumn("_z", F.when(
+    d = df.join(F.broadcast(s), by, "left").withColumn("_z", F.when(
         F.col("scale") > 1e-12, F.try_divide(F.col(value) - F.col("med"), F.col("scale"))))
     c3 = clip(F.col("_z"), -3, 3)
     m = d.groupBy(*by).agg(F.avg(F.when(F.col(ref), c3)).alias("_mu"), F.stddev_samp(F.when(F.col(ref), c3)).alias("_sd"))
     zo = F.when(F.col(ref), c3).otherwise(clip(F.col("_z"), -COVERAGE_CAP, COVERAGE_CAP))
-    return (d.join(m, by, "left").withColumn(out, F.when(F.col("_sd") > 1e-12, F.try_divide(zo - F.col("_mu"), F.col("_sd"))))
+    return (d.join(F.broadcast(m), by, "left").withColumn(out, F.when(F.col("_sd") > 1e-12, F.try_divide(zo - F.col("_mu"), F.col("_sd"))))
             .drop("med", "scale", "_z", "_mu", "_sd"))
 
 
 def with_reference(df: DataFrame, by: list[str], est: str = "is_estimation", out: str = "ref") -> DataFrame:
     """Reference flag: the estimation rows, or all rows where fewer than ten exist."""
     n = df.groupBy(*by).agg(F.sum(F.col(est).cast("int")).alias("_ne"))
-    return df.join(n, by).withColumn(out, F.col(est) | (F.col("_ne") < MIN_ESTIMATION)).drop("_ne")
+    return df.join(F.broadcast(n), by).withColumn(out, F.col(est) | (F.col("_ne") < MIN_ESTIMATION)).drop("_ne")
 
 
 def fit_line(df: DataFrame, by: list[str], y: Column, x: Column, use: Column) -> DataFrame:
@@ -80,20 +81,23 @@ def fit_line(df: DataFrame, by: list[str], y: Column, x: Column, use: Column) ->
 def price_descriptors(px: DataFrame, market: DataFrame, proxies: dict[str, DataFrame], until: Column) -> DataFrame:
     """(Date, Position) month-end Beta, ResidVol, partial betas, Momentum, LogADV and Close, each under
     its own history gate, as of the last row on or before the month-end."""
-    r = ts.returns(px, ["Position"]).select("Position", "Date", "ret")
-    b = ts.betas(r, market, proxies)
-    d = (b.join(ts.momentum(px), ["Position", "Date"]).join(ts.log_dollar_volume(px), ["Position", "Date"], "left")
-         .join(px.select("Position", "Date", "Close"), ["Position", "Date"]))
+    # dealt by name once; every window follows a name's days and each step carries the columns of those before it, so that
+    # nothing is dealt again by name and day
+    d = ts.momentum(px.repartition("Position"), keep=("Close", "Volume"))
+    d = ts.returns(ts.log_dollar_volume(d, keep=("Close", "Momentum")), ["Position"])
+    d = ts.betas(d, market, proxies, keep=("Close", "Momentum", "LogADV"))
+    d = (d.filter(F.col("Position").isNotNull() & F.col("Date").isNotNull())
+         .select("Position", "Date", "Beta", "ResidVol", *proxies, "Momentum", "LogADV", "Close"))
     return ts.month_snapshots(d, ["Position"], "Date", until).drop("as_of")
 
 
 def fundamental_descriptors(close: DataFrame, funda: DataFrame) -> DataFrame:
-    """Size, Value, EarnYield, Leverage from the filing in force at each month-end."""
-    f = asof_join(close.select("Position", "Date", "Close"), funda, ["Position"], "Date", "filed")
+    """Size, Value, EarnYield, Leverage from the filing in force at each month-end; ``close`` keeps its other columns."""
+    f = asof_join(close, funda, ["Position"], "Date", "filed")
     mcap = F.col("Close") * F.col("Shares")
     f = f.withColumn("mcap", F.when(mcap > MCAP_FLOOR, mcap))
     liab = F.coalesce("Liabilities", F.col("Assets") - F.col("Equity"))
-    return f.select("Date", "Position", F.log(F.col("mcap") + 1).alias("Size"),
+    return f.select("Date", "Position", *[c for c in close.columns if c not in ("Date", "Position", "Close")], F.log(F.col("mcap") + 1).alias("Size"),
                     (F.col("Equity") / (F.col("mcap") + 1)).alias("Value"),
                     (F.col("NetIncome") / (F.col("mcap") + 1)).alias("EarnYield"),
                     F.try_divide(liab, F.col("Assets") + 1).alias("Leverage"))
@@ -104,7 +108,7 @@ def impute_size(raw: DataFrame) -> DataFrame:
     est = F.col("is_estimation")
     line = fit_line(raw, ["Date"], F.col("Size"), F.col("LogADV"), est)
     need = ~est & F.col("Size").isNull() & F.col("LogADV").isNotNull() & (F.col("n_fit") >= MIN_IMPUTE_FIT)
-    d = raw.join(line, "Date", "left").withColumn("imputed", F.coalesce(need, F.lit(False)))
+    d = raw.join(F.broadcast(line), "Date", "left").withColumn("imputed", F.coalesce(need, F.lit(False)))
     return d.withColumn("Size", F.when(F.col("imputed"), F.col("slope") * F.col("LogADV") + F.col("icpt"))
                         .otherwise(F.col("Size"))).drop("slope", "icpt", "n_fit")
 
@@ -113,7 +117,7 @@ def size_residual(df: DataFrame, value: Column, size: Column, out: str) -> DataF
     """value - (slope size + icpt), fitted on reference rows with missing read as 0."""
     z = F.lit(0.0)
     line = fit_line(df, ["Date"], F.coalesce(value, z), F.coalesce(size, z), F.col("ref"))
-    return (df.join(line, "Date", "left")
+    return (df.join(F.broadcast(line), "Date", "left")
             .withColumn(out, value - (F.col("slope") * size + F.col("icpt"))).drop("slope", "icpt", "n_fit"))
 
 
@@ -142,11 +146,10 @@ def build_loadings(raw: DataFrame) -> DataFrame:
 
 def raw_descriptors(px: DataFrame, market: DataFrame, proxies: dict[str, DataFrame], funda: DataFrame,
                     universe: DataFrame, until: Column) -> DataFrame:
-    """Full outer merge of price and fundamental descriptors with the estimation flag."""
-    p = price_descriptors(px, market, proxies, until)
-    f = fundamental_descriptors(p.select("Position", "Date", "Close"), funda)
-    return (p.drop("Close").join(f, ["Date", "Position"], "full_outer")
-            .join(universe.select("Position", "is_estimation"), "Position")
+    """Price and fundamental descriptors of every name and month-end with the estimation flag."""
+    # the filings have a row for every price row, so the price columns ride along instead of being joined back
+    f = fundamental_descriptors(price_descriptors(px, market, proxies, until), funda)
+    return (f.join(broadcast_if_small(universe.select("Position", "is_estimation")), "Position")
             .withColumn("is_estimation", F.coalesce("is_estimation", F.lit(False))))
 
 

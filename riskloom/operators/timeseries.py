@@ -37,15 +37,16 @@ def rolling_sums(df: DataFrame, by: list[str], on: str, cols: dict[str, Column],
 
 
 def betas(ret: DataFrame, market: DataFrame, proxies: dict[str, DataFrame], window: int = 252,
-          min_rows: int = 120) -> DataFrame:
+          min_rows: int = 120, keep: tuple[str, ...] = ()) -> DataFrame:
     """Trailing beta, annualised residual vol and partial betas per (Position, Date).
 
     ``ret(Position, Date, ret)``; ``market``/``proxies`` are ``(Date, ret)``. A missing return reads 0
-    inside the window. A proxy is residualised against the market first, in closed form.
+    inside the window. A proxy is residualised against the market first, in closed form. Columns of ``ret`` in ``keep``
+    ride along.
     """
-    d = ret.join(market.select("Date", F.col("ret").alias("m")), "Date", "left")
+    d = ret.join(F.broadcast(market.select("Date", F.col("ret").alias("m"))), "Date", "left")  # one row per day
     for n, p in proxies.items():
-        d = d.join(p.select("Date", F.col("ret").alias(f"p_{n}")), "Date", "left")
+        d = d.join(F.broadcast(p.select("Date", F.col("ret").alias(f"p_{n}"))), "Date", "left")
     s, m = F.coalesce("ret", F.lit(0.0)), F.coalesce("m", F.lit(0.0))
     cols = {"n_": F.lit(1.0), "s_": s, "m_": m, "ss": s * s, "mm": m * m, "sm": s * m,
             "rn": F.when(F.col("ret").isNotNull(), 1.0)}
@@ -69,20 +70,23 @@ def betas(ret: DataFrame, market: DataFrame, proxies: dict[str, DataFrame], wind
         c_sr, c_rm = cov(f"sr_{p}", "s_", f"r_{p}"), cov(f"rm_{p}", f"r_{p}", "m_")
         den = cov(f"rr_{p}", f"r_{p}", f"r_{p}") - div(c_rm * c_rm, v_m)
         out.append(F.when(ok & (den > 1e-18), div(c_sr - div(c_rm * c_sm, v_m), den)).alias(p))
-    return d.select("Position", "Date", *out)
+    return d.select("Position", "Date", *keep, *out)
 
 
-def momentum(px: DataFrame, skip: int = 20, back: int = 251) -> DataFrame:
+def momentum(px: DataFrame, skip: int = 20, back: int = 251, keep: tuple[str, ...] = ()) -> DataFrame:
     """Log relative strength ln(P[-21] / P[-252]) once 252 rows exist."""
     w = _w(["Position"], "Date")
-    return px.select("Position", "Date", F.log(F.lag("Close", skip).over(w) / F.lag("Close", back).over(w)).alias("Momentum"))
+    return px.select("Position", "Date", *keep, F.log(F.lag("Close", skip).over(w) / F.lag("Close", back).over(w)).alias("Momentum"))
 
 
-def log_dollar_volume(px: DataFrame, rows: int = 63, min_rows: int = 21) -> DataFrame:
-    """ln(mean dollar volume + 1) over the last ``rows`` non-null volume rows."""
-    d = px.withColumn("dv", F.col("Close") * F.col("Volume")).filter(F.col("dv").isNotNull())
-    d = rolling_sums(d, ["Position"], "Date", {"sv": F.col("dv"), "nv": F.lit(1.0)}, rows)
-    return d.select("Position", "Date", F.when(F.col("nv") >= min_rows, F.log(F.col("sv") / F.col("nv") + 1)).alias("LogADV"))
+def log_dollar_volume(px: DataFrame, rows: int = 63, min_rows: int = 21, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """ln(mean dollar volume + 1) over the last ``rows`` non-null volume rows. With ``keep`` the rows without a volume
+    stay, too, without a value."""
+    d = px.withColumn("dv", F.col("Close") * F.col("Volume")).withColumn("_none", F.col("dv").isNull())
+    if keep is None:
+        d = d.filter(~F.col("_none"))
+    d = rolling_sums(d, ["Position", "_none"], "Date", {"sv": F.col("dv"), "nv": F.lit(1.0)}, rows)
+    return d.select("Position", "Date", *(keep or ()), F.when(~F.col("_none") & (F.col("nv") >= min_rows), F.log(F.col("sv") / F.col("nv") + 1)).alias("LogADV"))
 
 
 def month_snapshots(df: DataFrame, by: list[str], on: str, until: Column, max_months: int | None = None) -> DataFrame:

@@ -246,7 +246,7 @@ def index_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = (line_lots(spark, sf_dir).groupBy(half.alias("effective_date"), "Position")
          .agg(F.round(F.sum("mv"), 4).alias("rev")))
     med = exact_quantiles(r, ["effective_date"], "rev", {"med": 0.5})
-    return r.join(med, "effective_date").filter(F.col("rev") >= F.col("med")).select("effective_date", "Position")
+    return r.join(F.broadcast(med), "effective_date").filter(F.col("rev") >= F.col("med")).select("effective_date", "Position")
 
 
 def universe(spark: SparkSession, sf_dir: str) -> DataFrame:

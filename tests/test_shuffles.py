@@ -1,11 +1,15 @@
 """Rows of names are dealt to tasks as few times as the results need: plans with every unhinted join as a shuffle join."""
 
 import contextlib
+import datetime as dt
 import io
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from riskloom.functions.quantiles import exact_quantiles
+from riskloom.operators import descriptors as de, timeseries as ts
 from riskloom.plans.pivot import pivot
 from toys import risk_frames
 
@@ -55,3 +59,44 @@ def test_contributions_beside_exposures_are_those_alone(spark):
     L = n["L"].sum(axis=1)
     assert {(r["Book"], r["Position"]): r["Net exposure"] for r in both.collect()} == pytest.approx(
         {(b, p): n["w"][b][i] * L[i] for b in "AB" for i, p in enumerate(n["P"])})
+
+
+def _prices(spark):
+    rows = [(f"P{k}", dt.date(2020, 1, 1) + dt.timedelta(days=i), 10.0 + k + (i * 7 + k) % 5, None if (k, i % 9) == (2, 0) else 100.0 + i)
+            for k in range(1, 5) for i in range(300)]
+    px = spark.createDataFrame(rows, "Position string, Date date, Close double, Volume double")
+    m = px.filter("Position = 'P4'").select("Date", (F.col("Close") / 100 - 0.1).alias("ret"))
+    return px, m
+
+
+def test_descriptors_deal_prices_by_name_once(no_guess):
+    px, m = _prices(no_guess)
+    keys = dealt(de.price_descriptors(px, m, {"RateBeta": m.withColumn("ret", F.col("ret") * F.dayofmonth("Date"))}, F.lit(dt.date(2020, 12, 31))))
+    assert [k for k in keys if "Position" in k] == ["Position"]
+
+
+def test_descriptors_equal_each_series_joined(spark):
+    px, m = _prices(spark)
+    prox = {"RateBeta": m.withColumn("ret", F.col("ret") * F.dayofmonth("Date"))}
+    got = de.price_descriptors(px, m, prox, F.lit(dt.date(2020, 12, 31)))
+    d = (ts.betas(ts.returns(px, ["Position"]).select("Position", "Date", "ret"), m, prox).join(ts.momentum(px), ["Position", "Date"])
+         .join(ts.log_dollar_volume(px), ["Position", "Date"], "left").join(px.select("Position", "Date", "Close"), ["Position", "Date"]))
+    want = ts.month_snapshots(d, ["Position"], "Date", F.lit(dt.date(2020, 12, 31))).drop("as_of")
+    key = lambda df: sorted(df.select(*sorted(df.columns)).collect(), key=lambda r: (r["Position"], r["Date"]))
+    a, b = key(got), key(want)
+    assert len(a) == 48 and [tuple(r) for r in a] == [tuple(r) for r in b]
+    assert any(r["LogADV"] is None for r in a) and any(r["Momentum"] is not None for r in a)
+
+
+def test_quantiles_leave_values_in_their_buckets(no_guess):
+    df = no_guess.range(1000).select((F.col("id") % 3).alias("g"), (F.col("id") * 1.5).alias("v"))
+    q = exact_quantiles(df, ["g"], "v", {"med": 0.5})
+    assert "SortMergeJoin" not in plan(q)
+    assert {r["g"]: r["med"] for r in q.collect()} == {0: 749.25, 1: 748.5, 2: 750.0}
+
+
+def test_scores_leave_names_where_they_are(no_guess):
+    df = no_guess.range(200).select(F.lit(dt.date(2024, 1, 31)).alias("Date"), F.concat(F.lit("P"), "id").alias("Position"),
+                                    (F.col("id") % 3 == 0).alias("is_estimation"), F.pow("id", F.lit(2)).alias("Beta"))
+    z = de.split_z(de.with_reference(df, ["Date"]).withColumnRenamed("Beta", "v"), ["Date"], "v", "ref")
+    assert "SortMergeJoin" not in plan(z)
