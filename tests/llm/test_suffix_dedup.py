@@ -1,11 +1,15 @@
 import hashlib
 import random
+import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 suffix = pytest.importorskip("riskloom.llm.suffix_dedup")
+common = pytest.importorskip("riskloom.llm.common")
 
 
 def plain(docs, length=50):
@@ -146,3 +150,57 @@ def test_edge_rows(spark):
     assert len(got) == len(rows)
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 0), (4, 60), (5, 0), (5, 0)]
     assert suffix.remove_repeats(df.limit(0)).count() == 0
+
+
+def _shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {p.name for d in disk.localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+
+
+def _some_rows():
+    rnd = random.Random(12)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    p = word(400)
+    return [(i, word(100) + p[i % 7 * 20:i % 7 * 20 + 150] + word(40)) for i in range(60)] + [(3, word(70) + p[:90]), (90, p), (91, p)]
+
+
+def test_shuffle_files_go_with_each_written_table(spark):
+    df = spark.createDataFrame(_some_rows(), "doc_id long, text string").repartition(3)
+    setting, before = spark.conf.get(common.CLEAN), _shuffle_files(spark)
+    got = suffix.remove_repeats(df)
+    end = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < end:  # files go in the background
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert spark.conf.get(common.CLEAN) == setting
+    first, again = got.collect(), got.collect()
+    assert sorted(map(str, first)) == sorted(map(str, again)) and len(first) == 63
+
+
+def test_texts_are_dealt_by_one_key_where_nothing_is_broadcast(spark, monkeypatch):
+    plans = {}
+
+    class Seen(common.Stages):
+        def write(self, name, df):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().write(name, df)
+
+    monkeypatch.setattr(suffix, "Stages", Seen)
+    monkeypatch.setattr(suffix, "broadcast_if_small", lambda df: df)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = suffix.remove_repeats(spark.createDataFrame(_some_rows(), "doc_id long, text string"), with_kept=True).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    keys = re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\w+)#", plans["decided"])
+    assert keys and set(keys) == {("doc", "th")}
+
+    rows = _some_rows()
+
+    def kept(k, t):
+        gone = {j for i in range(len(t) - 49) if any(t[i:i + 50] in o for n, o in rows if n < k) for j in range(i, i + 50)}
+        return "".join(c for j, c in enumerate(t) if j not in gone)
+
+    assert sorted((r.doc_id, bytes(r.kept).decode()) for r in got) == sorted((k, kept(k, t)) for k, t in rows)
+    assert sum(r.n_removed for r in got) > 1000
