@@ -12,7 +12,8 @@ shuffle counts; pairs with many links come back in an array of at most ``HOT`` e
 pair that is joined holds more than a small share of the links.
 
 Neither vocabulary joins bytes across a space after a visible character (B is checked for it), so texts are cut there
-and pieces that recur are looked up; pieces whose bytes do not come back send the text whole to both.
+and pieces that recur are looked up; the others of a batch are aligned together, as vectors of their tokens' ends. Pieces
+whose bytes do not come back send the text whole to both.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import os
 import re
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,11 +32,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from riskloom.llm.common import Stages
 from riskloom.llm.packing import PATTERN, byte_alphabet
 
-#: pieces a worker remembers, pairs that return in an array, characters from which a piece is long
-CACHE, HOT, LONG = 200_000, 1 << 18, 1000
+#: pieces in each of the two tables a worker remembers, pairs that return in an array, characters from which a piece is long
+#: and those up to which it is remembered, characters aligned together
+CACHE, HOT, LONG, SHORT, TOGETHER = 200_000, 1 << 18, 1000, 64, 1 << 18
 CUT = re.compile(r"(?<=\S)(?= )")
 ODD = re.compile(r"\s ")
 Aligned = tuple[int, int, int, bytes, bytes, bytes]
+Piece = tuple[int, bytes, bytes, bytes]
 
 
 class Vocabularies:
@@ -67,8 +71,14 @@ class Vocabularies:
         ranks = {self.a_bytes[i]: i for t, i in vocab.items() if t not in special}
         self.bpe = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if self.cuts else None
         self.space = [self.b.piece_to_id("▁")]
-        self.code = "<u2" if len(self.a_bytes) <= 1 << 16 else "<u4"
-        self.known: dict[str, Aligned | None] = {}
+        self.code = np.dtype("<u2" if len(self.a_bytes) <= 1 << 16 else "<u4")
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # an id as text, inside a group, as its last of A and as its last of B
+        self.ids = max(len(self.a_bytes), len(self.b_bytes))
+        self.names = [b"%d%c" % (i, sign) for sign in b",|;" for i in range(self.ids)]
+        self.name_size = np.fromiter(map(len, self.names), np.int64, len(self.names))
+        self.known: dict[str, Piece | None] = {}
+        self.older: dict[str, Piece | None] = {}
 
     def _piece(self, i: int) -> bytes:
         p = self.b.id_to_piece(i)
@@ -87,39 +97,78 @@ class Vocabularies:
         n = m.normalizer_spec
         return n.name == "identity" and n.add_dummy_prefix and not n.remove_extra_whitespaces and m.trainer_spec.model_type == m.trainer_spec.BPE
 
-    def _align(self, raw: bytes, a: list[int], b: list[int]) -> Aligned | None:
-        """(tokens of A, of B, groups, groups as text, one-to-one links as A ids, other links as pairs), or
-        None where the bytes of either differ from ``raw``."""
-        ab, bb = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(ab) != raw or b"".join(bb) != raw:
-            return None
-        groups, exact, other = [], [], []
-        i = j = i0 = j0 = x = y = 0
-        while i < len(a):
-            x += len(ab[i])
-            i += 1
-            while y < x and j < len(b):
-                y += len(bb[j])
-                j += 1
-            if x == y:
-                if i - i0 == 1 == j - j0 and self.same[a[i0]] == b[j0]:
-                    exact.append(a[i0])
-                else:
-                    other.append(a[i - 1] << 32 | b[j - 1])
-                groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                i0, j0 = i, j
-        return len(a), len(b), len(groups), ";".join(groups).encode(), np.array(exact, self.code).tobytes(), np.array(other, "<i8").tobytes()
+    def _align(self, raws: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[Piece | None]:
+        """(tokens of A << 32 | tokens of B, groups as text with a `;` behind each, one-to-one links as A ids, other links as
+        pairs) of every piece, or None where the bytes of either differ from its own."""
+        na, nb, size = (np.fromiter(map(len, x), np.int64, len(raws)) for x in (a, b, raws))
+        ia, ib = (np.fromiter(chain.from_iterable(x), np.int64, n.sum()) for x, n in ((a, na), (b, nb)))
+        to_a, to_b, to = na.cumsum(), nb.cumsum(), size.cumsum()
+        ends_a, ends_b = self.a_size[ia].cumsum(), self.b_size[ib].cumsum()
+        raw = b"".join(raws)
+        if not (na.all() and nb.all() and np.array_equal(ends_a[to_a - 1], to) and np.array_equal(ends_b[to_b - 1], to)
+                and b"".join(map(self.a_bytes.__getitem__, chain.from_iterable(a))) == raw
+                and b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(b))) == raw):
+            out: list[Piece | None] = [None] * len(raws)
+            back = [k for k, r in enumerate(raws) if b"".join([self.a_bytes[i] for i in a[k]]) == r == b"".join([self.b_bytes[i] for i in b[k]])]
+            if back:
+                for k, x in zip(back, self._align(*([x[k] for k in back] for x in (raws, a, b)))):
+                    out[k] = x
+            return out
+        # the last tokens of every group are those whose ends both have
+        at_a, at_b = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+        at_a[ends_a], at_b[ends_b] = True, True
+        last_a, last_b = at_b[ends_a], at_a[ends_b]
+        ka, kb = np.flatnonzero(last_a), np.flatnonzero(last_b)
+        x, y = ia[ka], ib[kb]
+        exact = (np.diff(ka, prepend=-1) == 1) & (np.diff(kb, prepend=-1) == 1) & (self.same[x] == y)
+        # a token's place in the text: behind the groups before its own and, in B, behind its group's tokens of A
+        place_a = np.arange(len(ia)) + np.concatenate([[0], kb + 1])[last_a.cumsum() - last_a]
+        place_b = np.arange(len(ib)) + (ka + 1)[last_b.cumsum() - last_b]
+        names = np.empty(len(ia) + len(ib), np.int64)
+        names[place_a], names[place_b] = ia + last_a * self.ids, ib + last_b * (2 * self.ids)
+        text = b"".join(map(self.names.__getitem__, names.tolist()))
+        links, pairs = x[exact].astype(self.code).tobytes(), (x << 32 | y)[~exact].astype("<i8").tobytes()
+        # where each piece ends in these three
+        groups = np.searchsorted(ka, to_a)
+        one = np.concatenate([[0], exact.cumsum()])[groups]
+        t = self.name_size[names].cumsum()[to_a + to_b - 1].tolist()
+        e, o = (one * self.code.itemsize).tolist(), ((groups - one) * 8).tolist()
+        return [(n, text[t0:t1], links[e0:e1], pairs[o0:o1])
+                for n, t0, t1, e0, e1, o0, o1 in zip((na << 32 | nb).tolist(), [0, *t], t, [0, *e], e, [0, *o], o)]
+
+    def _joined(self, found: list[Piece]) -> Aligned:
+        """(tokens of A, of B, groups, groups as text, one-to-one links as A ids, other links as pairs) of a text's pieces."""
+        n, text, exact, other = zip(*found)
+        n, exact, other = sum(n), b"".join(exact), b"".join(other)
+        return n >> 32, n & 0xFFFFFFFF, len(exact) // self.code.itemsize + len(other) // 8, b"".join(text)[:-1], exact, other
 
     def whole(self, text: str) -> Aligned | None:
         t = " " + text
-        return self._align(t.encode(), self.a.encode(t, add_special_tokens=False).ids, self.b.encode(text))
-
-    def _pieces(self, keys: list[str]) -> Iterator[Aligned | None]:
-        """Alignment of space + key for every key."""
-        for k, b in zip(keys, self.b.encode(keys, num_threads=1)):
-            t = " " + k
-            a = self.bpe.encode_ordinary(t) if len(t) < LONG else self.a.encode(t, add_special_tokens=False).ids
-            yield self._align(t.encode(), a, b if k else self.space)
+        x = self._align([t.encode()], [self.a.encode(t, add_special_tokens=False).ids], [self.b.encode(text)])
+        return self._joined(x) if x[0] else None
+
+    def _pieces(self, keys: list[str]) -> Iterator[tuple[str, Piece | None]]:
+        """Every key and the alignment of space + key."""
+        size = np.fromiter(map(len, keys), np.int64, len(keys)).cumsum()
+        cuts = np.flatnonzero(np.diff(size // TOGETHER, prepend=0)).tolist()  # texts of any length: bounded memory
+        for lo, hi in zip([0, *cuts], [*cuts, len(keys)]):
+            part = keys[lo:hi]
+            if not part:
+                continue
+            texts = [" " + k for k in part]
+            a = [self.bpe.encode_ordinary(t) if len(t) < LONG else self.a.encode(t, add_special_tokens=False).ids for t in texts]
+            b = [x if k else self.space for k, x in zip(part, self.b.encode(part, num_threads=1))]
+            yield from zip(part, self._align([t.encode() for t in texts], a, b))
+
+    def _learn(self, need: set[str]) -> None:
+        """Puts the alignment of every needed piece into ``known``. When that is full it becomes ``older``, from which pieces
+        that recur come back: bounded memory, same results."""
+        new = need.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.older, self.known, new = self.known, {}, need
+        back = {k: self.older[k] for k in new if k in self.older}
+        self.known.update(back)
+        self.known.update(self._pieces(list(new.difference(back))))
 
     def batch(self, texts: list[str]) -> list[Aligned | None]:
         """Every text's alignment; None for empty texts and those whose bytes do not come back."""
@@ -127,20 +176,19 @@ class Vocabularies:
             return [self.whole(t) if t else None for t in texts]
         keys = [[x[1:] for x in CUT.split(" " + t)] if ODD.search(" " + t) else t.split(" ") for t in texts]
         need = set().union(*keys)
-        new = [x for x in need if x not in self.known]
-        if len(self.known) + len(new) > CACHE:  # forgotten as a whole: bounded memory, same results
-            self.known, new = {}, list(need)
-        self.known.update(zip(new, self._pieces(new)))
+        self._learn(need)
         out = []
         for t, ks in zip(texts, keys):
-            found = [self.known[k] for k in ks]
+            found = list(map(self.known.__getitem__, ks))
             if not t:
                 out.append(None)
             elif None in found:
                 out.append(self.whole(t))
             else:
-                na, nb, ng, text, exact, other = zip(*found)
-                out.append((sum(na), sum(nb), sum(ng), b";".join(text), b"".join(exact), b"".join(other)))
+                out.append(self._joined(found))
+        for k in need:
+            if len(k) > SHORT:
+                del self.known[k]
         return out
 
 

@@ -94,3 +94,31 @@ def test_edges(spark):
     v = alignment.Vocabularies(A, B)
     for i, t in rows:
         assert got[i]["groups"].encode() == v.whole(t)[3] and got[i]["n_links"] == got[i]["groups"].count(";") + 1
+
+
+def test_recurring_pieces_stay_known(monkeypatch):
+    """Pieces that return are not aligned anew whenever the memory of pieces is full, which stays bounded."""
+    monkeypatch.setattr(alignment, "CACHE", 120)
+    v = alignment.Vocabularies(A, B)
+    seen, pieces = Counter(), v._pieces
+    monkeypatch.setattr(v, "_pieces", lambda keys: (seen.update(keys), pieces(keys))[1])
+    common = [f"word{i}" for i in range(40)]
+    long = "x" * 5000
+    for i in range(30):
+        text = " ".join([*common, long, *(f"once{i}x{j}" for j in range(30))])
+        assert v.batch([text]) == [v.whole(text)]
+        assert len(v.known) <= 120 and len(v.older) <= 120 and long not in v.known
+    assert all(seen[k] == 1 for k in common)
+
+
+def test_pieces_aligned_together(monkeypatch):
+    """Pieces whose bytes do not come back, empty and very long ones among others, and cuts of any size between them."""
+    v = alignment.Vocabularies(A, B)
+    keys = ["", "fox", "x▁y", "internationalisation", "▁", "Straße", "a" * 3000, "漢字", "<unk>", "\ttab", "é"]
+    for together in (1, 10, 1 << 18):
+        monkeypatch.setattr(alignment, "TOGETHER", together)
+        got = dict(v._pieces(keys))
+        assert list(got) == keys and got["x▁y"] is None is got["▁"]
+        for k in keys:
+            assert k == "" or (got[k] and v._joined([got[k]])) == v.whole(k)
+    assert list(v._pieces([])) == []
