@@ -123,7 +123,8 @@ def links(stages: Stages, table: DataFrame, radius: int, chunk: int = CHUNK, par
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long")) for m in parts or masks(radius)]))
     keyed = table.select("node", "fp", "dist", keys.alias("t", "key"))
     sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    keyed = (keyed.join(sizes, ["t", "key"]).withColumn("k", F.ceil(F.col("n") / chunk).cast("int"))
+    # the plan sizes both sides as if a fingerprint had one key, so it must not choose a broadcast by them
+    keyed = (keyed.join(sizes.hint("merge"), ["t", "key"]).withColumn("k", F.ceil(F.col("n") / chunk).cast("int"))
              .withColumn("c", F.when(F.col("k") > 1, F.pmod(F.xxhash64("fp"), F.col("k"))).otherwise(0).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
              .select("t", "key", F.least("c", "o").alias("c0"), F.greatest("c", "o").alias("c1"), "c", "node", "fp", "dist"))

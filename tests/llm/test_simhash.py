@@ -91,3 +91,12 @@ def test_edge_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     kept = simhash.keep_first(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 5]
+
+
+def test_links_broadcast_no_rows_that_the_plan_cannot_size(spark, tmp_path):
+    """A fingerprint has one row per mask, of which the plan's estimate knows nothing: neither the rows nor their counts are broadcast."""
+    table = spark.range(2000).select(F.col("id").alias("node"), F.xxhash64("id").alias("fp"))
+    simhash.pivoted(table, "long").write.parquet(str(tmp_path / "t"))
+    d = simhash.links(None, spark.read.parquet(str(tmp_path / "t")), 10, parts=simhash.sampled_masks(16, 48))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
