@@ -13,11 +13,17 @@ The result is exact; the sketch only balances the work.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKETS = 256
 
 
+def _below(cuts: str, value: str, buckets: int) -> Column:
+    """How many of the ascending ``cuts`` (fewer than ``buckets``) lie below ``value``, found by halving."""
+    steps = [1 << k for k in reversed(range((buckets - 1).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(n) for n in steps]), F.lit(0), lambda at, n: F.when(F.get(cuts, at + n - 1) < F.col(value), at + n).otherwise(at))
+
+
 def _bucketed(df: DataFrame, by: list[str], value: str, buckets: int) -> tuple[DataFrame, DataFrame]:
     """(by, _v, _c, _b): distinct values with counts and bucket; (by, _b, _bc, _before, _n): rows in a bucket, in lower
     ones and in the group."""
@@ -27,7 +33,7 @@ def _bucketed(df: DataFrame, by: list[str], value: str, buckets: int) -> tuple[D
     probs = [i / buckets for i in range(1, buckets)]
     cuts = d.groupBy(*by).agg(F.array_distinct(F.percentile_approx("_v", probs, 1000)).alias("_cuts"))
     # one row per group, of which there are few (dates, factors): the values are not shuffled on them
-    b = d.join(F.broadcast(cuts), by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    b = d.join(F.broadcast(cuts), by).withColumn("_b", _below("_cuts", "_v", buckets)).drop("_cuts")
     per = b.groupBy(*by, "_b").agg(F.sum("_c").alias("_bc"))
     w = Window.partitionBy(*by).orderBy("_b")
     per = per.withColumn(

@@ -36,10 +36,10 @@ def clean(c: Column) -> Column:
 def robust_scale(df: DataFrame, by: list[str], value: str, ref: Column) -> DataFrame:
     """(by) -> med, scale (1.4826 MAD) over the reference rows."""
     r = df.filter(ref & F.col(value).isNotNull())
-    med = exact_quantiles(r, by, value, {"med": 0.5})
+    med = staged(exact_quantiles(r, by, value, {"med": 0.5}))  # read by the deviations and beside them
     dev = r.join(F.broadcast(med), by).withColumn("_d", F.abs(F.col(value) - F.col("med")))
     mad = exact_quantiles(dev, by, "_d", {"mad": 0.5})
-    return med.join(mad, by).select(*by, "med", (MAD_TO_SIGMA * F.col("mad")).alias("scale"))
+    return staged(med.join(mad, by).select(*by, "med", (MAD_TO_SIGMA * F.col("mad")).alias("scale")))  # read by the moments and the scores
 
 
 def robust_z(df: DataFrame, by: list[str], value: str, out: str = "z") -> DataFrame:
@@ -131,7 +131,8 @@ def build_loadings(raw: DataFrame) -> DataFrame:
         ["Date", "Position", "ref"], first, "Factor", "v")
     # each score reads its input several times (median, deviation, moments): stage in between
     z = staged(split_z(staged(long), ["Date", "Factor"], "v", "ref"))
-    wide = z.groupBy("Date", "Position", "ref").pivot("Factor", ["Size", "Liquidity"]).agg(F.first("z"))
+    # every name has a row for every factor
+    wide = z.filter(F.col("Factor").isin("Size", "Liquidity")).groupBy("Date", "Position", "ref").pivot("Factor", ["Size", "Liquidity"]).agg(F.first("z"))
     s3 = clip(F.col("Size"), -3, 3)
     wide = staged(wide.withColumn("s3", s3))
     nl = size_residual(wide, F.col("s3") ** 3, F.col("s3"), "v").withColumn("Factor", F.lit("NonLinSize"))

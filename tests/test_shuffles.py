@@ -4,11 +4,14 @@ import contextlib
 import datetime as dt
 import io
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.functions.quantiles import exact_quantiles
+from riskloom.frames import CLEAN, save_frame
+from riskloom.functions.quantiles import _below, exact_quantiles
 from riskloom.operators import descriptors as de, timeseries as ts
 from riskloom.plans.pivot import pivot
 from toys import risk_frames
@@ -100,3 +103,34 @@ def test_scores_leave_names_where_they_are(no_guess):
                                     (F.col("id") % 3 == 0).alias("is_estimation"), F.pow("id", F.lit(2)).alias("Beta"))
     z = de.split_z(de.with_reference(df, ["Date"]).withColumnRenamed("Beta", "v"), ["Date"], "v", "ref")
     assert "SortMergeJoin" not in plan(z)
+
+
+def test_scores_read_centres_and_scales_that_were_computed_once(spark):
+    days = [dt.date(2024, 1, 31), dt.date(2024, 2, 29)]
+    df = spark.createDataFrame([(d, f"P{i}", i % 3 > 0, float(i * i % 17)) for d in days for i in range(40)], "Date date, Position string, ref boolean, v double")
+    assert "percentile_approx" not in plan(de.split_z(df, ["Date"], "v", "ref"))
+
+
+def test_buckets_are_found_by_halving(spark):
+    for n, buckets in ((0, 8), (1, 8), (5, 8), (7, 8), (255, 256)):
+        cuts = [float(2 * k) for k in range(n)]
+        values = [-1.0, 0.0, 1.0, 2.0, 3.0, 13.0, 508.0, 509.0, float("inf"), float("nan")]
+        df = spark.createDataFrame([(cuts, v) for v in values], "c array<double>, v double")
+        got = df.select("v", _below("c", "v", buckets).alias("b"), F.size(F.filter("c", lambda c: c < F.col("v"))).alias("w")).collect()
+        assert all(r.b == r.w for r in got)
+    assert "filter(_cuts" not in plan(exact_quantiles(spark.range(9).select(F.lit(1).alias("g"), F.col("id").alias("v")), ["g"], "v", {"med": 0.5}))
+
+
+def _shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {p.name for d in disk.localDirsString() for p in Path(d).rglob("shuffle_*.data")}
+
+
+def test_written_frames_leave_no_shuffle_files(spark, tmp_path):
+    setting, before = spark.conf.get(CLEAN), _shuffle_files(spark)
+    save_frame(spark.range(10000).groupBy((F.col("id") % 999).alias("k")).count().repartition(7, "count"), str(tmp_path / "t"))
+    end = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < end:  # files go in the background
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before and spark.conf.get(CLEAN) == setting
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 999
