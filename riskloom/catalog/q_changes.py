@@ -6,6 +6,8 @@ from pyspark.sql import Window, functions as F
 
 from riskloom.catalog.oracle import sql
 from riskloom.catalog.registry import query, tidy_sql
+from riskloom.frames import staged
+from riskloom.functions.joins import broadcast_if_small
 from riskloom.operators import changes
 from riskloom.sources import tables
 
@@ -58,16 +60,21 @@ TRADES = {
 def model(spark, sf_dir):
     """The frames with names covered where they have a residual variance, and trades derived from the books."""
     f = tables.frames(spark, sf_dir)
-    f = f.replace(exposures=f.exposures.join(f.specific_var.select("Date", "Position"), ["Date", "Position"], "left_semi"))
-    covered = f.exposures.select("Date", "Position").distinct()
+    names = ["Date", "Position"]
+    covered = staged(f.exposures.select(*names).distinct().join(f.specific_var.select(*names), names, "left_semi"))
+    f = f.replace(exposures=f.exposures.join(covered, names, "left_semi"))
     p = f.positions.select("Date", "Book", "Position", "Weight")
-    top = p.join(covered, ["Date", "Position"], "left_semi").withColumn(
+    top = p.join(covered, names, "left_semi").withColumn(
         "r", F.row_number().over(Window.partitionBy("Date", "Book").orderBy(F.col("Weight").desc(), "Position"))).filter("r = 1")
-    new = (covered.join(p.select("Date", "Book").distinct(), "Date").join(p, ["Date", "Book", "Position"], "left_anti")
+    # a covered name carries the books that hold it, so that no row per name and book is dealt
+    holders = p.groupBy(*names).agg(F.collect_set("Book").alias("held"))
+    books = staged(p.select("Date", "Book").distinct())
+    new = (covered.join(holders, names, "left").join(broadcast_if_small(books), "Date")
+           .filter(~F.coalesce(F.array_contains("held", F.col("Book")), F.lit(False)))
            .groupBy("Date", "Book").agg(F.min("Position").alias("Position")))
     cols = ["Branch", "Date", "Book", "Position", "Weight"]
-    trades = (top.withColumn("Branch", F.lit("TrimTop")).withColumn("Weight", F.col("Weight") / 2).select(*cols)
-              .unionByName(top.withColumns({"Branch": F.lit("DropTop"), "Weight": F.lit(0.0)}).select(*cols))
+    cut = F.inline(F.array(F.struct(F.lit("TrimTop").alias("Branch"), (F.col("Weight") / 2).alias("Weight")), F.struct(F.lit("DropTop").alias("Branch"), F.lit(0.0).alias("Weight"))))
+    trades = (top.select("Date", "Book", "Position", cut).select(*cols)
               .unionByName(new.withColumns({"Branch": F.lit("BuyNew"), "Weight": F.lit(0.05)}).select(*cols)))
     return f, trades
 

@@ -11,9 +11,9 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from riskloom.frames import Frames, staged
+from riskloom.frames import Frames, cleaned, staged
 from riskloom.functions.joins import broadcast_if_small
-from riskloom.operators import exposure as ex, measures as ms
+from riskloom.operators import measures as ms
 from riskloom.operators.desk import previous_distinct_book
 from riskloom.operators.exposure import KEYS
 
@@ -83,37 +83,58 @@ def whatif(frames: Mapping[str, DataFrame], trades: DataFrame, scenario_set: str
     before and after and whether it was held, resized, added or dropped. ``unpriced``: held names
     without loadings on the date, which no metric sees; priced and unpriced weights add up to the book.
     Trades in names without loadings on their date, or without a book on it, are refused."""
-    known = frames["exposures"].select("Date", "Position").distinct()
-    bad = trades.select("Date", "Position").distinct().join(known, ["Date", "Position"], "left_anti").limit(5).collect()
-    if bad:
-        raise TradeError(f"not in the universe on the date: {sorted((str(r[0]), r[1]) for r in bad)}")
+    name = ["Date", "Book", "Position"]
+    trades = staged(trades.select("Branch", *name, "Weight"))
+    asked = trades.select("Date", "Position").distinct()
     pairs = trades.select("Date", "Book").distinct()
-    bad = pairs.join(frames["positions"].select("Date", "Book"), ["Date", "Book"], "left_anti").limit(5).collect()
-    if bad:
-        raise TradeError(f"no book on the date: {sorted((str(r[0]), r[1]) for r in bad)}")
-    base = frames["positions"].join(broadcast_if_small(pairs), ["Date", "Book"], "left_semi")
+    with cleaned(trades.sparkSession):
+        seen = frames["exposures"].select("Date", "Position").join(broadcast_if_small(asked), ["Date", "Position"], "left_semi").distinct()
+        bad = asked.join(seen, ["Date", "Position"], "left_anti").limit(5).collect()
+        if bad:
+            raise TradeError(f"not in the universe on the date: {sorted((str(r[0]), r[1]) for r in bad)}")
+        seen = frames["positions"].select("Date", "Book").join(broadcast_if_small(pairs), ["Date", "Book"], "left_semi").distinct()
+        bad = pairs.join(seen, ["Date", "Book"], "left_anti").limit(5).collect()
+        if bad:
+            raise TradeError(f"no book on the date: {sorted((str(r[0]), r[1]) for r in bad)}")
+    base = frames["positions"].select(*name, "Weight").join(broadcast_if_small(pairs), ["Date", "Book"], "left_semi")
     expo = frames["exposures"].join(broadcast_if_small(pairs.select("Date").distinct()), "Date", "left_semi")
-    h = staged(loaded(ex.with_branches(base, trades), expo, frames["specific_var"]))
+    scope = trades.select("Branch", "Date", "Book").distinct()
+    traded = base.join(broadcast_if_small(trades.select(*name).distinct()), name, "left_semi").select(*name)  # as often as the book holds them
+
+    def branches() -> DataFrame:
+        """Base and all branches with their loadings. Written are the base and the traded names alone: a branch's other names are
+        the base's rows again, made where they are read."""
+        new = trades.filter(F.col("Weight").isNotNull())
+        rows = base.select(F.lit("Base").alias("Branch"), *name, "Weight", F.lit(False).alias("new")).unionByName(
+            new.join(traded, name, "left").select("Branch", *name, "Weight", F.lit(True).alias("new")))
+        h = staged(loaded(rows, expo, frames["specific_var"]))
+        old = h.filter("NOT new").drop("new")
+        kept = (old.drop("Branch").join(broadcast_if_small(scope), ["Date", "Book"])
+                .join(broadcast_if_small(new.select("Branch", *name)), ["Branch", *name], "left_anti"))
+        return old.unionByName(kept.unionByName(h.filter("new").drop("new")).filter(F.col("Weight") != 0))
 
     def risk() -> DataFrame:
-        r = staged(book_risk(h, frames["scenarios"].filter(F.col("ScenarioSet") == scenario_set)))
+        r = staged(book_risk(branches(), frames["scenarios"].filter(F.col("ScenarioSet") == scenario_set)))
         after = _long(r.filter("Branch <> 'Base'"), KEYS, "after")
         before = _long(r.filter("Branch = 'Base'").drop("Branch"), ["Date", "Book"], "before")
         return after.join(before, ["Date", "Book", "metric"]).select(
             "Branch", "Date", "Book", "metric", "before", "after", (F.col("after") - F.col("before")).alias("delta"))
 
-    ticker = frames["securities"].select("Position", "Ticker")
-    held = h.filter("Branch = 'Base'").select("Date", "Book", "Position", F.col("Weight").alias("old"), F.col("loads").isNotNull().alias("priced"))
-    scope = trades.select("Branch", "Date", "Book").distinct()
-    t = trades.select("Branch", "Date", "Book", "Position", F.col("Weight").alias("new"))
-    names = held.join(broadcast_if_small(scope), ["Date", "Book"]).join(t, ["Branch", "Date", "Book", "Position"], "full_outer")
+    ticker = broadcast_if_small(frames["securities"].select("Position", "Ticker"))
+    known = expo.select("Date", "Position").distinct().withColumn("priced", F.lit(True))
+    held = (base.withColumnRenamed("Weight", "old").join(known, ["Date", "Position"], "left")
+            .select(*name, "old", F.coalesce("priced", F.lit(False)).alias("priced")))
+    t = trades.select("Branch", *name, F.col("Weight").alias("new"))
+    # trades come to the books' names; those in names that are not held are rows of their own
+    void = t.join(broadcast_if_small(traded.distinct()), name, "left_anti").select("Branch", *name, F.lit(None).cast("double").alias("old"), F.lit(True).alias("priced"), "new")
+    names = held.join(broadcast_if_small(scope), ["Date", "Book"]).join(broadcast_if_small(t), ["Branch", *name], "left").unionByName(void)
     old, new = F.coalesce("old", F.lit(0.0)), F.coalesce("new", "old")
     change = F.when(F.col("new").isNull(), "held").when(F.col("old").isNull(), "added").when(F.col("new") == 0, "dropped").otherwise("resized")
     names = names.join(ticker, "Position", "left").select("Branch", "Date", "Book", "Position", F.coalesce("Ticker", "Position").alias("Ticker"), old.alias("old"),
-                                                          new.alias("new"), change.alias("change"), F.coalesce("priced", F.lit(True)).alias("priced"))
+                                                          new.alias("new"), change.alias("change"), "priced")
     unpriced = (held.filter("NOT priced").join(ticker, "Position", "left")
                 .select("Date", "Book", "Position", F.coalesce("Ticker", "Position").alias("Ticker"), F.col("old").alias("Weight")))
-    return Frames(h.sparkSession, {"risk": risk, "holdings": names, "unpriced": unpriced})
+    return Frames(trades.sparkSession, {"risk": risk, "holdings": names, "unpriced": unpriced})
 
 
 # ---- what changed -------------------------------------------------------------------------------

@@ -112,3 +112,18 @@ def test_chosen_pair_and_scans(spark, model):
     h = changes.loaded(f.positions.withColumn("Branch", F.lit("Base")), f.exposures, f.specific_var)
     plan = h._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Loading#") >= 1 and h.count() == f.positions.count()
+
+
+def test_whatif_writes_the_base_and_the_traded_names_alone(spark, model, monkeypatch):
+    f, _, w, _, _ = model
+    written, real = [], changes.staged
+    monkeypatch.setattr(changes, "staged", lambda df, *a: written.append(real(df, *a)) or written[-1])
+    # one name halved, one dropped, one bought, one left as it is by a trade without a weight
+    trades = spark.createDataFrame([("a", D[0], "A", "N0", .25), ("b", D[0], "A", "N0", 0.0), ("c", D[0], "A", "N3", .1), ("d", D[0], "A", "N1", None)],
+                                   "Branch string, Date date, Book string, Position string, Weight double")
+    out = changes.whatif(f, trades)
+    net = {r.Branch: r.after for r in out["risk"].filter("metric = 'net'").collect()}  # N5 has no loadings
+    assert net == pytest.approx({"a": .55, "b": .3, "c": .9, "d": .8})
+    assert [d.count() for d in written if "loads" in d.columns] == [len(w[D[0], "A"]) + 3]
+    held = {(r.Branch, r.Position): (r.old, r.new, r.change) for r in out["holdings"].collect()}
+    assert len(held) == 4 * 3 + 1 and held["d", "N1"] == (.3, .3, "held") and held["c", "N3"] == (0.0, .1, "added") and held["b", "N0"] == (.5, 0.0, "dropped")
